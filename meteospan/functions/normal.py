@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Rational approximation of the normal integral (Hart 1968, West 2005).
 CDF_NUMERATOR = (
@@ -50,25 +49,34 @@ def _poly(coefficients, x: Column) -> Column:
     return total
 
 
-def norm_cdf(z: Column) -> Column:
-    """Φ(z); null stays null."""
-    a = F.abs(z)
+def bind(x: Column, body) -> Column:
+    """``body(x)`` with x evaluated once: a one-element array keeps the tree small when the
+    argument is itself a long expression."""
+    return F.transform(F.array(x), body)[0]
+
+
+def _upper_tail(a: Column) -> Column:
     bell = F.exp(-a * a / 2.0)
     near = bell * _poly(CDF_NUMERATOR, a) / _poly(CDF_DENOMINATOR, a)
     fraction = a + 0.65
     for k in (4.0, 3.0, 2.0, 1.0):
         fraction = a + F.lit(k) / fraction
     far = bell / fraction / 2.506628274631
-    upper = F.when(a > 37.0, 0.0).when(a < 7.07106781186547, near).otherwise(far)
+    return F.when(a > 37.0, 0.0).when(a < 7.07106781186547, near).otherwise(far)
+
+
+def _signed(z: Column, upper: Column) -> Column:
     return F.when(z > 0, 1.0 - upper).when(z.isNotNull(), upper)
 
 
-def norm_ppf(p: Column) -> Column:
-    """Φ⁻¹(p); null outside (0, 1)."""
+def _tail_root(p: Column) -> Column:
+    return F.sqrt(-F.log(F.least(p, 1.0 - p)))
+
+
+def _quantile(p: Column, r: Column) -> Column:
     q = p - 0.5
     centre_r = F.lit(0.180625) - q * q
     centre = q * _poly(PPF_CENTRE[0], centre_r) / _poly(PPF_CENTRE[1], centre_r)
-    r = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1.0 - p)))
     middle = _poly(PPF_MIDDLE[0], r - 1.6) / _poly(PPF_MIDDLE[1], r - 1.6)
     tail = _poly(PPF_TAIL[0], r - 5.0) / _poly(PPF_TAIL[1], r - 5.0)
     outer = F.signum(q) * F.when(r <= 5.0, middle).otherwise(tail)
@@ -76,5 +84,43 @@ def norm_ppf(p: Column) -> Column:
     return F.when(inside & (F.abs(q) <= 0.425), centre).when(inside, outer)
 
 
-def norm_pdf(z: Column) -> Column:
-    return F.exp(-z * z / 2.0) / math.sqrt(2.0 * math.pi)
+def norm_cdf(z: Column) -> Column:
+    """Φ(z); null stays null."""
+    return bind(z, lambda x: _signed(x, _upper_tail(F.abs(x))))
+
+
+def norm_ppf(p: Column) -> Column:
+    """Φ⁻¹(p); null outside (0, 1)."""
+    return bind(p, lambda x: bind(_tail_root(x), lambda r: _quantile(x, r)))
+
+
+def with_norm_cdf(df: DataFrame, out: str, z: Column) -> DataFrame:
+    """Column ``out`` = Φ(z), staged over projections so that all of it is compiled."""
+    return (
+        df.withColumn("_z", z)
+        .withColumn("_a", F.abs("_z"))
+        .withColumn(out, _signed(F.col("_z"), _upper_tail(F.col("_a"))))
+        .drop("_z", "_a")
+    )
+
+
+def with_norm_ppf(df: DataFrame, out: str, p: Column) -> DataFrame:
+    """Column ``out`` = Φ⁻¹(p), staged over projections so that all of it is compiled."""
+    return (
+        df.withColumn("_p", p)
+        .withColumn("_r", _tail_root(F.col("_p")))
+        .withColumn(out, _quantile(F.col("_p"), F.col("_r")))
+        .drop("_p", "_r")
+    )
+
+
+def norm_ppf_array(p):
+    """Φ⁻¹ of a numpy array, from the same rational functions."""
+    p = np.asarray(p, dtype=float)
+    with np.errstate(all="ignore"):
+        q = p - 0.5
+        c = 0.180625 - q * q
+        r = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+        value = lambda pair, x: np.polyval(pair[0], x) / np.polyval(pair[1], x)
+        outer = np.where(r <= 5.0, value(PPF_MIDDLE, r - 1.6), value(PPF_TAIL, r - 5.0))
+        return np.where(np.abs(q) <= 0.425, q * value(PPF_CENTRE, c), np.sign(q) * outer)

@@ -11,6 +11,7 @@ from meteospan.operators.ordering import with_halo, with_position
 from meteospan.operators.ranks import dense_ranks, dominance, rel_ranks
 from meteospan.operators.timeops import calendar_keys, doy_targets
 from meteospan.schema import finite, pair_keys, series_keys
+from meteospan.session import cut_lineage
 
 
 def cross_section_pairs(
@@ -163,9 +164,10 @@ def kendall_tau(
     cells = (
         pairs.filter(finite(u) & finite(v)).groupBy(*keys, u, v).agg(F.count("*").alias("_w"))
     )
-    ranked = dense_ranks(dense_ranks(cells, keys, u, "_r0"), keys, v, "_r1")
+    # several prefix sums follow: write the ranked cells once instead of deriving them anew
+    cells = cut_lineage(dense_ranks(dense_ranks(cells, keys, u, "_r0"), keys, v, "_r1"))
     # discordant = smaller in u and larger in v: turn the second rank round
-    ranked = ranked.withColumn("_r1", F.col("_r1_n") - 1 - F.col("_r1"))
+    ranked = cells.withColumn("_r1", F.col("_r1_n") - 1 - F.col("_r1"))
     _, running, _ = dominance(ranked, keys, ["_r0", "_r1"], "_w")
     exact = lambda name: F.col(name).cast("decimal(19,0)")
     discordant = running.groupBy(*keys).agg(

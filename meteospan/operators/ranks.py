@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meteospan.functions.normal import norm_cdf, norm_ppf
+from meteospan.functions.normal import with_norm_cdf, with_norm_ppf
 from meteospan.operators.ordering import (
     calendar_block,
     carry,
@@ -18,6 +18,7 @@ from meteospan.operators.ordering import (
 )
 from meteospan.operators.timeops import doy_targets, interpolate_time
 from meteospan.schema import finite, series_keys
+from meteospan.session import cut_lineage
 
 
 def rel_ranks(
@@ -191,16 +192,16 @@ def normal_pit(
     params = normal_parameters(df, keys) if params is None else params
     keys = [c for c in params.columns if c not in ("mean", "std")]
     z = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
-    return df.join(params, keys, "left").withColumn("u", norm_cdf(z)).drop("mean", "std")
+    return with_norm_cdf(df.join(params, keys, "left"), "u", z).drop("mean", "std")
 
 
 def normal_inverse(df: DataFrame, params: DataFrame, column: str = "u") -> DataFrame:
     """x = mean + std·Φ⁻¹(u)."""
     keys = [c for c in params.columns if c not in ("mean", "std")]
     return (
-        df.join(params, keys, "left")
-        .withColumn("value", F.col("mean") + F.col("std") * norm_ppf(F.col(column)))
-        .drop("mean", "std")
+        with_norm_ppf(df.join(params, keys, "left"), "z", F.col(column))
+        .withColumn("value", F.col("mean") + F.col("std") * F.col("z"))
+        .drop("mean", "std", "z")
     )
 
 
@@ -208,8 +209,8 @@ def bound_normal(
     df: DataFrame, limit: float = 6.0, column: str = "u", keys: Sequence[str] | None = None
 ) -> DataFrame:
     """z = Φ⁻¹(u); |z| > limit is dropped and interpolated in time, the rest becomes 0."""
-    z = norm_ppf(F.col(column))
-    bounded = df.withColumn("z", F.when(F.abs(z) <= limit, z))
+    scores = with_norm_ppf(df, "z", F.col(column))
+    bounded = scores.withColumn("z", F.when(F.abs("z") <= limit, F.col("z")))
     return interpolate_time(bounded, "z", keys=keys).fillna(0.0, ["z"])
 
 
@@ -268,7 +269,7 @@ def seasonal_normal_pit(
     smooth = smooth_by_doy(moments, keys, ["mean", "std"], order)
     rows = df.withColumn("doy", F.dayofyear("time")).join(smooth, [*keys, "doy"], "left")
     z = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
-    return rows.withColumn("u", norm_cdf(z)).drop("doy", "mean", "std")
+    return with_norm_cdf(rows, "u", z).drop("doy", "mean", "std")
 
 
 def seasonal_empirical_pit(
@@ -356,6 +357,7 @@ def _dominance_share(df, columns, keys, plus, out):
     ranks = [f"_r{i}" for i in range(len(columns))]
     for column, rank in zip(columns, ranks):
         cells = dense_ranks(cells, keys, column, rank)
+    cells = cut_lineage(cells)
     queries, running, files = dominance(cells, keys, ranks, "_w")
     spot = [*keys, *files, ranks[0]]
     counts = (

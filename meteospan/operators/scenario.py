@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meteospan.functions.normal import norm_cdf
+from meteospan.functions.normal import with_norm_cdf
 from meteospan.operators.ordering import with_position
 from meteospan.operators.ranks import ecdf_cdf, ecdf_ppf
 from meteospan.schema import series_keys
@@ -62,5 +62,5 @@ def intensify_masked_days(
     )
     raised = F.col(column) + F.when(F.col("_hit"), F.lit(float(diff))).otherwise(0.0)
     return (
-        rows.withColumn(column, raised).withColumn("u", norm_cdf(F.col(column))).drop("_day", "_hit")
+        with_norm_cdf(rows.withColumn(column, raised), "u", F.col(column)).drop("_day", "_hit")
     )
