@@ -80,3 +80,16 @@ def line_pairs(spark: SparkSession, sf_dir: str, u: str, v: str) -> DataFrame:
         F.col(u).alias("x"),
         F.col(v).alias("y"),
     )
+
+
+def order_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """station = nation of the customer, one variable, daily means of order totals."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation")
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
+        nation, customer.c_nationkey == nation.n_nationkey
+    )
+    return placed.groupBy(
+        F.col("n_name").alias("station"), F.lit("total").alias("variable"),
+        F.col("o_orderdate").alias("time"),
+    ).agg(_exact_mean("o_totalprice").alias("value"))
