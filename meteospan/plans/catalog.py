@@ -163,7 +163,7 @@ def build() -> dict:
     q["lag_pairs"] = lambda s, d: r6(tm.lag_pairs(daily(s, d), 3))
     q["rolling_sum"] = lambda s, d: r6(tm.rolling_sum(gappy(s, d), 5))
     q["rolling_pool"] = lambda s, d: r6(tm.rolling_pool(daily(s, d), 5).groupBy("station", "variable", F.dayofyear("time").alias("doy")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
-    q["hyd_year_sums"] = lambda s, d: r6(yearly(daily(s, d)))
+    q["hyd_year_sums"] = lambda s, d: r6(yearly(daily(s, d)), 3)
     q["hyd_year_sums_full"] = lambda s, d: r6(tm.hyd_year_sums(src.order_obs(s, d).groupBy(F.lit("all").alias("station"), "variable", "time").agg(F.max("value").alias("value")), True))
     q["annual_extremes"] = lambda s, d: r6(tm.annual_extremes(yearly(daily(s, d))).withColumn("totals", F.concat_ws(";", F.transform("totals", lambda x: F.round(x, 3).cast("decimal(20,3)").cast("string")))), 5)
     q["period_band"] = lambda s, d: r6(_band(s, d))
@@ -271,7 +271,7 @@ def build() -> dict:
     q["spell_bands"] = lambda s, d: r6(ev.spell_bands(daily(s, d), ens(s, d), 0.05, "discount"))
     q["monthly_means"] = lambda s, d: r6(ev.monthly_means(daily(s, d), ens(s, d)))
     q["hyd_year_cdf_bands"] = lambda s, d: r6(ev.hyd_year_cdf_bands(daily(s, d), ens(s, d), full_years=False), 4)
-    q["hyd_year_cdf"] = lambda s, d: r6(ev.hyd_year_cdf(daily(s, d), False))
+    q["hyd_year_cdf"] = lambda s, d: r6(ev.hyd_year_cdf(daily(s, d), False), 3)
     q["annual_error"] = lambda s, d: r6(ev.annual_error(yearly(daily(s, d).filter("variable = 'discount'")), yearly(ens(s, d).filter("variable = 'discount'"))))
     q["check_means"] = lambda s, d: r6(ev.check_means(ens(s, d), daily(s, d)))
     q["check_correlations"] = lambda s, d: r6(ev.check_correlations(ens(s, d), daily(s, d)))

@@ -118,7 +118,7 @@ def _base(name, u, v, k):
     k = f"{k!r}::DOUBLE" if isinstance(k, float) else k
     if name in _ARCH:
         phi, d1, d2, inv = _ARCH[name]
-        f = lambda t, **x: t.format(k=k, **x)
+        f = lambda text, **x: text.format(k=k, **x)
         c = f(inv, x=f"({f(phi, t=u)}+{f(phi, t=v)})")
         h = f"{f(d1, t=u)}/{f(d1, t='('+c+')')}"
         dens = f"-{f(d2, t='('+c+')')}*{f(d1, t=u)}*{f(d1, t=v)}/pow({f(d1, t='('+c+')')},3)"
@@ -366,7 +366,7 @@ def build() -> dict[str, str]:
         f"WITH {DAILY}, p AS (SELECT *, {POS} AS pos FROM daily) SELECT a.station, a.variable, CAST(dayofyear(a.time) AS INTEGER) AS doy, count(*) AS n, round(avg(b.value),6) AS mean "
         "FROM p a JOIN p b ON a.station=b.station AND a.variable=b.variable AND b.pos BETWEEN a.pos-2 AND a.pos+2 GROUP BY 1,2,3"
     )
-    q["hyd_year_sums"] = f"WITH {DAILY}, {_hyd('daily', SERIES)} SELECT station, variable, hyd_year, round(total,6) AS total, days FROM sums"
+    q["hyd_year_sums"] = f"WITH {DAILY}, {_hyd('daily', SERIES)} SELECT station, variable, hyd_year, round(total,3) AS total, days FROM sums"
     q["hyd_year_sums_full"] = (
         f"WITH {ORDERS}, o AS (SELECT 'all' AS station, variable, time, max(value) AS value FROM orders_long GROUP BY 2,3), {_hyd('o', SERIES)} SELECT station, variable, hyd_year, round(total,6) AS total, days FROM sums "
         "WHERE days = date_diff('day', make_date(hyd_year-1,10,1), make_date(hyd_year,10,1))"
@@ -568,7 +568,7 @@ def build() -> dict[str, str]:
     )
     q["monthly_means"] = f"WITH {DAILY}, {ENS}, o AS (SELECT station, variable, CAST(month(time) AS INTEGER) AS month, avg(value) AS obs FROM daily GROUP BY ALL), s AS (SELECT realization, station, variable, CAST(month(time) AS INTEGER) AS month, avg(value) AS sim FROM ens GROUP BY ALL) SELECT station, variable, month, realization, round(sim,6) AS sim, round(obs,6) AS obs FROM s JOIN o USING (station, variable, month)"
     q["hyd_year_cdf_bands"] = f"WITH {ENS}, {_hyd('ens', 'realization, station, variable')}, {_quantiles('sums', 'realization, station, variable', even, 'total', 'sim')}, bd AS ({_bands('sim', SERIES, .01, .99)}) SELECT station, variable, level_id, round(sim_median,4) AS sim_median, round(sim_lower,4) AS sim_lower, round(sim_upper,4) AS sim_upper, round(sim_min,4) AS sim_min, round(sim_max,4) AS sim_max, round(level_id/199.0,4) AS level FROM bd"
-    q["hyd_year_cdf"] = f"WITH {DAILY}, {_hyd('daily', SERIES)} SELECT station, variable, hyd_year, round(total,6) AS total, days, round((row_number() OVER (PARTITION BY {SERIES} ORDER BY total)-0.5)/count(*) OVER (PARTITION BY {SERIES}),6) AS p FROM sums"
+    q["hyd_year_cdf"] = f"WITH {DAILY}, {_hyd('daily', SERIES)} SELECT station, variable, hyd_year, round(total,3) AS total, days, round((row_number() OVER (PARTITION BY {SERIES} ORDER BY total)-0.5)/count(*) OVER (PARTITION BY {SERIES}),3) AS p FROM sums"
     q["annual_error"] = (
         f"WITH {DAILY}, {ENS}, dd AS (SELECT * FROM daily WHERE variable='discount'), ee AS (SELECT * FROM ens WHERE variable='discount'), {_hyd('dd', SERIES, 'so')}, {_hyd('ee', 'realization, station, variable', 'se')}, "
         f"ro AS (SELECT station, variable, total, row_number() OVER (PARTITION BY {SERIES} ORDER BY total) AS i FROM so), re AS (SELECT realization, station, variable, total, row_number() OVER (PARTITION BY realization, {SERIES} ORDER BY total) AS i FROM se) "
