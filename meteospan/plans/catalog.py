@@ -183,7 +183,7 @@ def build() -> dict:
     q["normal_inverse"] = lambda s, d: r6(rk.normal_inverse(ranks(s, d).drop("value"), rk.normal_parameters(daily(s, d))))
     q["bound_normal"] = lambda s, d: r6(rk.bound_normal(ranks(s, d).drop("value"), 2.0))
     q["seasonal_moments"] = lambda s, d: r6(rk.seasonal_moments(daily(s, d), 15))
-    q["seasonal_normal_pit"] = lambda s, d: r6(rk.seasonal_normal_pit(daily(s, d), 15, 6), 5)
+    q["seasonal_normal_pit"] = lambda s, d: r6(rk.seasonal_normal_pit(daily(s, d), 15, 6).drop("value"), 5)
     q["seasonal_empirical_pit"] = lambda s, d: r6(rk.seasonal_empirical_pit(daily(s, d), 10))
     q["dry_probability_by_doy"] = lambda s, d: r6(rk.dry_probability_by_doy(daily(s, d).filter("variable = 'discount'"), 15, 0.05))
     q["wet_mask"] = lambda s, d: r6(rk.wet_mask(daily(s, d), 0.05))

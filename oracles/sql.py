@@ -407,7 +407,7 @@ def build() -> dict[str, str]:
         f"WITH {DAILY}, {mom}, mn AS (SELECT *, count(*) OVER (PARTITION BY {SERIES}) AS n FROM mo), "
         f"sp AS (SELECT station, variable, k, sum(mean*cos({ang})) AS mr, sum(-mean*sin({ang})) AS mi, sum(sd*cos({ang})) AS sr, sum(-sd*sin({ang})) AS si FROM mn, range(0,7) t(k) GROUP BY ALL), "
         f"sm AS (SELECT station, variable, doy, sum(CASE WHEN k=0 THEN 1 ELSE 2 END*(mr*cos({ang})-mi*sin({ang})))/any_value(n) AS mean, sum(CASE WHEN k=0 THEN 1 ELSE 2 END*(sr*cos({ang})-si*sin({ang})))/any_value(n) AS sd FROM mn JOIN sp USING (station, variable) GROUP BY ALL), "
-        f"z AS (SELECT d.*, (value-mean)/sd AS z FROM daily d JOIN sm ON d.station=sm.station AND d.variable=sm.variable AND dayofyear(d.time)=sm.doy) SELECT station, variable, time, round(value,5) AS value, round({_normal_cdf('z')},5) AS u FROM z"
+        f"z AS (SELECT d.*, (value-mean)/sd AS z FROM daily d JOIN sm ON d.station=sm.station AND d.variable=sm.variable AND dayofyear(d.time)=sm.doy) SELECT station, variable, time, round({_normal_cdf('z')},5) AS u FROM z"
     )
     q["seasonal_empirical_pit"] = (
         f"WITH {DAILY}, w AS (SELECT station, variable, d, s.value FROM {_doy_join('daily', 10)}), c AS (SELECT station, variable, d, value, count(*) AS t FROM w GROUP BY ALL), "
