@@ -132,8 +132,8 @@ def band_union(conditions: DataFrame, length: int) -> DataFrame:
         F.coalesce("upper_period", F.lit(float("inf"))).alias("hi"),
     )
     bands = ranges.agg(F.collect_set(F.struct("lo", "hi"))).scalar()
-    chosen = F.exists(bands, lambda b: (F.col("period") >= b["lo"]) & (F.col("period") < b["hi"]))
-    return harmonics.filter(chosen)
+    chosen = F.exists("_bands", lambda b: (F.col("period") >= b["lo"]) & (F.col("period") < b["hi"]))
+    return harmonics.withColumn("_bands", bands).filter(chosen).drop("_bands")
 
 
 def default_bounds_from_obs(sums: DataFrame, k: float = 1.1, q: tuple[float, float] = (0.35, 0.65)) -> DataFrame:

@@ -230,6 +230,7 @@ def exact_quantiles(
     Returns (keys, level_id, level, quantile). Unlike ``percentile`` this does not build
     a map of all values of a group in one task.
     """
+    df, column = df.withColumn("_x", F.col(column)).select(*keys, "_x"), "_x"
     counts = value_counts(df, keys, column, block)
     grid = F.array(
         *[F.struct(F.lit(i).alias("id"), F.lit(float(p)).alias("p")) for i, p in enumerate(levels)]
@@ -263,6 +264,7 @@ def regular_quantiles(
     The three expressions may use ``total`` and the columns of ``extra`` (joined on the
     keys they share), so the number of levels may grow with the series.
     """
+    df, column = df.withColumn("_x", F.col(column)).select(*keys, "_x"), "_x"
     counts = value_counts(df, keys, column, block)
     if extra is not None:
         counts = counts.join(extra, [k for k in keys if k in extra.columns])

