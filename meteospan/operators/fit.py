@@ -436,7 +436,8 @@ def fit_seasonal_copula(
             "theta", F.when(F.col("_share") >= 0.05, F.col("theta"))
         ).drop("_share")
     kept = found.groupBy(*member).agg(F.avg(F.col("theta").isNull().cast("double")).alias("_bad"))
-    return found.join(kept.filter(F.col("_bad") <= 0.5).drop("_bad"), member)
+    # at most 366 rows per member, and every later step reads them more than once
+    return cut_lineage(found.join(kept.filter(F.col("_bad") <= 0.5).drop("_bad"), member))
 
 
 def _bounds_of(which: str) -> Column:
