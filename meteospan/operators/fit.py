@@ -241,8 +241,10 @@ def _best_member(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     order = {name: i for i, name in enumerate(FAMILIES)}
     rank = F.create_map(*[F.lit(x) for item in order.items() for x in item])[F.col("family")]
     place = rank * 4 + F.col("rotation") / 90
+    # some rotations are the same copula with another θ; rounding makes that tie exact
     best = F.max_by(
-        F.struct("family", "rotation", "theta", "loglik", "n"), F.struct("loglik", -place)
+        F.struct("family", "rotation", "theta", "loglik", "n"),
+        F.struct(F.round("loglik", 5), -place),
     )
     return fits.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
