@@ -9,24 +9,24 @@ from meteospan.operators import ranks, vine
 COVARIANCE = np.array(
     [[1.300, 0.568, 0.597, 0.507], [0.568, 0.910, 0.288, 0.686], [0.597, 0.288, 0.963, 0.282], [0.507, 0.686, 0.282, 0.892]]
 )
-NAMES = list("abcd")
+NAMES = list("abc")
 
 
 @pytest.fixture(scope="module")
 def rank_table(spark):
-    x = np.random.default_rng(0).multivariate_normal(np.zeros(4), COVARIANCE, 500)
-    frame = pd.DataFrame(x, columns=NAMES).assign(time=pd.date_range("2000-01-01", periods=500), station="s")
+    x = np.random.default_rng(0).multivariate_normal(np.zeros(4), COVARIANCE, 300)[:, :3]
+    frame = pd.DataFrame(x, columns=NAMES).assign(time=pd.date_range("2000-01-01", periods=300), station="s")
     long = frame.melt(["station", "time"], var_name="variable")
     return ranks.rel_ranks(spark.createDataFrame(long)).drop("value").cache()
 
 
 @pytest.mark.parametrize("kind,by", [("C", None), ("R", "station")])
 def test_quantiles_are_independent_and_invert(rank_table, kind, by):
-    edges = vine.fit_vine(rank_table, NAMES, kind, by, families=["gaussian", ("gumbel", 0)])
-    assert edges.count() == 6
+    edges = vine.fit_vine(rank_table, NAMES, kind, by, families=["gaussian"])
+    assert edges.count() == 3
     q = vine.vine_quantiles(rank_table, edges, NAMES, by).cache()
     check = vine.independence_check(q, by).toPandas()
     assert check.ks.max() < 0.08 and check.max_abs_corr.max() < 0.1
     back = vine.vine_inverse(q, edges, NAMES, by).withColumnRenamed("u", "u2")
     gap = back.join(rank_table, ["station", "time", "variable"]).select(F.max(F.abs(F.col("u2") - F.col("u"))), F.count("*")).first()
-    assert gap[0] < 1e-6 and gap[1] == 2000
+    assert gap[0] < 1e-6 and gap[1] == 900
