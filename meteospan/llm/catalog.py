@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from meteospan.llm import quality_rules
+from meteospan.llm import license_scan, pii, quality_rules
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_pii": pii.op5_pii,
+        "op10_license_scan": license_scan.op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality_rules.op4_sql(),
+        "op10_license_scan": license_scan.op10_sql(),
     }
