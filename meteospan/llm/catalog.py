@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from meteospan.llm import license_scan, pii, quality_rules
+from meteospan.llm import license_scan, ngram_join, pii, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_pii": pii.op5_pii,
         "op10_license_scan": license_scan.op10_license_scan,
@@ -15,6 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": ngram_join.op1_sql(),
         "op4_quality_rules": quality_rules.op4_sql(),
         "op10_license_scan": license_scan.op10_sql(),
     }
