@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meteospan.llm import license_scan, ngram_join, pii, quality_rules
+from meteospan.llm import decontaminate, license_scan, line_dedup, ngram_join, pii, quality_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_pii": pii.op5_pii,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_license_scan": license_scan.op10_license_scan,
     }
 
@@ -18,5 +20,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": ngram_join.op1_sql(),
         "op4_quality_rules": quality_rules.op4_sql(),
+        "op6_line_dedup": line_dedup.op6_sql(),
+        "op9_decontaminate": decontaminate.op9_sql(),
         "op10_license_scan": license_scan.op10_sql(),
     }
