@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meteospan.llm import decontaminate, license_scan, line_dedup, ngram_join, pii, quality_rules
+from meteospan.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, pii, quality_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_pii": pii.op5_pii,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op7_bpe": bpe.op7_bpe,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_license_scan": license_scan.op10_license_scan,
     }
