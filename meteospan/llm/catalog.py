@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from meteospan.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, pii, quality_rules
+from meteospan.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, pii, quality_rules, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_ngram_join": ngram_join.op1_ngram_join,
+        "op2_token_files": token_files.op2_token_files,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_pii": pii.op5_pii,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_bpe": bpe.op7_bpe,
+        "op8_warc": warc.op8_warc,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_license_scan": license_scan.op10_license_scan,
     }
@@ -22,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_join": ngram_join.op1_sql(),
         "op4_quality_rules": quality_rules.op4_sql(),
         "op6_line_dedup": line_dedup.op6_sql(),
+        "op8_warc": warc.op8_sql(),
         "op9_decontaminate": decontaminate.op9_sql(),
         "op10_license_scan": license_scan.op10_sql(),
     }
