@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from meteospan.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, pii, quality_rules, token_files, warc
+from meteospan.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_token_files": token_files.op2_token_files,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_pii": pii.op5_pii,
         "op6_line_dedup": line_dedup.op6_line_dedup,
