@@ -9,7 +9,7 @@ Steps, all exact:
    get into a prefix.
 3. Nodes that meet in a token and pass the length and position filters form a candidate list; equal
    lists (a family of near copies makes one for each shared token) are kept once.
-4. A task gets a list with the texts of its nodes and runs a T-occurrence search: an inverted index
+4. A task gets one or more lists with the texts of their nodes and runs a T-occurrence search: an inverted index
    over the sets, short lists merged on a heap, long ones probed by binary search (DivideSkip).
    Nodes already in one component are not compared again, so a task returns a forest, not pairs.
    A long list is cut into blocks, each with the list's hub; blocks whose nodes are not in one
@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from meteospan.llm import textscan as ts
 from meteospan.llm.components import components
+from meteospan.llm.pieces import gather
 from meteospan.llm.store import written
 
 HEAVY = 1 << 20
 #: Tokens sorted at once when frequent ones are counted.
 COUNT_AT_ONCE = 1 << 22
-#: Shingles of one search task; a longer list of candidates is cut into blocks.
-BLOCK = 1 << 20
+#: Shingles of one search task: a longer list of candidates is cut into blocks, short ones share a task.
+BLOCK = 1 << 19
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[ts.Words, np.ndarray, np.ndarray]]:
@@ -277,15 +278,17 @@ def search_links(sets: list[np.ndarray], groups: list, percent: int) -> list[tup
         inside = place < len(key)
         place, own = place[inside], s[inside]
         place = place[key[place] == own]
-        lists = []
-        for p in place:
-            ids = owner[begin[p] : stop[p]]
-            ids = ids[(ids < i) & (size[ids] >= low)]
-            ids = ids[comp[ids] != comp[i]]
-            if len(ids):
-                lists.append(ids.tolist())
+        length = stop[place] - begin[place]
+        ids = owner[gather(begin[place], length)]
+        of = np.repeat(np.arange(len(place)), length)
+        fit = (ids < i) & (size[ids] >= low) & (comp[ids] != comp[i])
+        ids, of = ids[fit], of[fit]
+        # as many lists as have an id left; fewer than the overlap asked for are not worth a merge
+        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
         least = -(-percent * (n + low) // (100 + percent))
-        for j, both in divide_skip(lists, least):
+        if len(cut) < least:
+            continue
+        for j, both in divide_skip([x.tolist() for x in np.split(ids, cut[1:])], least):
             if comp[j] != comp[i] and 100 * both >= percent * (n + size[j] - both):
                 join(j, i)
                 head = int(comp[i])
@@ -338,7 +341,9 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     sized = lists.groupBy("list").agg(F.sum("n").alias("total"), F.min("node").alias("hub")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
     whole = lists.join(sized, "list")
     block = F.pmod(F.xxhash64("node"), "blocks")
-    own = whole.select(F.xxhash64("list", block).alias("task"), "node")
+    tasks = max(1, -(-(lists.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    shared = F.pmod(F.xxhash64("list"), F.lit(tasks))
+    own = whole.select(F.when(F.col("blocks") > 1, F.xxhash64("list", block)).otherwise(shared).alias("task"), "node")
     hubs = sized.filter("blocks > 1").select("list", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     first = own.union(hubs.select(F.xxhash64("list", F.col("block").cast("bigint")), "hub")).distinct()
     links = written(_search(first.withColumn("group", F.lit(None).cast("binary")), sources, read, size, percent), "links")
