@@ -23,7 +23,6 @@ any order gives the same links.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,45 +187,47 @@ def candidate_lists(nodes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(runs, "list binary, node binary, n long").distinct()
 
 
-def divide_skip(lists: list[list[int]], least: int, mu: float = 0.01) -> Iterator[tuple[int, int]]:
-    """Ids that occur in at least ``least`` of the sorted lists, with their count.
-
-    The longest lists are set aside; the others are merged on a heap, skipping ids that cannot
-    reach the rest of the count, and each survivor is looked up in the long lists.
+def merge_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all sorted lists with the number of lists that hold them. The two shortest lists are
+    merged first, taken from a heap, so that a long list is passed over as seldom as possible."""
+    heap = [(len(x), i, x, np.ones(len(x), np.int64)) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    turn = len(lists)
+    while len(heap) > 1:
+        _, _, a, m = heapq.heappop(heap)
+        _, _, b, n = heapq.heappop(heap)
+        place = np.searchsorted(b, a)
+        met = place < len(b)
+        met[met] = b[place[met]] == a[met]
+        n = n.copy()
+        n[place[met]] += m[met]
+        x, n = np.insert(b, place[~met], a[~met]), np.insert(n, place[~met], m[~met])
+        heapq.heappush(heap, (len(x), turn, x, n))
+        turn += 1
+    return heap[0][2:] if heap else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def divide_skip(lists: list[np.ndarray], least: int, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that occur in at least ``least`` of the sorted lists, and their counts.
+
+    The longest lists are set aside and the others merged; ids that the merge counts often enough
+    are looked up in the long lists by binary search, as long as they can still reach ``least``.
     """
     if least < 1 or len(lists) < least:
-        return
+        return merge_counts([])
     lists = sorted(lists, key=len)
-    longest = len(lists[-1])
-    n_long = min(least - 1, int(least / (mu * max(longest, 2).bit_length() + 1)))
+    n_long = min(least - 1, int(least / (mu * max(len(lists[-1]), 2).bit_length() + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    need = least - n_long
-    at = [0] * len(short)
-    heap = [(x[0], i) for i, x in enumerate(short) if x]
-    heapq.heapify(heap)
-    while len(heap) >= need:
-        top = heap[0][0]
-        popped = []
-        while heap and heap[0][0] == top:
-            popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= need:
-            count = len(popped)
-            for x in long:
-                k = bisect_left(x, top)
-                count += k < len(x) and x[k] == top
-            if count >= least:
-                yield top, count
-            bound = top + 1
-        else:
-            while heap and len(popped) < need - 1:
-                popped.append(heapq.heappop(heap)[1])
-            if not heap:
-                return
-            bound = max(heap[0][0], top + 1)
-        for i in popped:
-            at[i] = bisect_left(short[i], bound, at[i])
-            if at[i] < len(short[i]):
-                heapq.heappush(heap, (short[i][at[i]], i))
+    ids, count = merge_counts(short)
+    for left in range(n_long, 0, -1):
+        able = count + left >= least
+        ids, count = ids[able], count[able]
+        if not len(ids):
+            return ids, count
+        x = long[left - 1]
+        place = np.minimum(np.searchsorted(x, ids), len(x) - 1)
+        count = count + (x[place] == ids)
+    return ids[count >= least], count[count >= least]
 
 
 def search_links(sets: list[np.ndarray], groups: list, percent: int) -> list[tuple[int, int]]:
@@ -288,7 +289,9 @@ def search_links(sets: list[np.ndarray], groups: list, percent: int) -> list[tup
         least = -(-percent * (n + low) // (100 + percent))
         if len(cut) < least:
             continue
-        for j, both in divide_skip([x.tolist() for x in np.split(ids, cut[1:])], least):
+        ends = np.concatenate([cut[1:], [len(ids)]]).tolist()
+        near, overlap = divide_skip([ids[a:b] for a, b in zip(cut.tolist(), ends)], least)
+        for j, both in zip(near.tolist(), overlap.tolist()):
             if comp[j] != comp[i] and 100 * both >= percent * (n + size[j] - both):
                 join(j, i)
                 head = int(comp[i])
