@@ -187,12 +187,15 @@ def candidate_lists(nodes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(runs, "list binary, node binary, n long").distinct()
 
 
-def merge_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all sorted lists with the number of lists that hold them. The two shortest lists are
-    merged first, taken from a heap, so that a long list is passed over as seldom as possible."""
-    heap = [(len(x), i, x, np.ones(len(x), np.int64)) for i, x in enumerate(lists)]
+def merge_counts(ids: np.ndarray, run: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of some joined lists and how often each occurs. Stretches of ``run`` ids are
+    counted first; the counted runs are merged two by two, the shortest first, from a heap."""
+    heap = []
+    for i, at in enumerate(range(0, max(len(ids), 1), run)):
+        x, n = np.unique(ids[at : at + run], return_counts=True)
+        heap.append((len(x), i, x, n))
     heapq.heapify(heap)
-    turn = len(lists)
+    turn = len(heap)
     while len(heap) > 1:
         _, _, a, m = heapq.heappop(heap)
         _, _, b, n = heapq.heappop(heap)
@@ -204,30 +207,35 @@ def merge_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, n = np.insert(b, place[~met], a[~met]), np.insert(n, place[~met], m[~met])
         heapq.heappush(heap, (len(x), turn, x, n))
         turn += 1
-    return heap[0][2:] if heap else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return heap[0][2:]
 
 
-def divide_skip(lists: list[np.ndarray], least: int, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Ids that occur in at least ``least`` of the sorted lists, and their counts.
+def divide_skip(ids: np.ndarray, length: np.ndarray, least: int, mu: float = 0.01, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that occur in at least ``least`` of the lists, and their counts. ``ids`` are the lists, each
+    sorted, one after the other, and ``length`` their lengths.
 
     The longest lists are set aside and the others merged; ids that the merge counts often enough
     are looked up in the long lists by binary search, as long as they can still reach ``least``.
     """
-    if least < 1 or len(lists) < least:
-        return merge_counts([])
-    lists = sorted(lists, key=len)
-    n_long = min(least - 1, int(least / (mu * max(len(lists[-1]), 2).bit_length() + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    ids, count = merge_counts(short)
-    for left in range(n_long, 0, -1):
-        able = count + left >= least
-        ids, count = ids[able], count[able]
-        if not len(ids):
-            return ids, count
-        x = long[left - 1]
-        place = np.minimum(np.searchsorted(x, ids), len(x) - 1)
-        count = count + (x[place] == ids)
-    return ids[count >= least], count[count >= least]
+    if least < 1 or len(length) < least:
+        return merge_counts(ids[:0])
+    start = np.cumsum(length) - length
+    order = np.argsort(length, kind="stable")
+    n_long = min(least - 1, int(least / (mu * max(int(length.max()), 2).bit_length() + 1)))
+    short, long = order[: len(order) - n_long], order[len(order) - n_long :]
+    found, count = merge_counts(ids[gather(start[short], length[short])])
+    top = int(ids.max()) + 1
+    for at in range(0, n_long, block):
+        able = count + (n_long - at) >= least
+        found, count = found[able], count[able]
+        if not len(found):
+            return found, count
+        part = long[at : at + block]
+        keys = np.repeat(np.arange(len(part)) * top, length[part]) + ids[gather(start[part], length[part])]
+        asked = (np.arange(len(part))[:, None] * top + found).ravel()
+        place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        count = count + (keys[place] == asked).reshape(len(part), -1).sum(0)
+    return found[count >= least], count[count >= least]
 
 
 def search_links(sets: list[np.ndarray], groups: list, percent: int) -> list[tuple[int, int]]:
@@ -289,8 +297,7 @@ def search_links(sets: list[np.ndarray], groups: list, percent: int) -> list[tup
         least = -(-percent * (n + low) // (100 + percent))
         if len(cut) < least:
             continue
-        ends = np.concatenate([cut[1:], [len(ids)]]).tolist()
-        near, overlap = divide_skip([ids[a:b] for a, b in zip(cut.tolist(), ends)], least)
+        near, overlap = divide_skip(ids, np.diff(np.concatenate([cut, [len(ids)]])), least)
         for j, both in zip(near.tolist(), overlap.tolist()):
             if comp[j] != comp[i] and 100 * both >= percent * (n + size[j] - both):
                 join(j, i)

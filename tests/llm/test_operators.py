@@ -50,7 +50,7 @@ def test_divide_skip():
         least = int(rng.integers(1, 8))
         count = Counter(int(x) for one in lists for x in one)
         for mu in (0.01, 0.5):
-            ids, times = ngram_join.divide_skip(lists, least, mu)
+            ids, times = ngram_join.divide_skip(np.concatenate(lists), np.array([len(x) for x in lists]), least, mu, block=3)
             assert dict(zip(ids.tolist(), times.tolist())) == {k: v for k, v in count.items() if v >= least}
 
 
