@@ -434,17 +434,17 @@ def by_family(
     return out
 
 
-def symmetry_flags(spark: SparkSession, symmetry2: bool | None = None) -> DataFrame:
+def symmetry_flags(spark: SparkSession) -> DataFrame:
     """The families table with bounds and symmetry flags.
 
-    symmetry1: C equals its 180° rotation. symmetry2: C equals its 90° reflection across the
-    other diagonal; by numbers this holds for independence only among one-parameter families
-    that are not themselves rotated, a fixed flag can be set with ``symmetry2``.
+    symmetry1: C equals its 180° rotation. symmetry2: C(u, v) = C(v, u). All families are symmetric in
+    their arguments; a rotation by 180° keeps that, one by 90° or 270° only for Plackett, whose
+    rotation is the Plackett copula of 1/θ.
     """
     rows = []
     for name, degrees in members():
         f = FAMILIES[name]
-        second = name in ("independence",) if symmetry2 is None else symmetry2
+        second = degrees in (0, 180) or name == "plackett"
         rows.append((name, degrees, f.start, f.lo, f.hi, f.symmetric, second))
     return spark.createDataFrame(
         rows,

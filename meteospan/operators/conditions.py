@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from meteospan.operators.ordering import exact_quantiles
 from meteospan.operators.timeops import hyd_year_sums, period_band
-from meteospan.schema import series_keys
+from meteospan.schema import finite, series_keys
 
 COLUMNS = "name string, station string, kind string, lower double, upper double, lower_period double, upper_period double"
 
@@ -71,7 +71,7 @@ def score_conditions(
     df: DataFrame, conditions: DataFrame, variable: str = "R",
     full_years: bool = True, start_month: int = 10,
 ) -> DataFrame:
-    """Penalty per condition and its share of the total, largest first.
+    """Penalty per condition and its share of the total.
 
     All conditions are scored in one pass over the yearly sums of their station.
     """
@@ -103,7 +103,7 @@ def score_conditions(
     else:
         out = single.withColumn("total_penalty", single.select(F.sum("penalty")).scalar())
     share = F.coalesce(F.try_divide(100 * F.col("penalty"), F.col("total_penalty")), F.lit(0.0))
-    return out.withColumn("share_percent", share).orderBy(*by, F.col("penalty").desc(), "name")
+    return out.withColumn("share_percent", share)
 
 
 def union_conditions(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -113,15 +113,28 @@ def union_conditions(a: DataFrame, b: DataFrame) -> DataFrame:
 def accept_realizations(
     ens: DataFrame, conditions: DataFrame, tol: float = 0.0, variable: str = "R", **options
 ) -> DataFrame:
-    """Keep the realizations whose total penalty is at most ``tol``."""
+    """Keep the realizations that every condition could score and whose total penalty is at most
+    ``tol``. One without a complete year, or of other stations, cannot be scored and is not kept;
+    ``unscored_realizations`` names it."""
     by = [k for k in ("ensemble", "realization") if k in ens.columns]
-    failed = (
-        score_conditions(ens, conditions, variable, **options)
-        .filter(F.col("total_penalty") > tol)
-        .select(*by)
-        .distinct()
+    return ens.join(_scored(ens, conditions, variable, **options).filter(F.col("_total") <= tol), by, "left_semi")
+
+
+def unscored_realizations(ens: DataFrame, conditions: DataFrame, variable: str = "R", **options) -> DataFrame:
+    """Realizations that some condition could not score."""
+    by = [k for k in ("ensemble", "realization") if k in ens.columns]
+    return ens.select(*by).distinct().join(_scored(ens, conditions, variable, **options), by, "left_anti")
+
+
+def _scored(ens: DataFrame, conditions: DataFrame, variable: str, **options) -> DataFrame:
+    """Total penalty of the realizations with a finite penalty for every condition."""
+    by = [k for k in ("ensemble", "realization") if k in ens.columns]
+    wanted = conditions.select("name", "station", "kind").distinct().agg(F.count("*")).scalar()
+    known = score_conditions(ens, conditions, variable, **options).filter(finite("penalty"))
+    scored = known.groupBy(*by).agg(
+        F.sum("penalty").alias("_total"), F.count_distinct("name", "station", "kind").alias("_scored")
     )
-    return ens.join(failed, by, "left_anti")
+    return scored.withColumn("_wanted", wanted).filter("_scored = _wanted").drop("_scored", "_wanted")
 
 
 def band_union(conditions: DataFrame, length: int) -> DataFrame:

@@ -12,6 +12,7 @@ from meteospan.operators.ordering import (
     running_sums,
     calendar_block,
     value_block,
+    with_halo,
     with_position,
 )
 from meteospan.operators.pairs import nan_corr
@@ -22,13 +23,14 @@ from meteospan.schema import finite, require, series_keys
 SITE = ["station", "variable"]
 
 
-def compare_means(obs: DataFrame, ens: DataFrame, n_eval: int = 100, by: str = "station") -> DataFrame:
+def compare_means(obs: DataFrame, ens: DataFrame, n_eval: int | None = None, by: str = "station") -> DataFrame:
     """Observed and simulated means, difference and difference in percent, rounded to 3.
 
     ``by="station"`` gives one row per station and variable, ``by="all"`` averages the
-    station means, ``by="both"`` returns the two in one pass (station null = all).
+    station means, ``by="both"`` returns the two in one pass (station null = all). All
+    realizations count unless ``n_eval`` asks for the first ones.
     """
-    chosen = ens.filter(F.col("realization") < n_eval)
+    chosen = ens if n_eval is None else ens.filter(F.col("realization") < n_eval)
     mean = lambda df, name: df.filter(finite("value")).groupBy(*SITE).agg(F.avg("value").alias(name))
     means = mean(obs, "obs").join(mean(chosen, "sim"), SITE)
     if by == "all":
@@ -163,19 +165,23 @@ def exceedance_depth(
     return out.withColumn("exceedance", 1.0 - F.col("level"))
 
 
-def runs(df: DataFrame, flag: str, keys: Sequence[str] | None = None) -> DataFrame:
-    """Number every run of equal ``flag`` values along time: adds pos and run."""
+def runs(df: DataFrame, flag: str, keys: Sequence[str] | None = None, step: str = "1 day") -> DataFrame:
+    """Number every run of equal ``flag`` values along time: adds pos and run.
+
+    A run ends where the flag changes or the next row is more than ``step`` later.
+    """
     keys = series_keys(df) if keys is None else list(keys)
-    measures = {"pos": F.lit(1).cast("long"), "run_true": F.col(flag).cast("long")}
-    rows = running_sums(df, keys, ["time"], measures, calendar_block())
-    # within a run of True, pos − (True before) is constant; within False the count itself is
-    return rows.withColumn(
-        "run", F.when(F.col(flag), F.col("pos") - F.col("run_true")).otherwise(F.col("run_true"))
-    ).drop("run_true")
+    before = {"_before": lambda w: F.lag(F.struct("time", F.col(flag).alias("flag"))).over(w)}
+    rows = with_halo(with_position(df, keys), keys, 1, 0, before)
+    near = F.col("_before.time") + F.expr(f"INTERVAL {step}") >= F.col("time")
+    start = ~F.coalesce(near & (F.col("_before.flag") == F.col(flag)), F.lit(False))
+    rows = rows.withColumn("_start", start.cast("long")).drop("_before", "pos_total")
+    numbered = running_sums(rows, keys, ["time"], {"run": F.col("_start")}, calendar_block())
+    return numbered.withColumn("run", F.col("run") + F.col("_start") - 1).drop("_start")
 
 
 def spell_lengths(df: DataFrame, threshold: float, variable: str | None = None) -> DataFrame:
-    """Length of every dry and wet run; wet is value > threshold."""
+    """Length of every dry and wet run of days; wet is value > threshold. A missing day ends a run."""
     rows = df.filter(finite("value"))
     if variable is not None:
         rows = rows.filter(F.col("variable") == variable)

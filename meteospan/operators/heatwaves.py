@@ -13,7 +13,8 @@ from meteospan.schema import finite, series_keys
 
 
 def islands(df: DataFrame, mask: str = "mask", min_length: int = 3, keys: Sequence[str] | None = None) -> DataFrame:
-    """Runs of True of at least ``min_length`` rows: (keys, wave_id, begin, end, days)."""
+    """Runs of True of at least ``min_length`` days: (keys, wave_id, begin, end, days). A missing
+    day ends a run."""
     keys = series_keys(df) if keys is None else list(keys)
     marked = runs(df.withColumn(mask, F.coalesce(F.col(mask), F.lit(False))), mask, keys)
     return (
@@ -125,13 +126,18 @@ def heatwaves_zitis(
 
 
 def bridge(df: DataFrame, mask: str = "mask", keys: Sequence[str] | None = None) -> DataFrame:
-    """A single False between two True becomes True (judged on the given mask)."""
+    """A single False between two True of the days next to it becomes True (judged on the given mask)."""
     keys = series_keys(df) if keys is None else list(keys)
     rows = with_halo(
         with_position(df, keys), keys, 1, 1,
-        {"_before": lambda w: F.lag(mask).over(w), "_after": lambda w: F.lead(mask).over(w)},
+        {
+            "_before": lambda w: F.lag(F.struct("time", F.col(mask).alias("mask"))).over(w),
+            "_after": lambda w: F.lead(F.struct("time", F.col(mask).alias("mask"))).over(w),
+        },
     )
-    joined = F.coalesce(F.col("_before") & F.col("_after"), F.lit(False))
+    day = F.expr("INTERVAL 1 DAY")
+    next_to = (F.col("_before.time") + day >= F.col("time")) & (F.col("time") + day >= F.col("_after.time"))
+    joined = F.coalesce(F.col("_before.mask") & F.col("_after.mask") & next_to, F.lit(False))
     return rows.withColumn(mask, F.col(mask) | joined).drop("_before", "_after", "pos", "pos_total")
 
 
@@ -154,13 +160,14 @@ def heatwaves_kuglitsch(
 
 
 def ensemble_member_heatwaves(
-    ens: DataFrame, reference: DataFrame, n: int = 100, definition=heatwaves_kuglitsch,
+    ens: DataFrame, reference: DataFrame, n: int | None = None, definition=heatwaves_kuglitsch,
     drop_variables: Sequence[str] = ("R",), **options,
 ) -> DataFrame:
-    """Waves of every realization against bounds pooled from a reference ensemble."""
+    """Waves of every realization against bounds pooled from a reference ensemble, all of it
+    unless ``n`` asks for its first realizations."""
     keep = ~F.col("variable").isin(list(drop_variables))
     known = reference.filter(keep)
-    if "realization" in known.columns:
+    if n is not None and "realization" in known.columns:
         known = known.filter(F.col("realization") < n)
     return definition(ens.filter(keep), reference=known, **options)
 

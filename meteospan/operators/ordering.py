@@ -30,6 +30,11 @@ def value_block(column: str, resolution: int = 4096) -> Column:
     return F.floor(F.signum(x) * F.log1p(F.abs(x) * 1e9) * resolution)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the keys; without keys ``right`` is one group, a single row or one of a short list."""
+    return left.join(right, list(keys), how) if keys else left.join(right, F.lit(True), how)
+
+
 def position_block(column: str, size: int = POSITIONS_PER_BLOCK) -> Column:
     return F.floor(F.col(column) / size)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meteospan.operators.ordering import with_halo, with_position
+from meteospan.operators.ordering import join_on, with_halo, with_position
 from meteospan.operators.ranks import dense_ranks, dominance, rel_ranks
 from meteospan.operators.timeops import calendar_keys, doy_targets
 from meteospan.schema import finite, pair_keys, series_keys
@@ -46,10 +46,10 @@ def nan_corr(
     df: DataFrame,
     label: Sequence[str] = ("variable",),
     by: Sequence[str] | None = None,
-    min_rows: int = 30,
+    min_rows: int | None = None,
 ) -> DataFrame:
-    """Pairwise-complete Pearson correlation (null up to ``min_rows`` joint rows), joint
-    rows and the share of overlap."""
+    """Pairwise-complete Pearson correlation, joint rows ``n`` and the share of overlap. With
+    ``min_rows`` the correlation is null up to so many joint rows."""
     if by is None:
         by = [c for c in series_keys(df) if c not in label]
     pairs = cross_section_pairs(df, [*by, "time"], label)
@@ -60,10 +60,10 @@ def nan_corr(
         F.count_if(joint).alias("n"),
         F.avg(joint.cast("double")).alias("overlap"),
     )
-    return out.withColumn("corr", F.when(F.col("n") > min_rows, F.col("corr")))
+    return out if min_rows is None else out.withColumn("corr", F.when(F.col("n") > min_rows, F.col("corr")))
 
 
-def corr_matrix(df: DataFrame, min_rows: int = 30) -> DataFrame:
+def corr_matrix(df: DataFrame, min_rows: int | None = None) -> DataFrame:
     """Pearson correlation of every (station, variable) with every other."""
     return nan_corr(df, ("station", "variable"), [c for c in ("realization",) if c in df.columns], min_rows)
 
@@ -74,12 +74,12 @@ def _compare(obs, sim, label, by, min_rows):
     return a.join(b, [*by, f"{label}_i", f"{label}_j"])
 
 
-def intra_site_corr(obs: DataFrame, sim: DataFrame, min_rows: int = 30) -> DataFrame:
+def intra_site_corr(obs: DataFrame, sim: DataFrame, min_rows: int | None = None) -> DataFrame:
     """Correlation of variable pairs within each station, observed and simulated."""
     return _compare(obs, sim, "variable", ["station"], min_rows)
 
 
-def inter_site_corr(obs: DataFrame, sim: DataFrame, min_rows: int = 30) -> DataFrame:
+def inter_site_corr(obs: DataFrame, sim: DataFrame, min_rows: int | None = None) -> DataFrame:
     """Correlation of station pairs within each variable, observed and simulated."""
     return _compare(obs, sim, "station", ["variable"], min_rows)
 
@@ -95,12 +95,12 @@ def _band(obs, ens, label, by, min_rows):
     return a.join(b, group)
 
 
-def ensemble_intra_corr_band(obs: DataFrame, ens: DataFrame, min_rows: int = 30) -> DataFrame:
+def ensemble_intra_corr_band(obs: DataFrame, ens: DataFrame, min_rows: int | None = None) -> DataFrame:
     """Observed variable-pair correlation next to the range over realizations."""
     return _band(obs, ens, "variable", ["station"], min_rows)
 
 
-def ensemble_inter_corr_band(obs: DataFrame, ens: DataFrame, min_rows: int = 30) -> DataFrame:
+def ensemble_inter_corr_band(obs: DataFrame, ens: DataFrame, min_rows: int | None = None) -> DataFrame:
     """Observed station-pair correlation next to the range over realizations."""
     return _band(obs, ens, "station", ["variable"], min_rows)
 
@@ -184,9 +184,9 @@ def kendall_tau(
     n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
     n1, n2, n3 = F.col("_n1"), F.col("_n2"), F.col("_n3")
     out = (
-        totals.join(ties(u).withColumnRenamed("_ties", "_n1"), keys)
-        .join(ties(v).withColumnRenamed("_ties", "_n2"), keys)
-        .join(discordant, keys, "left")
+        totals.transform(join_on, ties(u).withColumnRenamed("_ties", "_n1"), keys)
+        .transform(join_on, ties(v).withColumnRenamed("_ties", "_n2"), keys)
+        .transform(join_on, discordant, keys, "left")
     )
     tau = F.try_divide(
         n0 - n1 - n2 + n3 - 2.0 * F.coalesce(F.col("_d"), F.lit(0.0)),

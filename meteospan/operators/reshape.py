@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from meteospan.operators.ordering import with_position
+from meteospan.operators.ordering import join_on, with_position
 from meteospan.schema import finite, require, series_keys
 
 
@@ -117,7 +117,12 @@ def overlay(daily: DataFrame, hourly: DataFrame, variables: Sequence[str]) -> Da
     second = hourly.filter(F.col("variable").isin(list(variables))).select(
         *keys, F.col("value").alias("_new")
     )
-    both = daily.join(second, keys, "full_outer")
+    # the axis of a station and variable: all times of either table at that station
+    series = daily.select(*keys[:-1]).unionByName(second.select(*keys[:-1])).distinct()
+    site = [k for k in keys[:-1] if k != "variable"]
+    times = daily.select(*site, "time").unionByName(hourly.select(*site, "time")).distinct()
+    axis = join_on(series, times, site)
+    both = axis.join(daily, keys, "left").join(second, keys, "left")
     value = F.when(
         F.col("variable").isin(list(variables)), F.coalesce("_new", "value")
     ).otherwise(F.col("value"))

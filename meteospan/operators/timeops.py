@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meteospan.operators.ordering import calendar_block, carry, with_halo, with_position
+from meteospan.operators.ordering import calendar_block, carry, join_on, with_halo, with_position
 from meteospan.schema import finite, require, series_keys
 
 DAYS_IN_CYCLE = 365
@@ -75,7 +75,7 @@ def interpolate_time(
     line = lambda p, q: p["v"] + (q["v"] - p["v"]) * F.try_divide(
         seconds("time") - seconds(p["time"]), seconds(q["time"]) - seconds(p["time"])
     )
-    rows = rows.join(ends, keys, "left")
+    rows = join_on(rows, ends, keys, "left")
     outside = F.when(a.isNull(), line(F.col("_first"), F.col("_second"))).when(
         b.isNull(), line(F.col("_last2"), F.col("_last1"))
     )
@@ -99,19 +99,26 @@ def fill_edges(
 
 
 def missing_report(df: DataFrame, fail: bool = False) -> DataFrame:
-    """Rows, missing rows and the all-missing flag per series; ``fail`` raises on any."""
+    """Rows, missing rows and the all-missing flag per series; with ``fail`` a series with missing
+    values raises when the plan runs."""
     report = df.groupBy(*series_keys(df)).agg(
         F.count("*").alias("n"),
         F.count_if(~finite("value")).alias("missing"),
         (F.count_if(finite("value")) == 0).alias("all_missing"),
     )
-    if fail:
-        bad = report.filter("all_missing").limit(20).collect()
-        if bad:
-            raise ValueError(f"series without any value, first ones: {bad}")
-        if report.filter("missing > 0").limit(1).collect():
-            raise ValueError("missing values, fill them first")
-    return report
+    if not fail:
+        return report
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in series_keys(df)])
+    problem = F.when(F.col("all_missing"), F.concat(F.lit("series without any value: "), name)).when(
+        F.col("missing") > 0, F.concat(F.lit("missing values, fill them first: "), name)
+    )
+    checked = F.when(problem.isNotNull(), F.raise_error(problem).cast("long")).otherwise(F.col("n"))
+    return report.withColumn("n", checked)
+
+
+def missing_series(df: DataFrame) -> DataFrame:
+    """The rows of ``missing_report`` whose series has no value at all."""
+    return missing_report(df).filter("all_missing")
 
 
 def clean_ranks(df: DataFrame, column: str = "u", keys: Sequence[str] | None = None) -> DataFrame:
@@ -311,7 +318,7 @@ def harmonic_year_integrals(
         *keys, "pos", hyd_year("time", start_month).alias("hyd_year")
     )
     return (
-        rows.join(amplitudes, keys)
+        join_on(rows, amplitudes, keys)
         .groupBy(*keys, "k", "hyd_year")
         .agg(F.sum(wave).alias("integral"))
     )
@@ -341,6 +348,6 @@ def smooth_by_doy(
             ).otherwise(0.0)
         rebuilt[c] = total / F.col("pos_total")
     rest = [c for c in table.columns if c not in columns]
-    return placed.select(*rest, "pos", "pos_total").join(spectra, keys).select(
+    return join_on(placed.select(*rest, "pos", "pos_total"), spectra, keys).select(
         *rest, *[e.alias(c) for c, e in rebuilt.items()]
     )

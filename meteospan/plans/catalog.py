@@ -198,12 +198,12 @@ def build() -> dict:
     q["asymmetry1"] = lambda s, d: r6(pr.asymmetry1(rank_pairs(s, d)))
     q["asymmetry2"] = lambda s, d: r6(pr.asymmetry2(rank_pairs(s, d)))
     q["asymmetry_sum"] = lambda s, d: r6(pr.asymmetry_sum(rank_pairs(s, d)))
-    q["nan_corr"] = lambda s, d: r6(pr.nan_corr(gappy(s, d)))
-    q["corr_matrix"] = lambda s, d: r6(pr.corr_matrix(daily(s, d)))
-    q["intra_site_corr"] = lambda s, d: r6(pr.intra_site_corr(daily(s, d), ens(s, d).filter("realization = 1").drop("realization")))
-    q["inter_site_corr"] = lambda s, d: r6(pr.inter_site_corr(daily(s, d), ens(s, d).filter("realization = 1").drop("realization")))
-    q["ensemble_intra_corr_band"] = lambda s, d: r6(pr.ensemble_intra_corr_band(daily(s, d), ens(s, d)))
-    q["ensemble_inter_corr_band"] = lambda s, d: r6(pr.ensemble_inter_corr_band(daily(s, d), ens(s, d)))
+    q["nan_corr"] = lambda s, d: r6(pr.nan_corr(gappy(s, d), min_rows=30))
+    q["corr_matrix"] = lambda s, d: r6(pr.corr_matrix(daily(s, d), 30))
+    q["intra_site_corr"] = lambda s, d: r6(pr.intra_site_corr(daily(s, d), ens(s, d).filter("realization = 1").drop("realization"), 30))
+    q["inter_site_corr"] = lambda s, d: r6(pr.inter_site_corr(daily(s, d), ens(s, d).filter("realization = 1").drop("realization"), 30))
+    q["ensemble_intra_corr_band"] = lambda s, d: r6(pr.ensemble_intra_corr_band(daily(s, d), ens(s, d), 30))
+    q["ensemble_inter_corr_band"] = lambda s, d: r6(pr.ensemble_inter_corr_band(daily(s, d), ens(s, d), 30))
     q["corr_by_month"] = lambda s, d: r6(pr.corr_by_month(daily(s, d), "price"))
     q["corr_by_doy_window"] = lambda s, d: r6(pr.corr_by_doy_window(one_pair(s, d), 15))
     q["cross_cov"] = lambda s, d: r6(pr.cross_cov(gappy(s, d), 2), 4)
@@ -277,7 +277,7 @@ def build() -> dict:
     q["check_means"] = lambda s, d: r6(ev.check_means(ens(s, d), daily(s, d)))
     q["check_correlations"] = lambda s, d: r6(ev.check_correlations(ens(s, d), daily(s, d)))
     q["check_structure"] = lambda s, d: ev.check_structure(daily(s, d)).groupBy("station", "variable").agg(F.count("*").alias("n"))
-    q["per_realization"] = lambda s, d: r6(ev.per_realization(lambda t: pr.nan_corr(t), ens(s, d), "month"))
+    q["per_realization"] = lambda s, d: r6(ev.per_realization(lambda t: pr.nan_corr(t, min_rows=30), ens(s, d), "month"))
     # heat waves
     q["heatwaves_hottest_n"] = lambda s, d: hw.heatwaves_hottest_n(daily(s, d).filter("variable = 'price'"))
     q["doy_threshold_window"] = lambda s, d: r6(hw.doy_threshold(daily(s, d), 0.9, 5))
@@ -286,7 +286,7 @@ def build() -> dict:
     q["heatwaves_kuglitsch"] = lambda s, d: hw.heatwaves_kuglitsch(daily(s, d).filter("variable = 'price'"), q=0.6)
     q["islands"] = lambda s, d: hw.islands(hot_mask(s, d), "mask", 2)
     q["wave_mask"] = lambda s, d: r6(hw.wave_mask(hot_mask(s, d), "mask", 2))
-    q["ensemble_member_heatwaves"] = lambda s, d: hw.ensemble_member_heatwaves(ens(s, d), ens(s, d), 6, drop_variables=("tax", "discount"), q=0.6)
+    q["ensemble_member_heatwaves"] = lambda s, d: hw.ensemble_member_heatwaves(ens(s, d), ens(s, d), drop_variables=("tax", "discount"), q=0.6)
     q["heatwaves_by_year"] = lambda s, d: hw.heatwaves_by_year(hw.islands(hot_mask(s, d), "mask", 3), daily(s, d).select("station", "variable", F.year("time").alias("year")))
     # constraints
     q["yearly_bounds"] = lambda s, d: r6(cond.yearly_bounds(yearly(ens(s, d).filter("variable = 'quantity'")), 7000.0, 7500.0), 2)

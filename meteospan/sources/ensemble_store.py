@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ENSEMBLE_SCHEMA = "station string, variable string, time timestamp, value double, ensemble string, realization int"
 
 
-def write_ensemble(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
-    """One folder per realization below the ensemble name."""
+def write_ensemble(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
+    """One folder per realization below the ensemble name; a realization written again is replaced,
+    the others stay."""
     (
         df.withColumn("ensemble", F.lit(name))
         .write.mode(mode)

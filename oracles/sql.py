@@ -256,13 +256,15 @@ def _hyd(source, keys, name="sums"):
 
 
 def _runs(source, keys, flag):
+    """Runs of days: a run ends where the flag changes or a day is missing."""
     return (
-        f"runs AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY time) - row_number() OVER (PARTITION BY {keys}, {flag} ORDER BY time) AS grp FROM {source})"
+        f"rs AS (SELECT *, CASE WHEN lag({flag}) OVER w IS DISTINCT FROM {flag} OR lag(time) OVER w IS NULL OR time - lag(time) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS st FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY time)), "
+        f"runs AS (SELECT * EXCLUDE (st), sum(st) OVER (PARTITION BY {keys} ORDER BY time) - 1 AS grp FROM rs)"
     )
 
 
 def _islands(source, keys, min_length):
-    """wave_id = rows before the wave that are not part of any run, as in a running count."""
+    """wave_id = runs of either kind before the wave."""
     return (
         f"{_runs(source, keys, 'mask')}, waves AS (SELECT {keys}, CAST(grp AS BIGINT) AS wave_id, min(time) AS \"begin\", max(time) AS \"end\", count(*) AS days "
         f"FROM runs WHERE mask GROUP BY {keys}, grp HAVING count(*) >= {min_length})"
@@ -329,8 +331,9 @@ def build() -> dict[str, str]:
         f"SELECT station, variable, time, {rv} FROM h UNION ALL SELECT station, variable, time - INTERVAL 1 DAY, round(value,6) FROM h WHERE time IN (SELECT time FROM ax WHERE pos >= 24-(SELECT hour(min(time)) FROM ax) AND pos < 24)"
     )
     q["overlay"] = (
-        f"WITH {DAILY}, {ENS}, b AS (SELECT station, variable, time, value FROM ens WHERE realization=0 AND variable IN ('discount','tax')) "
-        f"SELECT station, variable, time, round(CASE WHEN variable IN ('discount','tax') THEN coalesce(b.value, daily.value) ELSE daily.value END,6) AS value FROM daily FULL JOIN b USING (station, variable, time)"
+        f"WITH {DAILY}, {ENS}, b AS (SELECT station, variable, time, value FROM ens WHERE realization=0 AND variable IN ('discount','tax')), "
+        "sr AS (SELECT station, variable FROM daily UNION SELECT station, variable FROM b), ax AS (SELECT station, time FROM daily UNION SELECT station, time FROM ens WHERE realization=0) "
+        f"SELECT station, variable, time, round(CASE WHEN variable IN ('discount','tax') THEN coalesce(b.value, daily.value) ELSE daily.value END,6) AS value FROM sr JOIN ax USING (station) LEFT JOIN daily USING (station, variable, time) LEFT JOIN b USING (station, variable, time)"
     )
     q["merge_external"] = f"WITH {DAILY}, {ORDERS} SELECT station, variable, time, {rv} FROM daily WHERE variable<>'tax' UNION ALL SELECT station, variable, time, round(value,6) FROM orders_long"
     q["convert"] = f"WITH {DAILY} SELECT station, CASE variable WHEN 'quantity' THEN 'amount' ELSE variable END AS variable, time, round(CASE variable WHEN 'quantity' THEN value*2+1 ELSE value END,6) AS value FROM daily"
@@ -490,10 +493,13 @@ def build() -> dict[str, str]:
     )
     q["fit_copula_lines"] = f"WITH {LINE_RANKS}, {_grid_fit('lr', ['station'], 'plackett', 1e-5, 20.0, True)} SELECT station, 'plackett' AS family, 0 AS rotation, round(theta,4) AS theta, round(loglik,4) AS loglik, n FROM fit"
     fams = [(n, r, n in ("gaussian", "plackett")) for n in ("alimikailhaq", "clayton", "gaussian", "gumbel", "gumbelbarnett", "joe", "nelsen10", "nelsen12", "nelsen13", "nelsen14", "plackett") for r in ((0,) if n in ("gaussian", "gumbelbarnett", "joe") else (0, 90, 180, 270))]
-    values = ", ".join(f"('{n}', {r}, {str(s).lower()})" for n, r, s in fams)
+    # C(u,v) = C(v,u): written out by hand, every member at 0 and 180 degrees, and the Plackett copula
+    values = ", ".join(f"('{n}', {r}, {str(s).lower()}, {str(r in (0, 180) or n == 'plackett').lower()})" for n, r, s in fams)
     q["asymmetry_filter"] = (
         f"WITH {PAIRS}, a AS (SELECT {GRP}, avg((u-.5)*(v-.5)*((u-.5)+(v-.5))) AS asymmetry1, avg(-(u-.5)*(v-.5)*((u-.5)-(v-.5))) AS asymmetry2 FROM pairs GROUP BY ALL) "
-        f"SELECT {GRP}, round(asymmetry1,6) AS asymmetry1, round(asymmetry2,6) AS asymmetry2, family, CAST(rotation AS INTEGER) AS rotation FROM a, (VALUES {values}) f(family, rotation, s1) WHERE NOT (abs(asymmetry1) > 0.002 AND s1)"
+        f"SELECT {GRP}, round(asymmetry1,6) AS asymmetry1, round(asymmetry2,6) AS asymmetry2, family, CAST(rotation AS INTEGER) AS rotation FROM a, (VALUES {values}) f(family, rotation, s1, s2) "
+        f"WHERE NOT ((abs(asymmetry1) > 0.002 AND s1) OR (abs(asymmetry2) > 0.002 AND s2)) OR NOT EXISTS (SELECT 1 FROM (VALUES {values}) g(family, rotation, s1, s2) "
+        "WHERE NOT ((abs(asymmetry1) > 0.002 AND g.s1) OR (abs(asymmetry2) > 0.002 AND g.s2)))"
     )
     weak = f"NOT abs(tau) > {tmin}"
     q["independence_test"] = taus + f"SELECT {GRP}, n, round(tau,6) AS tau, CASE WHEN {weak} THEN 'independence' END AS family, CASE WHEN {weak} THEN 0 END AS rotation, CASE WHEN {weak} THEN 0.0::DOUBLE END AS theta, CASE WHEN {weak} THEN 0.0::DOUBLE END AS loglik FROM tau"
@@ -558,7 +564,7 @@ def build() -> dict[str, str]:
         f"WITH {DAILY}, {ENS}, we AS (SELECT * FROM ens WHERE variable='discount' AND value>0.02), wo AS (SELECT * FROM daily WHERE variable='discount' AND value>0.02), {_quantiles('we', 'realization, station, variable', half, name='sim')}, {_quantiles('wo', SERIES, half, name='ob')}, bd AS ({_bands('sim', SERIES, .5, .5, False)}) "
         "SELECT station, variable, level_id, round(level,6) AS level, round(quantile,6) AS obs, round(sim_median,6) AS sim_median, round(sim_min,6) AS sim_min, round(sim_max,6) AS sim_max, round(1-level,6) AS exceedance FROM ob JOIN bd USING (station, variable, level_id)"
     )
-    spells = lambda src, keys, name: f"{name} AS (SELECT {keys}, wet, min(time) AS \"begin\", count(*) AS length FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY time)-row_number() OVER (PARTITION BY {keys}, wet ORDER BY time) AS g FROM (SELECT *, value>0.05 AS wet FROM {src} WHERE variable='discount')) GROUP BY {keys}, wet, g)"
+    spells = lambda src, keys, name: f"{name} AS (SELECT {keys}, wet, min(time) AS \"begin\", count(*) AS length FROM (SELECT *, sum(st) OVER (PARTITION BY {keys} ORDER BY time) AS g FROM (SELECT *, CASE WHEN lag(wet) OVER w IS DISTINCT FROM wet OR lag(time) OVER w IS NULL OR time - lag(time) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS st FROM (SELECT *, value>0.05 AS wet FROM {src} WHERE variable='discount') WINDOW w AS (PARTITION BY {keys} ORDER BY time))) GROUP BY {keys}, wet, g)"
     q["spell_lengths"] = f"WITH {DAILY}, {spells('daily', SERIES, 'sp')} SELECT * FROM sp"
     lv = "lv AS (SELECT station, variable, wet, CAST(unnest(range(0, count(*))) AS BIGINT) AS level_id, count(*) AS c FROM so GROUP BY 1,2,3)"
     pick = lambda src, keys, name: (
@@ -594,13 +600,13 @@ def build() -> dict[str, str]:
         f"WITH {DAILY}, {price}, {pool('pd', 5)}, bo AS (SELECT station, doy, quantile_cont(value,0.6) AS bound FROM mem GROUP BY 1,2), "
         f"mk AS (SELECT pd.station, variable, time, value>bound AND month(time) BETWEEN 5 AND 9 AS mask FROM pd JOIN bo ON pd.station=bo.station AND dayofyear(time)=doy), {_islands('mk', SERIES, 2)} SELECT * FROM waves"
     )
-    bridge = lambda keys: f"br AS (SELECT * REPLACE (mask OR (lag(mask) OVER w AND lead(mask) OVER w AND lag(mask) OVER w IS NOT NULL AND lead(mask) OVER w IS NOT NULL) AS mask) FROM mk WINDOW w AS (PARTITION BY {keys} ORDER BY time)), bb AS (SELECT * REPLACE (coalesce(mask, false) AS mask) FROM br)"
+    bridge = lambda keys: f"br AS (SELECT * REPLACE (mask OR (lag(mask) OVER w AND lead(mask) OVER w AND lag(mask) OVER w IS NOT NULL AND lead(mask) OVER w IS NOT NULL AND time - lag(time) OVER w <= INTERVAL 1 DAY AND lead(time) OVER w - time <= INTERVAL 1 DAY) AS mask) FROM mk WINDOW w AS (PARTITION BY {keys} ORDER BY time)), bb AS (SELECT * REPLACE (coalesce(mask, false) AS mask) FROM br)"
     q["heatwaves_kuglitsch"] = (
         f"WITH {DAILY}, {price}, {pool('pd', 15)}, bo AS (SELECT station, doy, quantile_cont(value,0.6) AS bound FROM mem GROUP BY 1,2), "
         f"mk AS (SELECT pd.station, variable, time, value>bound AND month(time) BETWEEN 6 AND 9 AS mask FROM pd JOIN bo ON pd.station=bo.station AND dayofyear(time)=doy), {bridge(SERIES)}, {_islands('bb', SERIES, 3)} SELECT * FROM waves"
     )
     q["ensemble_member_heatwaves"] = (
-        f"WITH {ENS}, ek AS (SELECT * FROM ens WHERE variable NOT IN ('tax','discount')), rf AS (SELECT station, variable, dayofyear(time) AS doy, value FROM ek WHERE realization<6), {_quantiles('rf', 'station, variable, doy', '(SELECT 0 AS level_id, 0.6::DOUBLE AS level)', name='bq')}, bo AS (SELECT station, variable, doy, quantile AS bound FROM bq), "
+        f"WITH {ENS}, ek AS (SELECT * FROM ens WHERE variable NOT IN ('tax','discount')), rf AS (SELECT station, variable, dayofyear(time) AS doy, value FROM ek), {_quantiles('rf', 'station, variable, doy', '(SELECT 0 AS level_id, 0.6::DOUBLE AS level)', name='bq')}, bo AS (SELECT station, variable, doy, quantile AS bound FROM bq), "
         f"mk AS (SELECT realization, ek.station, ek.variable, time, coalesce(value>bound, false) AND month(time) BETWEEN 6 AND 9 AS mask FROM ek LEFT JOIN bo ON ek.station=bo.station AND ek.variable=bo.variable AND dayofyear(time)=doy), {bridge('realization, station, variable')}, {_islands('bb', 'realization, station, variable', 3)} SELECT * FROM waves"
     )
     hot = f"hm AS (SELECT station, variable, time, value, value>40000 AS mask FROM daily WHERE variable='price')"
@@ -615,7 +621,7 @@ def build() -> dict[str, str]:
     q["yearly_mean"] = dq + "SELECT station, variable, round(CASE WHEN avg(total)<8000 THEN pow(avg(total)-8000,2) WHEN avg(total)>8100 THEN pow(avg(total)-8100,2) ELSE 0 END,6) AS penalty FROM sums GROUP BY 1,2"
     q["score_conditions"] = f"WITH {DAILY}, {ENS}, {_conditions()}, {_SCORE} SELECT realization, name, station, kind, round(penalty,3) AS penalty, round(sum(penalty) OVER (PARTITION BY realization),3) AS total_penalty, round(100*penalty/sum(penalty) OVER (PARTITION BY realization),3) AS share_percent FROM sc"
     q["union_conditions"] = f"WITH {DAILY}, {_conditions()} SELECT name, station, kind, round(lower,4) AS lower, round(upper,4) AS upper, lower_period, upper_period FROM conds WHERE kind IN ('std','mean')"
-    q["accept_realizations"] = f"WITH {DAILY}, {ENS}, {_conditions()}, {_SCORE}, bad AS (SELECT realization FROM sc WHERE kind='std' GROUP BY 1 HAVING sum(penalty)>15000) SELECT realization, count(*) AS n FROM ens WHERE realization NOT IN (SELECT realization FROM bad) GROUP BY 1"
+    q["accept_realizations"] = f"WITH {DAILY}, {ENS}, {_conditions()}, {_SCORE}, ok AS (SELECT realization FROM sc WHERE kind='std' GROUP BY 1 HAVING sum(penalty)<=15000 AND count(penalty)=(SELECT count(*) FROM conds WHERE kind='std')) SELECT realization, count(*) AS n FROM ens WHERE realization IN (SELECT realization FROM ok) GROUP BY 1"
     q["band_union"] = "WITH tt AS (SELECT count(DISTINCT l_shipdate) AS t FROM lineitem) SELECT k, round(t::DOUBLE/k,6) AS period FROM tt, range(1,100000) r(k) WHERE k <= t//2 AND t::DOUBLE/k >= 100 AND t::DOUBLE/k < 400"
     q["default_bounds_from_obs"] = f"WITH {DAILY}, {_hyd('daily', SERIES)} SELECT station, variable, round(1.1*stddev_pop(total),4) AS std_max, round(quantile_cont(total,0.35),4) AS mean_lower, round(quantile_cont(total,0.65),4) AS mean_upper FROM sums GROUP BY 1,2"
     q["kendall_tau_lines"] = _tau_lines()
