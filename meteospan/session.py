@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +44,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of the session, once, so that they can import it
+    wherever the driver was started."""
+    context = spark.sparkContext
+    if not getattr(context, "_meteospan_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.join(tempfile.mkdtemp(prefix="spark-"), "meteospan")
+        context.addPyFile(shutil.make_archive(name, "zip", root, "meteospan"))
+        context._meteospan_shipped = True
