@@ -27,4 +27,5 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
     got = entry.queries()[name](spark, SF_DIR).toPandas()
-    assert compare(got, con.execute(entry.oracle_sql()[name]).df()) == "ok"
+    # both sides round to six digits; a value half-way between two may go either way
+    assert compare(got, con.execute(entry.oracle_sql()[name]).df(), 1.01e-6) == "ok"
