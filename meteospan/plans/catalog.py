@@ -72,13 +72,14 @@ def wet_ranks(s, d):
 
 
 def member_rows(pairs, build, which):
-    """Mean of an expression per station and member of the copula families."""
+    """Mean of an expression per pair of variables and member of the copula families."""
     rows = None
     stats = [
         F.avg(build(n, F.col("u"), F.col("v"), THETA[n], r)).alias(f"{n}_{r}") for n, r in which
     ]
-    wide = pairs.groupBy("station").agg(*stats)
-    return wide.unpivot(["station"], [f"{n}_{r}" for n, r in which], "member", "mean_value")
+    group = ["station", "var_u", "var_v"]
+    wide = pairs.groupBy(*group).agg(*stats)
+    return wide.unpivot(group, [f"{n}_{r}" for n, r in which], "member", "mean_value")
 
 
 CLOSED = [m for m in cop.members() if m[0] not in ("gaussian", "independence")]
@@ -123,7 +124,8 @@ def vine_candidates(s, d):
 
 
 def hot_mask(s, d):
-    return daily(s, d).filter("variable = 'price'").withColumn("mask", F.col("value") > 40000.0)
+    limit = F.expr("CASE variable WHEN 'price' THEN 40000.0D WHEN 'quantity' THEN 27.0D WHEN 'discount' THEN 0.055D ELSE 0.042D END")
+    return daily(s, d).withColumn("mask", F.col("value") > limit)
 
 
 def build() -> dict:
@@ -205,23 +207,23 @@ def build() -> dict:
     q["ensemble_intra_corr_band"] = lambda s, d: r6(pr.ensemble_intra_corr_band(daily(s, d), ens(s, d), 30))
     q["ensemble_inter_corr_band"] = lambda s, d: r6(pr.ensemble_inter_corr_band(daily(s, d), ens(s, d), 30))
     q["corr_by_month"] = lambda s, d: r6(pr.corr_by_month(daily(s, d), "price"))
-    q["corr_by_doy_window"] = lambda s, d: r6(pr.corr_by_doy_window(one_pair(s, d), 15))
+    q["corr_by_doy_window"] = lambda s, d: r6(pr.corr_by_doy_window(rank_pairs(s, d), 15))
     q["cross_cov"] = lambda s, d: r6(pr.cross_cov(gappy(s, d), 2), 4)
     q["cross_corr"] = lambda s, d: r6(pr.cross_corr(daily(s, d), 4))
     q["cross_corr_stations"] = lambda s, d: r6(pr.cross_corr(daily(s, d), 3, "station"))
-    q["hist2d"] = lambda s, d: r6(pr.hist2d(one_pair(s, d), 10, 10))
+    q["hist2d"] = lambda s, d: r6(pr.hist2d(rank_pairs(s, d), 10, 10))
     q["pair_report"] = lambda s, d: r6(_flat_report(pr.pair_report(daily(s, d), bins=5)))
     q["pair_report_lag_station"] = lambda s, d: r6(_flat_report(pr.pair_report(daily(s, d), k=1, by="station", bins=5)))
     q["pair_report_wet_season"] = lambda s, d: r6(_flat_report(pr.pair_report(daily(s, d), wet_only=True, by="season", threshold=0.04, rain="discount", bins=5)))
     # copulas
-    q["copula_cdf"] = lambda s, d: r6(member_rows(one_pair(s, d), cop.copula_cdf, CLOSED))
-    q["copula_density"] = lambda s, d: r6(member_rows(one_pair(s, d), cop.copula_density, CLOSED), 5)
-    q["copula_h"] = lambda s, d: r6(member_rows(one_pair(s, d), cop.h_v_given_u, CLOSED))
-    q["copula_h_given_v"] = lambda s, d: r6(member_rows(one_pair(s, d), cop.h_u_given_v, CLOSED))
+    q["copula_cdf"] = lambda s, d: r6(member_rows(rank_pairs(s, d), cop.copula_cdf, CLOSED))
+    q["copula_density"] = lambda s, d: r6(member_rows(rank_pairs(s, d), cop.copula_density, CLOSED), 5)
+    q["copula_h"] = lambda s, d: r6(member_rows(rank_pairs(s, d), cop.h_v_given_u, CLOSED))
+    q["copula_h_given_v"] = lambda s, d: r6(member_rows(rank_pairs(s, d), cop.h_u_given_v, CLOSED))
     q["gaussian_copula"] = lambda s, d: r6(one_pair(s, d).groupBy("station").agg(
         F.avg(cop.copula_density("gaussian", F.col("u"), F.col("v"), 0.4)).alias("density"),
         F.avg(cop.h_v_given_u("gaussian", F.col("u"), F.col("v"), 0.4)).alias("h")), 5)
-    q["h_inverse"] = lambda s, d: r6(_inverse_round_trip(one_pair(s, d)), 4)
+    q["h_inverse"] = lambda s, d: r6(_inverse_round_trip(rank_pairs(s, d)), 4)
     q["log_likelihood"] = lambda s, d: r6(fit.log_likelihood(rank_pairs(s, d), "plackett", 1.3), 4)
     q["fit_copula"] = lambda s, d: r6(fit.fit_copula(rank_pairs(s, d), [("plackett", 0), ("gumbelbarnett", 0)]), 5)
     q["fit_copula_lines"] = lambda s, d: r6(fit.fit_copula(line_ranks(s, d), [("plackett", 0)], ["station"]), 4)
@@ -236,7 +238,7 @@ def build() -> dict:
     q["seasonal_loglik"] = lambda s, d: r6(_with(seasonal_fits(s, d), fit.seasonal_loglik), 4)
     q["seasonal_inverse"] = lambda s, d: r6(_seasonal_round_trip(s, d), 4)
     q["asymmetry_weighted_density"] = lambda s, d: r6(fit.asymmetry_weighted_density(
-        one_pair(s, d).withColumn("density", cop.copula_density("plackett", F.col("u"), F.col("v"), 3.0))))
+        rank_pairs(s, d).withColumn("density", cop.copula_density("plackett", F.col("u"), F.col("v"), 3.0))))
     q["copula_qq"] = lambda s, d: r6(fit.copula_qq(one_pair(s, d), one_pair(s, d).select("station", "var_u", "var_v").distinct().select("*", F.lit("plackett").alias("family"), F.lit(0).alias("rotation"), F.lit(1.3).alias("theta")), used=[("plackett", 0)]))
     # vines
     q["pair_edges"] = lambda s, d: r6(vine_candidates(s, d).select("station", "node_u", "node_v", "n", "tau", "weight"))
@@ -257,7 +259,7 @@ def build() -> dict:
     q["site_increments"] = lambda s, d: r6(sc.site_increments(src.order_obs(s, d), src.stations(s, d).select("station", F.col("latitude").alias("increment"))))
     q["rank_space_shift"] = lambda s, d: r6(sc.rank_space_shift(ranks(s, d).filter("variable = 'quantity'").drop("value"), rk.ecdf_fit(daily(s, d)), 1.5, 2.0))
     q["intensify_masked_days"] = lambda s, d: r6(sc.intensify_masked_days(
-        with_norm_ppf(ranks(s, d).filter("variable = 'price'"), "z", F.col("u")).drop("u"), hot_mask(s, d).filter("mask"), 0.5))
+        with_norm_ppf(ranks(s, d).filter("variable = 'price'"), "z", F.col("u")).drop("u"), hot_mask(s, d).filter("variable = 'price' AND mask"), 0.5))
     # ensembles
     q["compare_means"] = lambda s, d: ev.compare_means(daily(s, d), ens(s, d), 5)
     q["compare_means_all"] = lambda s, d: ev.compare_means(daily(s, d), ens(s, d), 5, "all")
@@ -279,11 +281,11 @@ def build() -> dict:
     q["check_structure"] = lambda s, d: ev.check_structure(daily(s, d)).groupBy("station", "variable").agg(F.count("*").alias("n"))
     q["per_realization"] = lambda s, d: r6(ev.per_realization(lambda t: pr.nan_corr(t, min_rows=30), ens(s, d), "month"))
     # heat waves
-    q["heatwaves_hottest_n"] = lambda s, d: hw.heatwaves_hottest_n(daily(s, d).filter("variable = 'price'"))
+    q["heatwaves_hottest_n"] = lambda s, d: hw.heatwaves_hottest_n(daily(s, d))
     q["doy_threshold_window"] = lambda s, d: r6(hw.doy_threshold(daily(s, d), 0.9, 5))
     q["doy_threshold_realizations"] = lambda s, d: r6(hw.doy_threshold(ens(s, d), 0.9, over="realization"))
-    q["heatwaves_zitis"] = lambda s, d: hw.heatwaves_zitis(daily(s, d).filter("variable = 'price'"), q=0.6, min_length=2)
-    q["heatwaves_kuglitsch"] = lambda s, d: hw.heatwaves_kuglitsch(daily(s, d).filter("variable = 'price'"), q=0.6)
+    q["heatwaves_zitis"] = lambda s, d: hw.heatwaves_zitis(daily(s, d), q=0.6, min_length=2)
+    q["heatwaves_kuglitsch"] = lambda s, d: hw.heatwaves_kuglitsch(daily(s, d), q=0.6)
     q["islands"] = lambda s, d: hw.islands(hot_mask(s, d), "mask", 2)
     q["wave_mask"] = lambda s, d: r6(hw.wave_mask(hot_mask(s, d), "mask", 2))
     q["ensemble_member_heatwaves"] = lambda s, d: hw.ensemble_member_heatwaves(ens(s, d), ens(s, d), drop_variables=("tax", "discount"), q=0.6)
@@ -330,7 +332,8 @@ def _inverse_round_trip(pairs):
         u, v, k = F.col("u"), F.col("v"), THETA[name]
         there = pairs.withColumn("q", cop.h_v_given_u(name, u, v, k, rotation))
         back = there.withColumn("back", cop.h_inverse(name, u, F.col("q"), k, rotation))
-        part = back.groupBy("station").agg(F.avg("back").alias("mean_v")).withColumn("member", F.lit(f"{name}_{rotation}"))
+        gap = F.max(F.abs(F.col("back") - v)).alias("max_gap")
+        part = back.groupBy("station", "var_u", "var_v").agg(F.count("back").alias("n"), gap).withColumn("member", F.lit(f"{name}_{rotation}"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 

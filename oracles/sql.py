@@ -167,8 +167,8 @@ def _member_query(what, digits=6):
     cols = ", ".join(f"avg({_member(n, r, what)}) AS {n}_{r}" for n, r in _members())
     names = ", ".join(f"{n}_{r}" for n, r in _members())
     return (
-        f"WITH {PAIR}, w AS (SELECT station, {cols} FROM pair GROUP BY station) "
-        f"SELECT station, member, round(mean_value, {digits}) AS mean_value FROM (UNPIVOT w ON {names} INTO NAME member VALUE mean_value)"
+        f"WITH {PAIRS}, w AS (SELECT station, var_u, var_v, {cols} FROM pairs GROUP BY ALL) "
+        f"SELECT station, var_u, var_v, member, round(mean_value, {digits}) AS mean_value FROM (UNPIVOT w ON {names} INTO NAME member VALUE mean_value)"
     )
 
 
@@ -456,13 +456,13 @@ def build() -> dict[str, str]:
             f"WITH {DAILY}, {ENS}, {_corr_pairs('daily', [by], label, name='c1')}, {_corr_pairs('ens', ['realization', by], label, name='c2')} SELECT {by}, {label}_i, {label}_j, round(any_value(c1.corr),6) AS obs_corr, round(min(c2.corr),6) AS sim_min, round(max(c2.corr),6) AS sim_max FROM c1 JOIN c2 USING ({by}, {label}_i, {label}_j) GROUP BY 1,2,3"
         )
     q["corr_by_month"] = f"WITH {DAILY} SELECT a.station, b.variable, CAST(month(a.time) AS INTEGER) AS month, round(corr(a.value,b.value),6) AS corr, count(*) AS n FROM daily a JOIN daily b ON a.station=b.station AND a.time=b.time AND a.variable='price' AND b.variable<>'price' GROUP BY 1,2,3"
-    q["corr_by_doy_window"] = f"WITH {PAIR} SELECT station, var_u, var_v, CAST(d AS INTEGER) AS doy, count(*) AS n, round(corr(u,v),6) AS corr FROM {_doy_join('pair', 15)} GROUP BY ALL"
+    q["corr_by_doy_window"] = f"WITH {PAIRS} SELECT station, var_u, var_v, CAST(d AS INTEGER) AS doy, count(*) AS n, round(corr(u,v),6) AS corr FROM {_doy_join('pairs', 15)} GROUP BY ALL"
     lag = lambda src, by, label, k0, k1: _LAGS.format(src=src, by=by, label=label, k0=k0, k1=k1)
     q["cross_cov"] = f"WITH {GAPPY}, {lag('gappy','station','variable',2,3)} SELECT station, variable_i, variable_j, lag, n, round(s/(n-1),4) AS cov FROM x"
     q["cross_corr"] = f"WITH {DAILY}, {lag('daily','station','variable',0,4)} SELECT station, variable_i, variable_j, lag, n, round(s/(n-1)/(sa*sb),6) AS corr FROM x"
     q["cross_corr_stations"] = f"WITH {DAILY}, {lag('daily','variable','station',0,3)} SELECT variable, station_i, station_j, lag, n, round(s/(n-1)/(sa*sb),6) AS corr FROM x"
     q["hist2d"] = (
-        f"WITH {PAIR}, pm AS (SELECT *, count(*) OVER w AS m, min(u) OVER w AS u0, max(u) OVER w AS u1, min(v) OVER w AS v0, max(v) OVER w AS v1 FROM pair WINDOW w AS (PARTITION BY {GRP})) "
+        f"WITH {PAIRS}, pm AS (SELECT *, count(*) OVER w AS m, min(u) OVER w AS u0, max(u) OVER w AS u1, min(v) OVER w AS v0, max(v) OVER w AS v1 FROM pairs WINDOW w AS (PARTITION BY {GRP})) "
         f"SELECT {GRP}, CAST(least(floor((u-u0)*10/(u1-u0)),9) AS BIGINT) AS bin_u, CAST(least(floor((v-v0)*10/(v1-v0)),9) AS BIGINT) AS bin_v, count(*) AS n, round(count(*)/(any_value(m)*((any_value(u1)-any_value(u0))/10)*((any_value(v1)-any_value(v0))/10)),6) AS density FROM pm GROUP BY ALL"
     )
     pooled = _ranked("pr", "daily", "variable")
@@ -485,7 +485,7 @@ def build() -> dict[str, str]:
         "zy AS (SELECT a.station, a.z AS x, b.z AS y FROM zm a JOIN zm b ON a.station=b.station AND a.time=b.time AND a.variable='price' AND b.variable='quantity') "
     )
     q["gaussian_copula"] = scores + f"SELECT station, round(avg(exp((2*0.4*x*y-0.16*(x*x+y*y))/(2*0.84))/sqrt(0.84)),5) AS density, round(avg({_normal_cdf('((y-0.4*x)/sqrt(0.84))')}),5) AS h FROM zy GROUP BY station"
-    q["h_inverse"] = f"WITH {PAIR} SELECT station, round(avg(v),4) AS mean_v, member FROM pair, (VALUES ('clayton_0'),('plackett_90'),('gumbel_180'),('joe_0'),('gaussian_0'),('nelsen13_270')) t(member) GROUP BY station, member"
+    q["h_inverse"] = f"WITH {PAIRS} SELECT station, var_u, var_v, count(v) AS n, 0.0::DOUBLE AS max_gap, member FROM pairs, (VALUES ('clayton_0'),('plackett_90'),('gumbel_180'),('joe_0'),('gaussian_0'),('nelsen13_270')) t(member) GROUP BY ALL"
     q["log_likelihood"] = f"WITH {PAIRS} SELECT {GRP}, round(sum(ln({_member('plackett', 0, 'density', k=1.3)})),4) AS loglik, count(*) AS n FROM pairs GROUP BY ALL"
     q["fit_copula"] = (
         f"WITH {PAIRS}, {_grid_fit('pairs', ['station','var_u','var_v'], 'plackett', 1e-5, 20.0, True, tag='p')}, {_grid_fit('pairs', ['station','var_u','var_v'], 'gumbelbarnett', 1e-9, 1.0-1e-9, True, tag='b')} "
@@ -504,8 +504,8 @@ def build() -> dict[str, str]:
     weak = f"NOT abs(tau) > {tmin}"
     q["independence_test"] = taus + f"SELECT {GRP}, n, round(tau,6) AS tau, CASE WHEN {weak} THEN 'independence' END AS family, CASE WHEN {weak} THEN 0 END AS rotation, CASE WHEN {weak} THEN 0.0::DOUBLE END AS theta, CASE WHEN {weak} THEN 0.0::DOUBLE END AS loglik FROM tau"
     q["asymmetry_weighted_density"] = (
-        f"WITH {PAIR}, a AS (SELECT station, avg((u-.5)*(v-.5)*((u-.5)+(v-.5))) AS a1, avg(-(u-.5)*(v-.5)*((u-.5)-(v-.5))) AS a2 FROM pair GROUP BY 1) SELECT station, var_u, var_v, time, round(u,6) AS u, round(v,6) AS v, "
-        f"round(CASE WHEN (a1>0 AND u>.75 AND v>.75) OR (a1<0 AND u<.25 AND v<.25) OR (a2>0 AND u>.75 AND v<.25) OR (a2<0 AND u<.25 AND v>.75) THEN {_member('plackett', 0, 'density')} ELSE 0 END,6) AS density FROM pair JOIN a USING (station)"
+        f"WITH {PAIRS}, a AS (SELECT {GRP}, avg((u-.5)*(v-.5)*((u-.5)+(v-.5))) AS a1, avg(-(u-.5)*(v-.5)*((u-.5)-(v-.5))) AS a2 FROM pairs GROUP BY ALL) SELECT station, var_u, var_v, time, round(u,6) AS u, round(v,6) AS v, "
+        f"round(CASE WHEN (a1>0 AND u>.75 AND v>.75) OR (a1<0 AND u<.25 AND v<.25) OR (a2>0 AND u>.75 AND v<.25) OR (a2<0 AND u<.25 AND v>.75) THEN {_member('plackett', 0, 'density')} ELSE 0 END,6) AS density FROM pairs JOIN a USING ({GRP})"
     )
     q["copula_qq"] = (
         f"WITH {PAIR}, j AS (SELECT a.station, a.time, count(*) AS c FROM pair a JOIN pair b ON a.station=b.station AND b.u<a.u AND b.v<a.v GROUP BY 1,2), "
@@ -595,21 +595,21 @@ def build() -> dict[str, str]:
     )
     q["doy_threshold_window"] = f"WITH {DAILY}, {pool('daily', 5)} SELECT station, variable, CAST(doy AS INTEGER) AS doy, round(quantile_cont(value,0.9),6) AS bound FROM mem GROUP BY 1,2,3"
     q["doy_threshold_realizations"] = f"WITH {ENS} SELECT station, variable, CAST(dayofyear(time) AS INTEGER) AS doy, round(quantile_cont(value,0.9),6) AS bound FROM ens GROUP BY 1,2,3"
-    price = "pd AS (SELECT * FROM daily WHERE variable='price')"
+    price = "pd AS (SELECT * FROM daily)"
     q["heatwaves_zitis"] = (
-        f"WITH {DAILY}, {price}, {pool('pd', 5)}, bo AS (SELECT station, doy, quantile_cont(value,0.6) AS bound FROM mem GROUP BY 1,2), "
-        f"mk AS (SELECT pd.station, variable, time, value>bound AND month(time) BETWEEN 5 AND 9 AS mask FROM pd JOIN bo ON pd.station=bo.station AND dayofyear(time)=doy), {_islands('mk', SERIES, 2)} SELECT * FROM waves"
+        f"WITH {DAILY}, {price}, {pool('pd', 5)}, bo AS (SELECT station, variable, doy, quantile_cont(value,0.6) AS bound FROM mem GROUP BY 1,2,3), "
+        f"mk AS (SELECT pd.station, pd.variable, time, value>bound AND month(time) BETWEEN 5 AND 9 AS mask FROM pd JOIN bo ON pd.station=bo.station AND pd.variable=bo.variable AND dayofyear(time)=doy), {_islands('mk', SERIES, 2)} SELECT * FROM waves"
     )
     bridge = lambda keys: f"br AS (SELECT * REPLACE (mask OR (lag(mask) OVER w AND lead(mask) OVER w AND lag(mask) OVER w IS NOT NULL AND lead(mask) OVER w IS NOT NULL AND time - lag(time) OVER w <= INTERVAL 1 DAY AND lead(time) OVER w - time <= INTERVAL 1 DAY) AS mask) FROM mk WINDOW w AS (PARTITION BY {keys} ORDER BY time)), bb AS (SELECT * REPLACE (coalesce(mask, false) AS mask) FROM br)"
     q["heatwaves_kuglitsch"] = (
-        f"WITH {DAILY}, {price}, {pool('pd', 15)}, bo AS (SELECT station, doy, quantile_cont(value,0.6) AS bound FROM mem GROUP BY 1,2), "
-        f"mk AS (SELECT pd.station, variable, time, value>bound AND month(time) BETWEEN 6 AND 9 AS mask FROM pd JOIN bo ON pd.station=bo.station AND dayofyear(time)=doy), {bridge(SERIES)}, {_islands('bb', SERIES, 3)} SELECT * FROM waves"
+        f"WITH {DAILY}, {price}, {pool('pd', 15)}, bo AS (SELECT station, variable, doy, quantile_cont(value,0.6) AS bound FROM mem GROUP BY 1,2,3), "
+        f"mk AS (SELECT pd.station, pd.variable, time, value>bound AND month(time) BETWEEN 6 AND 9 AS mask FROM pd JOIN bo ON pd.station=bo.station AND pd.variable=bo.variable AND dayofyear(time)=doy), {bridge(SERIES)}, {_islands('bb', SERIES, 3)} SELECT * FROM waves"
     )
     q["ensemble_member_heatwaves"] = (
         f"WITH {ENS}, ek AS (SELECT * FROM ens WHERE variable NOT IN ('tax','discount')), rf AS (SELECT station, variable, dayofyear(time) AS doy, value FROM ek), {_quantiles('rf', 'station, variable, doy', '(SELECT 0 AS level_id, 0.6::DOUBLE AS level)', name='bq')}, bo AS (SELECT station, variable, doy, quantile AS bound FROM bq), "
         f"mk AS (SELECT realization, ek.station, ek.variable, time, coalesce(value>bound, false) AND month(time) BETWEEN 6 AND 9 AS mask FROM ek LEFT JOIN bo ON ek.station=bo.station AND ek.variable=bo.variable AND dayofyear(time)=doy), {bridge('realization, station, variable')}, {_islands('bb', 'realization, station, variable', 3)} SELECT * FROM waves"
     )
-    hot = f"hm AS (SELECT station, variable, time, value, value>40000 AS mask FROM daily WHERE variable='price')"
+    hot = f"hm AS (SELECT station, variable, time, value, value > CASE variable WHEN 'price' THEN 40000.0 WHEN 'quantity' THEN 27.0 WHEN 'discount' THEN 0.055 ELSE 0.042 END AS mask FROM daily)"
     q["islands"] = f"WITH {DAILY}, {hot}, {_islands('hm', SERIES, 2)} SELECT * FROM waves"
     q["wave_mask"] = f"WITH {DAILY}, {hot}, {_runs('hm', SERIES, 'mask')} SELECT station, variable, time, {rv}, mask AND count(*) OVER (PARTITION BY {SERIES}, mask, grp) >= 2 AS mask FROM runs"
     q["heatwaves_by_year"] = f"WITH {DAILY}, {hot}, {_islands('hm', SERIES, 3)}, yr AS (SELECT DISTINCT station, variable, CAST(year(time) AS INTEGER) AS year FROM daily) SELECT yr.station, yr.variable, yr.year, count(days) AS waves, CAST(coalesce(sum(days),0) AS BIGINT) AS wave_days FROM yr LEFT JOIN waves ON yr.station=waves.station AND yr.variable=waves.variable AND yr.year=year(\"begin\") GROUP BY 1,2,3"
