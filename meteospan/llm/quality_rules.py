@@ -38,7 +38,7 @@ class Rule:
 RULES = (
     Rule("length", "n_words", high=1_000_000),
     Rule("mean_word_length", "word_chars / n_words", low=1.5, high=24.0),
-    Rule("symbols_per_word", "n_symbols / n_words", high=0.5),
+    Rule("symbols_per_word", "n_symbols / n_words", high=0.3),
     Rule("duplicate_line_ratio", "n_dup_lines / n_lines", high=0.7),
     Rule("alphabetic_word_ratio", "n_alpha_words / n_words", low=0.4),
     Rule("stop_word_ratio", "n_stop_words / n_words", high=0.9),
