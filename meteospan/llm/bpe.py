@@ -221,6 +221,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(1)
+def piece_cache(path: str) -> PieceCache:
+    """Pieces that this worker has met, in any of its tasks."""
+    return PieceCache(vocabulary(path).merge)
+
+
 def encode_texts(column: pa.Array, vocab: Vocabulary, cache: PieceCache) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     out: list[bytes] = []
@@ -244,10 +250,8 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c != text_col and c.lower() not in ("ids", "n_tokens")]
 
     def encode(batches):
-        vocab = vocabulary(path)
-        cache = PieceCache(vocab.merge)
         for batch in batches:
-            ids = encode_texts(batch.column(text_col), vocab, cache)
+            ids = encode_texts(batch.column(text_col), vocabulary(path), piece_cache(path))
             arrays = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, keep + ["ids", "n_tokens"])
 

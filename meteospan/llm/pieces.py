@@ -47,10 +47,9 @@ class PieceCache:
             size = np.fromiter((len(x) for x in found), np.int64, len(found))
             at = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, *[np.asarray(x, np.uint32) for x in found]])
-            order = np.argsort(keys_ := np.concatenate([self.keys, distinct[new]]), kind="stable")
-            self.keys = keys_[order]
-            self.at = np.concatenate([self.at, at])[order]
-            self.size = np.concatenate([self.size, size])[order]
+            self.keys, self.at, self.size = (
+                np.insert(old, place[new], more) for old, more in ((self.keys, distinct[new]), (self.at, at), (self.size, size))
+            )
             place = np.searchsorted(self.keys, distinct)
         size = self.size[place][inverse]
         return self.ids[gather(self.at[place][inverse], size)], size

@@ -122,7 +122,14 @@ def tokenizer(path: str):
     return loaded
 
 
-def encode_words(column: pa.Array, path: str, cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(1)
+def word_cache(path: str) -> PieceCache:
+    """Words that this worker has met, in any of its tasks."""
+    library = tokenizer(path)
+    return PieceCache(lambda words: [e.ids for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+
+
+def encode_words(column: pa.Array, cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, joined, and the number of each text.
 
     For a tokenizer that drops white space: words between ASCII white space never share a token, so
@@ -154,10 +161,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
     kind = f"<u{width}"
 
     def encode(batches):
-        library = tokenizer(path)
-        cache = PieceCache(lambda words: [e.ids for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
         for batch in batches:
-            ids, counts = encode_words(batch.column(1), path, cache)
+            ids, counts = encode_words(batch.column(1), word_cache(path))
             ends = np.cumsum(counts)
             flat = np.insert(ids.astype(kind), ends, end_id).tobytes()
             cut = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * width
@@ -219,7 +224,8 @@ def read_tokens(shards: DataFrame, doc_ids: list[int] | None = None) -> DataFram
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "start", "n_tokens", "ids"])
 
-    spread = shards.repartition("shard").select("path", "start")
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or the tiny table would be one task
+    spread = shards.repartition(parts, "shard").select("path", "start")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -215,7 +215,8 @@ def read_warc(archives: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return archives.select("path").repartition("path").mapInArrow(read, READ_SCHEMA)
+    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or the tiny table would be one task
+    return archives.select("path").repartition(parts, "path").mapInArrow(read, READ_SCHEMA)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
