@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from meteospan.llm import textscan as ts
@@ -224,7 +225,7 @@ def vocabulary(path: str) -> Vocabulary:
 @lru_cache(1)
 def piece_cache(path: str) -> PieceCache:
     """Pieces that this worker has met, in any of its tasks."""
-    return PieceCache(vocabulary(path).merge)
+    return PieceCache(vocabulary(path).merge, 1 << 19)
 
 
 def encode_texts(column: pa.Array, vocab: Vocabulary, cache: PieceCache) -> list[bytes]:
@@ -239,6 +240,16 @@ def encode_texts(column: pa.Array, vocab: Vocabulary, cache: PieceCache) -> list
     return out
 
 
+def small(batch: pa.RecordBatch, column: str, size: int = 1 << 22):
+    """Parts of a batch with about ``size`` bytes of a column, so that a worker holds little at once."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` without the text, and ``ids`` (little-endian unsigned 32-bit) and ``n_tokens``.
 
@@ -250,10 +261,11 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c != text_col and c.lower() not in ("ids", "n_tokens")]
 
     def encode(batches):
-        for batch in batches:
-            ids = encode_texts(batch.column(text_col), vocabulary(path), piece_cache(path))
-            arrays = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, keep + ["ids", "n_tokens"])
+        for whole in batches:
+            for batch in small(whole, text_col):
+                ids = encode_texts(batch.column(text_col), vocabulary(path), piece_cache(path))
+                arrays = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, keep + ["ids", "n_tokens"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + list(T._parse_datatype_string("ids binary, n_tokens long")))
     return docs.mapInArrow(encode, schema)
@@ -265,12 +277,13 @@ def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str
 
     def decode(batches):
         vocab = vocabulary(path)
-        for batch in batches:
-            texts = []
-            for raw in batch.column(ids_col):
-                raw = raw.as_py()
-                texts.append(None if raw is None else vocab.decode(np.frombuffer(raw, "<u4")).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], keep + [text_col])
+        for whole in batches:
+            for batch in small(whole, ids_col):
+                texts = []
+                for raw in batch.column(ids_col):
+                    raw = raw.as_py()
+                    texts.append(None if raw is None else vocab.decode(np.frombuffer(raw, "<u4")).tobytes().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], keep + [text_col])
 
     schema = T.StructType([tokens.schema[c] for c in keep] + list(T._parse_datatype_string(f"`{text_col}` string")))
     return tokens.mapInArrow(decode, schema)
