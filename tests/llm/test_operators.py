@@ -274,6 +274,35 @@ def test_fuzzy_passage(spark):
     assert b[row.start : row.end] == " ".join(copy) and a[row.other_start : row.other_end] == " ".join(tokens[100:200])
 
 
+@pytest.mark.parametrize("between", [(40, 40), (40, 47), (0, 60), (90, 30)])
+def test_two_passages_with_other_text_between(spark, between):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    first, second = fresh(60), fresh(60)
+    a, b = (fresh(30) + first + fresh(n) + second + fresh(30) for n in between)
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(df).collect()
+    texts = {1: " ".join(a), 2: " ".join(b)}
+    assert {texts[r.doc_id][r.start : r.end] for r in found} == {" ".join(first), " ".join(second)}
+    assert all(texts[r.doc_id][r.start : r.end] == texts[r.other_id][r.other_start : r.other_end] for r in found)
+
+
+def test_passages_of_a_failing_chain_against_all_stretches():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 40, 160).astype(np.uint64)
+        b = np.where(rng.random(160) < np.repeat(rng.choice([0.0, 0.1, 0.9], 8), 20), np.uint64(1), a)
+        same, xs = a == b, [i for i in range(0, 152, 4) if (a[i : i + 8] == b[i : i + 8]).all()]
+        if len(xs) < 2 or substring_dedup.align(a, b, xs, xs)[4] >= 0.8 * 160:
+            continue
+        found = substring_dedup.passages(a, b, xs, xs, 30, 0.8)
+        n = lambda i, j: int(same[i:j].sum())
+        assert all(a0 == b0 and a1 == b1 and n(a0, a1) == m >= max(30, 0.8 * (a1 - a0)) for a0, a1, b0, b1, m in found)
+        inside = range(xs[0], xs[-1] + 8)
+        good = {k for i in inside for j in inside[i - inside[0] + 30 :] if n(i, j) >= max(30, 0.8 * (j - i)) for k in range(i, j) if same[k]}
+        assert good <= {k for a0, a1, *_ in found for k in range(a0, a1)}
+
+
 def test_chains_against_all_predecessors():
     rng = np.random.default_rng(5)
     for _ in range(100):
