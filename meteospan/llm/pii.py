@@ -1,13 +1,14 @@
 """Personal data: patterns, and terms that disclose a protected entity.
 
 Base spans are pattern matches, found with built-in functions. An entity is the value of such a
-span. A term next to an entity discloses it when knowing the term makes the entity much more
-likely: with document frequencies over the whole corpus, PMI(e; t) / IC(e) =
+span. A term in a document with an entity discloses it when knowing the term makes the entity much
+more likely: with document frequencies over the whole corpus, PMI(e; t) / IC(e) =
 log(p(e, t) / (p(e) p(t))) / -log p(e), which is 1 when the term never occurs without the entity.
 Terms over ``remove`` are removed and those over ``generalise`` are replaced by a class.
 
-Shuffles: the base spans (not the texts), the term counts after partial aggregation and the
-(entity, term) pairs of contexts, whose number is bound by the base spans times the context.
+Shuffles: the texts with their base spans, once; the term counts after partial aggregation; the
+distinct terms of each document that are rare enough to disclose anything; and the (entity, term)
+pairs of documents after partial aggregation.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ PATTERNS = {
 TERM = r"(?<=[^\p{L}\p{N}])\p{L}{3,24}(?=[^\p{L}\p{N}])"
 
 
+#: Terms too frequent to disclose anything that are dropped before a shuffle; the rest of them after it.
+FREQUENT = 1 << 15
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -53,37 +58,48 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, around: int) -> Column:
-    """Valid matches of the four kinds as structs ``start, kind, end, value, before, after``."""
+def base_spans(text: Column) -> Column:
+    """Valid matches of the four kinds as structs ``start, kind, end, value``."""
     text = whole(text)
     # a cheap test first; the regular expressions see few texts
     hint = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
 
     def of(number: int, kind: str) -> Column:
-        found = F.filter(located(text, PATTERNS[kind], around), lambda s: _valid(kind, s["value"]))
+        found = F.filter(located(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
         spans = F.transform(
             found,
             lambda s: F.struct(
                 s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"),
-                F.lower(s["value"]).alias("value"), s["before"].alias("before"), s["after"].alias("after"),
+                F.lower(s["value"]).alias("value"),
             ),
         )
-        empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string,before:string,after:string>>")
+        empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
         return F.when(hint[kind], spans).otherwise(empty) if kind in hint else spans
 
     return F.sort_array(F.concat(*[of(i, k) for i, k in enumerate(KINDS[:4])]))
 
 
-def _terms(span: Column) -> Column:
-    """Terms beside a span, lower-cased, with offsets in the text."""
-    side = lambda text, shift: F.transform(
-        located(text, TERM),
-        lambda t: F.struct(
-            span["value"].alias("entity"), F.lower(t["value"]).alias("term"),
-            (t["start"] + shift).alias("start"), (t["end"] + shift).alias("end"),
-        ),
+def outside(text: Column, spans: Column) -> Column:
+    """The text between blanks, with a blank for each code point of a span."""
+    blank = lambda n: F.repeat(F.lit(" "), n.cast("int"))
+    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
+        let(
+            F.greatest(a["at"], s["start"]),
+            lambda at: F.struct(
+                s["end"].alias("at"),
+                F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (at - a["at"]).cast("int")), blank(s["end"] - at)).alias("out"),
+            ),
+        )
     )
-    return F.concat(side(span["before"], span["start"] - F.char_length(span["before"])), side(span["after"], span["end"]))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(" ").alias("out"))
+    end = lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.char_length(text)), F.lit(" "))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(F.concat(F.lit(" "), text, F.lit(" ")))
+
+
+def terms(text: Column) -> Column:
+    """Distinct terms of a text, lower-cased."""
+    found = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x.rlike(r"^\p{L}{3,24}$"))
+    return F.array_distinct(F.transform(found, F.lower))
 
 
 def disclosing_spans(
@@ -93,8 +109,9 @@ def disclosing_spans(
     (code points, end exclusive; kind is a position in ``KINDS``; action is ``base``, ``remove`` or
     ``generalise``), sorted.
 
-    ``around`` code points on both sides of a base span are its context; a pair of entity and term
-    counts when at least ``support`` documents have it. A null or empty text has no spans, equal
+    A document is the context of its entities (``around`` is without effect); a pair of entity and
+    term counts when at least ``support`` documents have it, and a disclosing term is marked wherever
+    it stands outside base spans, in any document. A null or empty text has no spans, equal
     rows get equal spans and count as often as they occur, an empty table gives an empty result. A
     column of the input called ``spans`` is replaced; any other name is kept.
     """
@@ -103,33 +120,54 @@ def disclosing_spans(
     keys = row_keys(docs.columns, *[F.col(c) for c in docs.columns])
     k = list(keys)
     out = [c for c in names if c != text_col]
-    row, own = fresh(docs.columns, "_row"), fresh(docs.columns, "_own")
-    marked = docs.select(
+    row, own, body, marks = (fresh(docs.columns, x) for x in ("_row", "_own", "_body", "_marks"))
+    read = docs.select(
         *[v.alias(n) for n, v in keys.items()], F.struct(*out).alias(row) if out else F.lit(True).alias(row),
-        base_spans(text, around).alias(own),
-    ).repartition(*k)
-
-    near = marked.select(*k, F.flatten(F.transform(own, _terms)).alias("near")).filter(F.size("near") > 0)
-    pair = lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))
-    joint = near.select(F.explode(F.array_distinct(F.transform("near", pair))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_joint"))
-    entity = marked.select(F.explode(F.array_distinct(F.transform(own, lambda s: s["value"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    term = docs.select(F.explode(F.array_distinct(F.split(F.lower(whole(text)), r"[^\p{L}\p{N}]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+        base_spans(text).alias(own), whole(text).alias(body),
+    )
+
+    values = read.select(*k, F.explode(F.array_distinct(F.transform(own, lambda s: s["value"]))).alias("entity"))
+    entities = values.groupBy(*k, "entity").agg(F.count("*").alias("copies"))
+    entity = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity")).filter(F.col("n_entity") >= support)
+    term = docs.select(F.explode(terms(whole(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").cast("double").alias("n")).scalar()
+    least = min(remove, generalise)
+    power = max(least, 0.0)
+    # told <= least for any number of joint documents when the term is in more than this
+    most = lambda n_entity: F.pow(total, F.lit(1 - power)) * F.pow(n_entity.cast("double"), F.lit(power)) * (1 + 1e-9)
+    top = entity.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("top")).scalar()
+    frequent = term.filter(F.col("n_term") > most(top)).orderBy(F.desc("n_term"), "term").limit(FREQUENT).select("term")
+    tokens = (
+        read.select(*k, F.explode(terms(outside(F.col(body), F.col(own)))).alias("term"))
+        .join(F.broadcast(frequent), "term", "left_anti").repartition("term")
+    )
+    usable = term.filter((F.col("n_term") >= support) & (F.col("n_term") <= most(top)))
+    joint = (
+        tokens.join(usable, "term").join(entities.join(entity, "entity").drop("copies"), k)
+        .filter(F.col("n_term") <= most(F.col("n_entity")))
+        .groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_joint"))
+    )
     pmi = F.log(F.col("n_joint") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
     told = (
-        joint.filter(F.col("n_joint") >= support).join(entity, "entity").join(term, "term").withColumn("n", total)
+        joint.filter(F.col("n_joint") >= support).withColumn("n", total)
         .withColumn("told", F.when(F.col("n_entity") < F.col("n"), pmi / F.log(F.col("n") / F.col("n_entity"))).otherwise(0.0))
-        .filter(F.col("told") >= min(remove, generalise))
-        .select("entity", "term", F.when(F.col("told") >= remove, "remove").otherwise("generalise").alias("action"))
-    )
-    hits = (
-        near.select(*k, F.explode("near").alias("t")).select(*k, "t.*").join(told, ["entity", "term"])
-        .groupBy(*k).agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("terms"))
+        .groupBy("term").agg(F.max("told").alias("told")).filter(F.col("told") >= least)
+        .select("term", F.when(F.col("told") >= remove, "remove").otherwise("generalise").alias("action"))
     )
+    hits = tokens.join(told, "term").groupBy(*k).agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias(marks))
     base = F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("base").alias("action")))
+    found = F.filter(located(outside(F.col(body), F.col(own)), TERM), lambda t: F.map_contains_key(marks, F.lower(t["value"])))
+    placed = F.transform(
+        found,
+        lambda t: F.struct(
+            (t["start"] - 1).alias("start"), F.lit(4).alias("kind"), (t["end"] - 1).alias("end"),
+            F.element_at(marks, F.lower(t["value"])).alias("action"),
+        ),
+    )
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,action:string>>")
-    return marked.join(hits, k, "left").select(
-        *([f"{row}.*"] if out else []), F.sort_array(F.concat(base, F.coalesce("terms", empty))).alias("spans")
+    return read.join(hits, k, "left").select(
+        *([f"{row}.*"] if out else []),
+        F.sort_array(F.concat(base, F.when(F.col(marks).isNotNull(), placed).otherwise(empty))).alias("spans"),
     )
 
 

@@ -135,6 +135,15 @@ def test_pii_terms(spark):
     assert {r.t for r in out.collect()} == {"Ask  at [email] for it", "Ask the river for it", ""}
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    far = "and so on " * 20
+    texts = [f"Quentin {far} q.t@mail.org, 12 {far} quentin."] * 4 + ["Robin and Quentin"] + [f"nobody {far}"] * 11
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.disclosing_spans(df).collect():
+        terms = [texts[r.doc_id][s.start : s.end] for s in r["spans"] if s.kind == 4]
+        assert terms == (["Quentin", "quentin"] if r.doc_id < 4 else ["Quentin"] if r.doc_id == 4 else [])
+
+
 def test_license_scan(spark, docs, empty):
     mit = license_scan.KNOWN[0][1]
     texts = [
