@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meteospan.llm import bpe, decontaminate, hard_negatives, license_scan, line_dedup, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
+from meteospan.llm import bpe, decontaminate, hard_negatives, license_scan, line_dedup, minhash_dedup, ngram_join, pii, prefix_trie, quality_rules, substring_dedup, token_files, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_minhash_dedup": minhash_dedup.op12_minhash_dedup,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
@@ -29,5 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.op8_sql(),
         "op9_decontaminate": decontaminate.op9_sql(),
         "op10_license_scan": license_scan.op10_sql(),
+        "op11_prefix_trie": prefix_trie.op11_sql(),
+        "op12_minhash_dedup": minhash_dedup.op12_sql(),
         "op13_hard_negatives": hard_negatives.op13_sql(),
     }
