@@ -3,16 +3,16 @@
 1. A text's sketch is the ``SKETCH`` smallest of its hashed shingles; equal sets are one node (128-bit key).
 2. Inverted lists of retained values bring nodes together. A link needs ``needed`` values in both sketches, so it is enough
    to deal out the values of a sketch but for the last ``needed - 1``, frequent values coming last (any order gives the same links).
-   Values with many holders are dealt out by blocks of nodes; equal lists are kept once.
-3. A task gets lists with the texts of their nodes, inverts the sketches, and reads the overlaps of every node with all
+   Values with many holders are dealt out by blocks of nodes. Lists with the same smallest node are one group.
+3. A task gets groups with the texts of their nodes, inverts the sketches, and reads the overlaps of every node with all
    others from the lists. The k smallest values of the union of two sketches are a sample of the union of the sets; pairs whose
    share of common values there is below ``LEAST`` percent are left. Sketches that hold their whole set give the exact value.
 4. The rest is confirmed on the full sets. Nodes already in one component are not compared again, so a task returns a forest.
-   A long list is cut into blocks, each with the list's first node; what is not in one component by then is compared block by block.
+   A long group is cut into blocks, each with the group's first node; what is not in one component by then is compared block by block.
 5. Components by large-star/small-star.
 
 With similarity s of 0.8 or more the number of common values in a union sketch of 64 is binomial at least; it is below
-45 % with a chance under 1e-8 for a single link. Nothing else can lose a link: no list, partner or candidate is capped.
+45 % with a chance under 1e-8 for a single link. Nothing else can lose a link: no group, partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meteospan.llm import textscan as ts
 from meteospan.llm.components import components
 from meteospan.llm.ngram_join import _node_keys, shingle_sets
 from meteospan.llm.pieces import gather
@@ -122,9 +121,11 @@ def _entries(nodes: DataFrame, percent: int, frequent) -> DataFrame:
     return nodes.select("node", "n", "sketch").mapInArrow(deal, "value long, block int, blocks int, node binary, n long")
 
 
-def candidate_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """``list, node, n``: nodes that hold a value and whose sizes allow a link with another of them, equal lists once.
-    The blocks of a value with many holders stay one list."""
+def candidate_groups(entries: DataFrame, percent: int) -> DataFrame:
+    """``hub, node, n``: nodes that hold a value, and whose sizes allow a link with another holder, under the smallest of them.
+
+    The many lists of a family mostly begin with the same node, so they become one group. What meets in a list meets in its group.
+    """
 
     def runs(batches) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -139,8 +140,6 @@ def candidate_lists(entries: DataFrame, percent: int) -> DataFrame:
             yield from lists(rest.combine_chunks(), np.array([0, rest.num_rows]))
 
     def lists(table: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
         n, value, blocks = (np.asarray(table.column(c)) for c in ("n", "value", "blocks"))
         run = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
         inner = np.flatnonzero(run[1:] == run[:-1])
@@ -153,25 +152,19 @@ def candidate_lists(entries: DataFrame, percent: int) -> DataFrame:
         if not len(at):
             return
         node = table.column("node").combine_chunks().take(pa.array(at))
-        raw = np.frombuffer(b"".join(node.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
-        # the same nodes, in whatever order, give the same list
-        of = run[at]
-        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        keys = []
-        for i in (0, 1):
-            total = np.concatenate([[0], np.cumsum(ts.mix(raw[:, i] + np.uint64(i)), dtype=np.uint64)]).astype(np.uint64)
-            same = np.diff(np.append(begin, len(of)))
-            key = np.repeat(total[np.append(begin[1:], len(of))] - total[begin], same)
-            split = blocks[at] > 1
-            key[split] = ts.mix(value[at].view(np.uint64) + np.uint64(i))[split]
-            keys.append(key)
-        joined = np.stack(keys, 1).astype(">u8").tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([joined[16 * i : 16 * i + 16] for i in range(len(at))], pa.binary()), node, pa.array(n[at])], ["list", "node", "n"]
-        )
+        names = np.array(node.to_pylist(), object)
+        begin = np.flatnonzero(np.concatenate([[True], run[at][1:] != run[at][:-1]]))
+        size = np.diff(np.append(begin, len(at)))
+        hubs = [None if blocks[at[i]] > 1 else min(names[i : i + k]) for i, k in zip(begin, size)]
+        hub = pa.array(np.repeat(np.array(hubs, object), size).tolist(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(value[at]), hub, node, pa.array(n[at])], ["value", "hub", "node", "n"])
 
     dealt = entries.repartition("value", "block").sortWithinPartitions("value", "block", "n")
-    return dealt.mapInArrow(runs, "list binary, node binary, n long").distinct()
+    found = written(dealt.mapInArrow(runs, "value long, hub binary, node binary, n long"), "lists")
+    # fewer than SHARES values are dealt out by blocks, so this table is small
+    split = found.filter("hub IS NULL").drop("hub")
+    first = split.groupBy("value").agg(F.min("node").alias("hub"))
+    return found.filter("hub IS NOT NULL").select("hub", "node", "n").union(split.join(F.broadcast(first), "value").select("hub", "node", "n")).distinct()
 
 
 def sketch_links(sets: list[np.ndarray], groups: list, percent: int) -> list[tuple[int, int]]:
@@ -266,33 +259,33 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     value, times = _frequent(nodes)
     bound = max(COLD, int(times.sum()) // SHARES)
     frequent = spark.sparkContext.broadcast((value, times, -(-times // bound)))
-    lists = written(candidate_lists(_entries(nodes, percent, frequent), percent), "lists")
-    sized = lists.groupBy("list").agg(F.sum("n").alias("total"), F.count("*").alias("times"), F.min("node").alias("hub"))
+    groups = written(candidate_groups(_entries(nodes, percent, frequent), percent), "groups")
+    sized = groups.groupBy("hub").agg(F.sum("n").alias("total"), F.count("*").alias("times"))
     sized = written(sized.filter("times > 1").withColumn("blocks", F.ceil(F.col("total") / BLOCK)), "sized")
     rows, shingles = sized.agg(F.sum("times"), F.sum("total")).first()
-    whole = lookup(lists, sized, ["list"], "times", rows or 0)
+    whole = lookup(groups, sized, ["hub"], "times", rows or 0)
     block = F.pmod(F.xxhash64("node"), "blocks")
-    shared = F.pmod(F.xxhash64("list"), F.lit(max(1, -(-(shingles or 0) // BLOCK))))
-    own = whole.select(F.when(F.col("blocks") > 1, F.xxhash64("list", block)).otherwise(shared).alias("task"), "node")
-    hubs = sized.filter("blocks > 1").select("list", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    first = own.union(hubs.select(F.xxhash64("list", "block"), "hub")).distinct()
+    shared = F.pmod(F.xxhash64("hub"), F.lit(max(1, -(-(shingles or 0) // BLOCK))))
+    own = whole.select(F.when(F.col("blocks") > 1, F.xxhash64("hub", block)).otherwise(shared).alias("task"), "node")
+    hubs = sized.filter("blocks > 1").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    first = own.union(hubs.select(F.xxhash64("hub", "block"), "hub")).distinct()
     links = written(_search(first.withColumn("group", F.lit(None).cast("binary")), sources, read, size, percent), "links")
 
     if not sized.filter("blocks > 1").isEmpty():
-        # what is outside a list's largest component is compared with the blocks of the list
+        # what is outside a long group's largest component is compared with the blocks of the group
         joined = written(components(links), "components").withColumnRenamed("root", "group")
         split = whole.filter("blocks > 1").join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
-        split = written(split.select("list", "node", "group", "blocks", "times"), "split")
-        share = split.groupBy("list", "group").agg(F.count("*").alias("members"), F.max("times").alias("times"))
-        main = share.groupBy("list").agg(F.max_by("group", F.struct("members", "group")).alias("main"), F.count("*").alias("parts"), F.max("times").alias("times"))
-        rest = lookup(split.drop("times"), main.filter("parts > 1"), ["list"], "times", rows or 0).withColumn("block", block)
-        rest = written(rest.select("list", "node", "group", "main", "block", "blocks"), "rest")
+        split = written(split.select("hub", "node", "group", "blocks", "times"), "split")
+        share = split.groupBy("hub", "group").agg(F.count("*").alias("members"), F.max("times").alias("times"))
+        main = share.groupBy("hub").agg(F.max_by("group", F.struct("members", "group")).alias("main"), F.count("*").alias("parts"), F.max("times").alias("times"))
+        rest = lookup(split.drop("times"), main.filter("parts > 1"), ["hub"], "times", rows or 0).withColumn("block", block)
+        rest = written(rest.select("hub", "node", "group", "main", "block", "blocks"), "rest")
         few = rest.filter(F.col("group") != F.col("main"))
-        task = lambda a, b: F.xxhash64("list", a, b).alias("task")
+        task = lambda a, b: F.xxhash64("hub", a, b).alias("task")
         others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        left = few.select("list", "node", "group", "block", others).select(task(F.col("block"), F.col("other")), "node", "group")
-        met = few.groupBy("list").agg(F.collect_set("block").alias("few_blocks"), F.max("blocks").alias("times"))
-        right = rest.join(met.select("list", "few_blocks"), "list").select("list", "block", "node", "group", F.explode("few_blocks").alias("few_block"))
+        left = few.select("hub", "node", "group", "block", others).select(task(F.col("block"), F.col("other")), "node", "group")
+        met = few.groupBy("hub").agg(F.collect_set("block").alias("few_blocks"))
+        right = rest.join(met, "hub").select("hub", "block", "node", "group", F.explode("few_blocks").alias("few_block"))
         right = right.select(task(F.col("few_block"), F.col("block")), "node", "group")
         links = links.union(_search(left.union(right).distinct(), sources, read, size, percent))
 
