@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meteospan.functions.normal import bind, norm_cdf, norm_ppf, norm_ppf_array
+from meteospan.functions.normal import bind, norm_cdf, norm_cdf_array, norm_ppf, norm_ppf_array
 
 EDGE = 1e-9
 ROTATIONS = (0, 90, 180, 270)
@@ -228,13 +228,19 @@ def _gaussian():
 
         return u * v + F.asin(k) / (2.0 * math.pi) * _scores(u, v, integral)
 
+    def scored(u, v, k, body):
+        """Φ of ``body`` of the two normal scores, for Columns and for arrays."""
+        if _is_column(u, v, k):
+            return _scores(u, v, lambda x, y: norm_cdf(body(x, y, F.sqrt(1.0 - k * k))))
+        return norm_cdf_array(body(norm_ppf_array(u), norm_ppf_array(v), np.sqrt(1.0 - k * k)))
+
     return dict(
         cdf=cdf,
-        h=lambda u, v, k: _scores(u, v, lambda x, y: norm_cdf((y - k * x) / F.sqrt(1.0 - k * k))),
+        h=lambda u, v, k: scored(u, v, k, lambda x, y, rest: (y - k * x) / rest),
         density=lambda u, v, k: _scores(u, v, lambda x, y: gaussian_density(x, y, k))
         if _is_column(u, v, k)
         else gaussian_density(norm_ppf_array(u), norm_ppf_array(v), k),
-        inverse=lambda u, q, k: _scores(u, q, lambda x, z: norm_cdf(k * x + F.sqrt(1.0 - k * k) * z)),
+        inverse=lambda u, q, k: scored(u, q, k, lambda x, z, rest: k * x + rest * z),
     )
 
 
@@ -423,6 +429,53 @@ def h_inverse(
     return _unit(1.0 - x if r in (90, 180) else x)
 
 
+def h_array(family: str, u, v, theta, rotation: int = 0, given: str = "u"):
+    """P(V ≤ v | U = u) of numpy arrays; with ``given="v"`` P(U ≤ u | V = v)."""
+    a, b = turned(clamp(u), clamp(v), rotation)
+    with np.errstate(all="ignore"):
+        base = FAMILIES[family].h(a, b, theta) if given == "u" else FAMILIES[family].h(b, a, theta)
+    turn = (90, 180) if given == "u" else (180, 270)
+    return np.clip(1.0 - base if rotation in turn else base, 0.0, 1.0)
+
+
+def h_inverse_array(family: str, u, q, theta, rotation: int = 0, given: str = "u", tolerance: float = 1e-14):
+    """The array x with h(x | u) = q: closed form, or Newton steps along the density (which is ∂h/∂x)
+    inside a bracket, halved where a step would leave it."""
+    f, u, q = FAMILIES[family], clamp(np.asarray(u, float)), clamp(np.asarray(q, float))
+    r = rotation if given == "u" else {90: 270, 270: 90}.get(rotation, rotation)
+    a = 1.0 - u if r in (180, 270) else u
+    p = 1.0 - q if r in (90, 180) else q
+    k = np.broadcast_to(np.asarray(theta, float), np.broadcast_shapes(np.shape(a), np.shape(p), np.shape(theta)))
+    a, p = np.broadcast_to(a, k.shape), np.broadcast_to(p, k.shape)
+    with np.errstate(all="ignore"):
+        x = f.inverse(a, p, k) if f.inverse is not None else _solve(f, a, p, k, tolerance)
+    return np.clip(1.0 - x if r in (90, 180) else x, 0.0, 1.0)
+
+
+def _solve(f: Family, a, p, k, tolerance: float):
+    x = p.copy()
+    lo, hi = np.zeros_like(x), np.ones_like(x)
+    left = np.flatnonzero(np.isfinite(a + p + k))
+    x[~np.isfinite(a + p + k)] = np.nan
+    for _ in range(200):
+        at, u, goal, theta = x[left], a[left], p[left], k[left]
+        inside = clamp(at)
+        gap = f.h(u, inside, theta) - goal
+        # far in a corner h may not be a number; it counts as too low there
+        low = ~(gap >= 0)
+        lo[left] = np.where(low, at, lo[left])
+        hi[left] = np.where(low, hi[left], at)
+        step = at - gap / f.density(u, inside, theta)
+        bad = ~((step > lo[left]) & (step < hi[left]))
+        after = np.where(bad, (lo[left] + hi[left]) / 2.0, step)
+        x[left] = np.where(gap == 0, at, after)
+        going = (gap != 0) & (np.abs(after - at) > tolerance) & (hi[left] - lo[left] > tolerance)
+        left = left[going]
+        if not len(left):
+            break
+    return x
+
+
 def by_family(
     build: Callable, used, family: str = "family", rotation: str = "rotation"
 ) -> Column:

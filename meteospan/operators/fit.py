@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from meteospan.functions.copula import (
     FAMILIES,
@@ -20,8 +20,8 @@ from meteospan.functions.copula import (
     clamp,
     copula_cdf,
     copula_density,
-    h_inverse,
-    h_v_given_u,
+    h_array,
+    h_inverse_array,
     members,
     rotate,
     symmetry_flags,
@@ -29,7 +29,7 @@ from meteospan.functions.copula import (
 )
 from meteospan.operators.pairs import asymmetry1, asymmetry2, tau_min
 from meteospan.operators.ranks import bipit
-from meteospan.operators.timeops import doy_targets, lag_pairs, smooth_by_doy
+from meteospan.operators.timeops import lag_pairs
 from meteospan.schema import finite, pair_keys
 from meteospan.session import cut_lineage
 
@@ -344,24 +344,94 @@ def lagged_pair_fits(ranks: DataFrame, k: int = 1, families=None, **options) ->
     return select_copula(pairs, families=families, **options)
 
 
-def _add_dry_corner(table: DataFrame, chosen) -> DataFrame:
-    """Add n_dry · log C at the corner that holds the dry rows of the window."""
-    right = F.col("u_max") > F.col("v_max")
-    rows = table.withColumns(
-        {
-            "_cu": F.when(right, F.lit(ONEISH)).otherwise(F.col("u_max")),
-            "_cv": F.when(right, F.col("v_max")).otherwise(F.lit(ONEISH)),
-        }
-    )
-    corner = by_family(
-        lambda n, r: copula_cdf(n, F.col("_cu"), F.col("_cv"), F.col("theta"), r), chosen
-    )
-    part = F.col("n_dry") * F.log(F.greatest(F.col("_corner"), F.lit(1e-300)))
-    return (
-        rows.withColumn("_corner", corner)
-        .withColumn("ll", F.col("ll") + F.when(F.col("n_dry") > 0, part).otherwise(0.0))
-        .drop("_cu", "_cv", "_corner", "n_dry", "u_max", "v_max")
-    )
+DAYS = 366
+
+
+def window_table(w: int) -> np.ndarray:
+    """Row d − 1 marks the days of year that the window of day d holds (see ``doy_targets``)."""
+    d, x = np.arange(1, DAYS + 1)[:, None], np.arange(1, DAYS + 1)[None, :]
+    early = (d < w) & (x > DAYS - 1 - w + d)
+    late = (d + w > DAYS - 1) & (x < d + w - (DAYS - 1))
+    return ((x > d - w) & (x <= d + w)) | early | late
+
+
+def _daily_curves(packed: DataFrame, keys, chosen, grid: int, masked: bool) -> DataFrame:
+    """(keys, _x, m, lls): log densities of each member on its first grid, summed for each day of year.
+
+    A row is an array of sums; the blocks of a large day are added as arrays."""
+    start = np.stack([_first_grid(name, grid) for name, _ in chosen])
+
+    def evaluate(batches):
+        for frame in batches:
+            u, v, w, wet = (np.concatenate([np.asarray(x) for x in frame[c]] or [np.zeros(0)]) for c in ("u", "v", "w", "wet"))
+            row = np.repeat(np.arange(len(frame)), [len(x) for x in frame["u"]])
+            if masked:
+                row, u, v, w = (x[wet.astype(bool)] for x in (row, u, v, w))
+            for m, (name, rotation) in enumerate(chosen):
+                sums = np.zeros((len(frame), grid))
+                for at in range(0, len(u), PACK):
+                    part = slice(at, at + PACK)
+                    a, b = turned(u[part], v[part], rotation)
+                    with np.errstate(all="ignore"):
+                        d = FAMILIES[name].density(a[:, None], b[:, None], start[m][None, :])
+                        d = np.log(np.where((d > 0) & np.isfinite(d), d, FIT_FLOOR)) * w[part, None]
+                    begin = np.flatnonzero(np.diff(row[part], prepend=-1))
+                    sums[row[part][begin]] += np.add.reduceat(d, begin, axis=0)
+                out = frame[[*keys, "_x"]].copy()
+                out["m"], out["lls"] = m, list(sums)
+                yield out
+
+    fields = [f for f in packed.schema.fields if f.name in (*keys, "_x")]
+    schema = T.StructType([*fields, T.StructField("m", T.IntegerType()), T.StructField("lls", T.ArrayType(T.DoubleType()))])
+    parts = packed.select(*keys, "_x", "u", "v", "w", "wet").mapInPandas(evaluate, schema)
+    total = F.array(*[F.sum(F.get("lls", F.lit(i))) for i in range(grid)])
+    return parts.groupBy(*keys, "_x", "m").agg(total.alias("lls"))
+
+
+def _around_the_year(chosen, keys, grid: int, w: int, masked: bool):
+    """θ of every day from the sums over its window; one call holds a member of a group, 366 arrays at most."""
+    holds = window_table(w)
+
+    def fit(frame):
+        m = int(frame["m"].iloc[0])
+        name, rotation = chosen[m]
+        f, theta = FAMILIES[name], _first_grid(name, grid)
+        day = frame["_x"].to_numpy() - 1
+        order = np.argsort(day)
+        day, frame = day[order], frame.iloc[order]
+        inside = holds[np.ix_(day, day)]
+        sums = inside.astype(float) @ np.stack(frame["lls"].to_list())
+        out = frame[list(keys)].copy()
+        if masked:
+            rows, dry = (inside @ frame[c].to_numpy(float) for c in ("rows", "n_dry"))
+            top = lambda c: np.where(inside, frame[c].to_numpy(float, na_value=-np.inf)[None, :], -np.inf).max(1)
+            u_max, v_max = top("u_max"), top("v_max")
+            right = u_max > v_max
+            corner = rotate(lambda p, q: f.cdf(p, q, theta[None, :]), rotation)
+            with np.errstate(all="ignore"):
+                share = corner(np.where(right, ONEISH, u_max)[:, None], np.where(right, v_max, ONEISH)[:, None])
+                sums = sums + np.where(dry > 0, dry, 0.0)[:, None] * np.where(dry[:, None] > 0, np.log(np.maximum(share, 1e-300)), 0.0)
+        best = np.argmax(sums, axis=1)
+        around = np.clip(best, 1, grid - 2)
+        each = np.arange(len(day))
+        low, mid, high = (sums[each, around + i] for i in (-1, 0, 1))
+        with np.errstate(all="ignore"):
+            shift = np.where(best == around, 0.5 * (low - high) / (low - 2.0 * mid + high), best - around)
+        shift = np.where(np.abs(shift) <= 1.0, shift, 0.0)
+        # the grid is even in θ, or in log θ where the lower bound is positive
+        scale, back = (np.log, np.exp) if f.lo > 0 else (lambda x: x, lambda x: x)
+        step = (scale(f.hi) - scale(f.lo)) / (grid - 1)
+        found = np.clip(back(scale(f.lo) + step * (around + shift)), f.lo, f.hi)
+        near = lambda bound: np.abs(found - bound) <= 1e-8 + 1e-5 * abs(bound)
+        bad = near(f.lo) | near(f.hi)
+        if masked:
+            bad |= 1.0 - dry / rows < 0.05
+        out["family"], out["rotation"], out["doy"] = name, rotation, day + 1
+        out["theta"] = np.where(bad, np.nan, found)
+        out["rejected"] = bool(bad.mean() > 0.5)
+        return out
+
+    return fit
 
 
 def fit_seasonal_copula(
@@ -370,106 +440,59 @@ def fit_seasonal_copula(
     w: int = 15,
     keys: Sequence[str] | None = None,
     wet_col: str | None = None,
-    grid: int = 128,
+    grid: int = 64,
 ) -> DataFrame:
     """θ per day of year from the window around it.
 
-    All days share one θ grid, so log densities are summed per calendar day once and the
-    windows add at most 2·w such sums; the vertex of the parabola through the best three
-    grid points refines θ. A window with less than 5 % wet rows, and a θ at a bound, gives
-    null; a family with more than half of its days null is dropped.
-    Returns (keys, family, rotation, doy, theta).
+    All days share one θ grid. The log densities of a day are one array of sums for each member, so what is shuffled
+    has a row for each group, day and member. A member's year then meets in one task, where every window is a sum over its
+    days; the vertex of the parabola through the best three grid points refines θ. A window with less than
+    5 % wet rows, and a θ at a bound, gives null; ``rejected`` marks a member with more than half of its days null.
+    Returns (keys, family, rotation, doy, theta, rejected).
     """
     keys = pair_keys(pairs) if keys is None else list(keys)
     chosen = [m for m in members(families) if m[0] != "independence"]
     packed = _packed(pairs.withColumn("_x", F.dayofyear("time")), [*keys, "_x"], wet_col)
-    masked = wet_col is not None
-    # the dry corner is taken per window below, so here the days count wet rows only
-    days = packed if not masked else packed.withColumn("n_dry", F.lit(0).cast("long"))
-    daily = _grid_sums(days, [*keys, "_x"], chosen, grid, FIT_FLOOR, masked)
-    dry = packed.groupBy(*keys, "_x").agg(
-        F.max("n_all").alias("_rows"), F.max("n_dry").alias("n_dry"),
-        F.max("u_max").alias("u_max"), F.max("v_max").alias("v_max"),
-    )
-    present = F.broadcast(packed.select(F.col("_x").alias("doy")).distinct())  # ≤ 366 rows
-    windows = lambda df: df.withColumn("doy", F.explode(doy_targets("_x", w))).join(
-        present, "doy", "left_semi"
-    )
-    sums = windows(daily).groupBy(*keys, "doy", "m", "i").agg(
-        F.max("theta").alias("theta"), F.sum("ll").alias("ll")
-    )
-    shares = windows(dry).groupBy(*keys, "doy").agg(
-        (1.0 - F.sum("n_dry") / F.sum("_rows")).alias("_share"), F.sum("n_dry").alias("n_dry"),
-        F.max("u_max").alias("u_max"), F.max("v_max").alias("v_max"),
-    )
-    names = F.array(*[F.lit(n) for n, _ in chosen])
-    turns = F.array(*[F.lit(r) for _, r in chosen])
-    bound = lambda side: F.array(*[F.lit(getattr(FAMILIES[n], side)) for n, _ in chosen])
-    table = sums.select(
-        *keys, "doy", names[F.col("m")].alias("family"), turns[F.col("m")].alias("rotation"), "i",
-        "theta", "ll", bound("lo")[F.col("m")].alias("lo"), bound("hi")[F.col("m")].alias("hi"),
-    )
-    if masked:
-        table = _add_dry_corner(table.join(shares.drop("_share"), [*keys, "doy"]), chosen)
-    member = [*keys, "family", "rotation"]
-    # one window holds the grid points of one member and day
-    along = W.partitionBy(*member, "doy").orderBy("i")
-    point = F.struct(F.col("theta").alias("t"), F.col("ll").alias("l"))
-    curve = table.withColumns({"_a": F.lag(point).over(along), "_c": F.lead(point).over(along)})
-    top = curve.groupBy(*member, "doy").agg(
-        F.max_by(F.struct("theta", "ll", "_a", "_c", "lo", "hi"), F.struct("ll", -F.col("i"))).alias("_t")
-    )
-    t, a, c = F.col("_t"), F.col("_t._a"), F.col("_t._c")
-    b = F.struct(t["theta"].alias("t"), t["ll"].alias("l"))
-    p = (b["t"] - a["t"]) * (b["l"] - c["l"])
-    q = (b["t"] - c["t"]) * (b["l"] - a["l"])
-    vertex = b["t"] - F.try_divide(
-        (b["t"] - a["t"]) * p - (b["t"] - c["t"]) * q, 2.0 * (p - q)
-    )
-    between = (vertex > a["t"]) & (vertex < c["t"])
-    theta = F.when(between, vertex).otherwise(b["t"])
-    near = lambda bound: F.abs(F.col("theta") - bound) <= 1e-8 + 1e-5 * F.abs(bound)
-    found = top.select(*member, "doy", theta.alias("theta"), t["lo"].alias("_lo"), t["hi"].alias("_hi"))
-    found = found.withColumn(
-        "theta", F.when(~near(F.col("_lo")) & ~near(F.col("_hi")), F.col("theta"))
-    ).drop("_lo", "_hi")
+    curves = _daily_curves(packed, keys, chosen, grid, wet_col is not None)
     if wet_col is not None:
-        found = found.join(shares.select(*keys, "doy", "_share"), [*keys, "doy"]).withColumn(
-            "theta", F.when(F.col("_share") >= 0.05, F.col("theta"))
-        ).drop("_share")
-    kept = found.groupBy(*member).agg(F.avg(F.col("theta").isNull().cast("double")).alias("_bad"))
+        dry = packed.groupBy(*keys, "_x").agg(
+            F.max("n_all").alias("rows"), F.max("n_dry").alias("n_dry"), F.max("u_max").alias("u_max"), F.max("v_max").alias("v_max")
+        )
+        curves = curves.join(dry, [*keys, "_x"])
+    fields = [f for f in packed.schema.fields if f.name in keys]
+    schema = T.StructType(
+        [*fields, T.StructField("family", T.StringType()), T.StructField("rotation", T.IntegerType()), T.StructField("doy", T.IntegerType()),
+         T.StructField("theta", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    )
+    found = curves.groupBy(*keys, "m").applyInPandas(_around_the_year(chosen, keys, grid, w, wet_col is not None), schema)
     # at most 366 rows per member, and every later step reads them more than once
-    return cut_lineage(found.join(kept.filter(F.col("_bad") <= 0.5).drop("_bad"), member))
-
-
-def _bounds_of(which: str) -> Column:
-    pairs = [F.lit(x) for n, f in FAMILIES.items() for x in (n, getattr(f, which))]
-    return F.create_map(*pairs)[F.col("family")]
+    return cut_lineage(found.withColumn("theta", F.nanvl("theta", F.lit(None).cast("double"))))
 
 
 def smooth_doy(fits_doy: DataFrame, order: int = 4, keys: Sequence[str] | None = None) -> DataFrame:
-    """Fill null θ linearly around the year, keep harmonics 0…order, clip to the bounds."""
+    """Fill null θ linearly around the year, keep harmonics 0…order, clip to the bounds; rejected members are left out.
+
+    The days of a member (366 rows at most) are the circle: half of them are put before the first and after the last
+    for filling, and their places give the angles of the harmonics.
+    """
     keys = pair_keys(fits_doy) if keys is None else list(keys)
-    member = [*keys, "family", "rotation"]
-    # the table has at most 366 rows per member, three copies make the year circular
-    days = W.partitionBy(*member).orderBy("doy")
-    n = F.count("*").over(W.partitionBy(*member))
-    placed = fits_doy.withColumns({"_i": F.row_number().over(days), "_n": n})
-    ring = placed.withColumn("_turn", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(
-        "_at", F.col("_i") + F.col("_turn") * F.col("_n")
-    )
-    known = F.when(F.col("theta").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("theta").alias("t")))
-    back = W.partitionBy(*member).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*member).orderBy(F.col("_at").desc()).rowsBetween(W.unboundedPreceding, 0)
-    ring = ring.withColumns(
-        {"_a": F.last(known, ignorenulls=True).over(back), "_b": F.last(known, ignorenulls=True).over(ahead)}
-    ).filter(F.col("_turn") == 0)
-    a, b = F.col("_a"), F.col("_b")
-    line = a["t"] + (b["t"] - a["t"]) * F.try_divide(F.col("_at") - a["at"], b["at"] - a["at"])
-    filled = ring.select(*member, "doy", F.coalesce(F.col("theta"), line).alias("theta"))
-    smooth = smooth_by_doy(filled, member, ["theta"], order)
-    clipped = F.greatest(_bounds_of("lo"), F.least(_bounds_of("hi"), F.col("theta")))
-    return smooth.withColumn("theta", clipped)
+    kept = fits_doy.filter(~F.col("rejected")).drop("rejected") if "rejected" in fits_doy.columns else fits_doy
+
+    def smooth(frame):
+        frame = frame.sort_values("doy")
+        f, theta = FAMILIES[frame["family"].iloc[0]], frame["theta"].to_numpy(float)
+        n, known = len(theta), np.flatnonzero(np.isfinite(theta))
+        if not len(known):
+            return frame.assign(theta=np.nan)
+        ring = np.concatenate([known - n, known, known + n])
+        filled = np.interp(np.arange(n), ring, np.tile(theta[known], 3))
+        # harmonics 0…order of the real series; one at half the number of days counts once
+        spectrum = np.fft.rfft(filled)
+        spectrum[order + 1 :] = 0.0
+        return frame.assign(theta=np.clip(np.fft.irfft(spectrum, n), f.lo, f.hi))
+
+    done = kept.groupBy(*keys, "family", "rotation").applyInPandas(smooth, kept.schema)
+    return done.withColumn("theta", F.nanvl("theta", F.lit(None).cast("double")))
 
 
 def used_members(fits: DataFrame) -> list[tuple[str, int]]:
@@ -477,63 +500,77 @@ def used_members(fits: DataFrame) -> list[tuple[str, int]]:
     return sorted((r[0], r[1]) for r in fits.select("family", "rotation").distinct().collect())
 
 
-def _with_theta(pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """θ of the day; a day that was never fitted takes the nearest fitted day."""
+def every_day(fits_doy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, family, rotation, thetas): θ of the days 1…366 as an array; a day that was never fitted takes the nearest fitted day."""
     member = [*keys, "family", "rotation"]
     days = fits_doy.groupBy(*member).agg(F.collect_list(F.struct("doy", "theta")).alias("_d"))
-    target = F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy")
-    nearest = F.array_min(
-        F.transform("_d", lambda d: F.struct(F.abs(d["doy"] - F.col("doy")).alias("gap"), d["doy"].alias("at"), d["theta"].alias("theta")))
+    nearest = lambda day: F.array_min(
+        F.transform("_d", lambda d: F.struct(F.abs(d["doy"] - day).alias("gap"), d["doy"].alias("at"), d["theta"].alias("theta")))
     )["theta"]
-    full = days.select(*member, "_d", target).select(*member, "doy", nearest.alias("theta"))
-    return pairs.withColumn("doy", F.dayofyear("time")).join(full, [*keys, "doy"])
+    return days.select(*member, F.transform(F.sequence(F.lit(1), F.lit(DAYS)), nearest).alias("thetas"))
 
 
-def seasonal_density(
-    pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None, used=None
-) -> DataFrame:
+def _with_theta(pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """θ of the day for every member of the group, or for the member that the row names."""
+    on = [*keys, *[c for c in ("family", "rotation") if c in pairs.columns]]
+    joined = pairs.join(every_day(fits_doy, keys), on) if on else pairs.crossJoin(every_day(fits_doy, keys))
+    rows = joined.withColumn("doy", F.dayofyear("time"))
+    return rows.withColumn("theta", F.get("thetas", F.col("doy") - 1)).drop("thetas")
+
+
+def _by_member(df: DataFrame, out: dict) -> DataFrame:
+    """Columns computed on Arrow batches: ``name: function(family, rotation, rows)`` gives an array for the rows of one member."""
+
+    def evaluate(batches):
+        for frame in batches:
+            values = {c: np.full(len(frame), np.nan) for c in out}
+            for (name, rotation), at in frame.groupby(["family", "rotation"]).indices.items():
+                rows = {c: frame[c].to_numpy(float, na_value=np.nan)[at] for c in ("u", "v", "q_u", "q_v", "theta") if c in frame}
+                for c, function in out.items():
+                    values[c][at] = function(name, int(rotation), rows)
+            yield frame.assign(**values)
+
+    schema = T.StructType([*[f for f in df.schema.fields if f.name not in out], *[T.StructField(c, T.DoubleType()) for c in out]])
+    done = df.drop(*out).mapInPandas(evaluate, schema)
+    return done.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in out})
+
+
+def _density_array(name: str, rotation: int, x: dict) -> np.ndarray:
+    a, b = turned(clamp(x["u"]), clamp(x["v"]), rotation)
+    with np.errstate(all="ignore"):
+        return FAMILIES[name].density(a, b, x["theta"])
+
+
+def seasonal_density(pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Density of every pair under every seasonal member of its group."""
     keys = pair_keys(pairs) if keys is None else list(keys)
-    used = used_members(fits_doy) if used is None else used
     rows = _with_theta(pairs.filter(finite("u") & finite("v")), fits_doy, keys)
-    u, v, theta = F.col("u"), F.col("v"), F.col("theta")
-    return rows.withColumn("density", by_family(lambda n, r: copula_density(n, u, v, theta, r), used))
+    return _by_member(rows, {"density": _density_array})
 
 
-def seasonal_loglik(
-    pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None, used=None
-) -> DataFrame:
+def seasonal_loglik(pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     keys = pair_keys(pairs) if keys is None else list(keys)
-    rows = seasonal_density(pairs, fits_doy, keys, used)
+    rows = seasonal_density(pairs, fits_doy, keys)
     return rows.groupBy(*keys, "family", "rotation").agg(
         F.sum(log_density(F.col("density"), SEASONAL_FLOOR)).alias("loglik"), F.count("*").alias("n")
     )
 
 
-def seasonal_quantiles(
-    pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None, used=None
-) -> DataFrame:
+def seasonal_quantiles(pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """q_u = u and q_v = h(v | u; θ of the day)."""
     keys = pair_keys(pairs) if keys is None else list(keys)
-    used = used_members(fits_doy) if used is None else used
     rows = _with_theta(pairs, fits_doy, keys)
-    u, v, theta = F.col("u"), F.col("v"), F.col("theta")
-    return rows.withColumns(
-        {"q_u": u, "q_v": by_family(lambda n, r: h_v_given_u(n, u, v, theta, r), used)}
-    )
+    found = _by_member(rows, {"q_v": lambda n, r, x: h_array(n, x["u"], x["v"], x["theta"], r)})
+    return found.withColumn("q_u", F.col("u"))
 
 
-def seasonal_inverse(
-    uniforms: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None, used=None
-) -> DataFrame:
-    """v = h⁻¹(q_v | u = q_u; θ of the day) for a given table of quantiles."""
+def seasonal_inverse(uniforms: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """v = h⁻¹(q_v | u = q_u; θ of the day) for a given table of quantiles; with the columns family and
+    rotation in the table each row goes back through its own member, else through every member of its group."""
     keys = pair_keys(uniforms) if keys is None else list(keys)
-    used = used_members(fits_doy) if used is None else used
     rows = _with_theta(uniforms, fits_doy, keys)
-    q_u, q_v, theta = F.col("q_u"), F.col("q_v"), F.col("theta")
-    return rows.withColumns(
-        {"u": q_u, "v": by_family(lambda n, r: h_inverse(n, q_u, q_v, theta, r), used)}
-    )
+    found = _by_member(rows, {"v": lambda n, r, x: h_inverse_array(n, x["q_u"], x["q_v"], x["theta"], r)})
+    return found.withColumn("u", F.col("q_u"))
 
 
 def asymmetry_weighted_density(

@@ -86,8 +86,8 @@ CLOSED = [m for m in cop.members() if m[0] not in ("gaussian", "independence")]
 
 
 def seasonal_fits(s, d):
-    pairs = one_pair(s, d)
-    return pairs, fit.smooth_doy(fit.fit_seasonal_copula(pairs, ["gaussian", "plackett"]))
+    pairs = rank_pairs(s, d)
+    return pairs, fit.smooth_doy(fit.fit_seasonal_copula(pairs))
 
 
 def line_vine(s, d, kind="C", by=None, **options):
@@ -233,9 +233,11 @@ def build() -> dict:
     q["asymmetry_filter"] = lambda s, d: r6(fit.asymmetry_filter(rank_pairs(s, d)))
     q["independence_test"] = lambda s, d: r6(fit.independence_test(pr.kendall_tau(rank_pairs(s, d))))
     q["lagged_pair_fits"] = lambda s, d: r6(fit.lagged_pair_fits(ranks(s, d).select("station", "variable", "time", "u"), 1, ["gaussian", "plackett"]), 5)
-    q["fit_seasonal_copula"] = lambda s, d: r6(seasonal_fits(s, d)[1], 5)
-    q["seasonal_quantiles"] = lambda s, d: r6(_with(seasonal_fits(s, d), fit.seasonal_quantiles), 5)
-    q["seasonal_loglik"] = lambda s, d: r6(_with(seasonal_fits(s, d), fit.seasonal_loglik), 4)
+    q["fit_seasonal_copula"] = lambda s, d: r6(fit.fit_seasonal_copula(rank_pairs(s, d)), 5)
+    q["smooth_doy"] = lambda s, d: r6(seasonal_fits(s, d)[1], 5)
+    q["seasonal_quantiles"] = lambda s, d: r6(_with(seasonal_fits(s, d), fit.seasonal_quantiles).groupBy("station", "var_u", "var_v", "family", "rotation").agg(
+        F.count("q_v").alias("n"), F.avg("q_v").alias("mean_q"), F.stddev_pop("q_v").alias("std_q")), 5)
+    q["seasonal_loglik"] = lambda s, d: r6(_with(seasonal_fits(s, d), fit.seasonal_loglik), 3)
     q["seasonal_inverse"] = lambda s, d: r6(_seasonal_round_trip(s, d), 4)
     q["asymmetry_weighted_density"] = lambda s, d: r6(fit.asymmetry_weighted_density(
         rank_pairs(s, d).withColumn("density", cop.copula_density("plackett", F.col("u"), F.col("v"), 3.0))))
@@ -339,8 +341,10 @@ def _inverse_round_trip(pairs):
 
 
 def _seasonal_round_trip(s, d):
+    """Largest change of the quantile on the way to v and back, for each pair and member."""
     pairs, fits = seasonal_fits(s, d)
-    there = fit.seasonal_quantiles(pairs, fits).select("station", "var_u", "var_v", "family", "time", "q_u", "q_v")
-    used = fit.used_members(fits)
-    back = fit.seasonal_inverse(there.withColumnRenamed("family", "kept"), fits, used=used).filter("kept = family")
-    return back.groupBy("station", "family").agg(F.count("v").alias("n"), F.avg("v").alias("mean_v"))
+    there = fit.seasonal_quantiles(pairs, fits).withColumnRenamed("q_v", "before").withColumn("q_v", F.col("before")).drop("u", "v", "theta", "doy")
+    back = fit.seasonal_inverse(there, fits).drop("q_u", "q_v", "theta", "doy")
+    again = fit.seasonal_quantiles(back, fits)
+    gap = F.max(F.abs(F.col("q_v") - F.col("before"))).alias("max_gap")
+    return again.groupBy("station", "var_u", "var_v", "family", "rotation").agg(F.count("v").alias("n"), gap)

@@ -201,6 +201,77 @@ def _grid_fit(source, keys, name, lo, hi, log, zooms=4, grid=16, tag=""):
     return ", ".join(out)
 
 
+# bounds of θ
+_BOUNDS = {
+    "alimikailhaq": (-1.0 + 1e-6, 1.0 - 1e-6), "clayton": (1e-8, 0.1), "gaussian": (-1.0 + 1e-6, 1.0 - 1e-6), "gumbel": (1.0 + 1e-9, 15.0),
+    "gumbelbarnett": (1e-9, 1.0 - 1e-9), "joe": (1.0 + 1e-9, 22.5), "nelsen10": (0.05, 1.0), "nelsen12": (1.0, 21.0), "nelsen13": (1e-12, 125.0),
+    "nelsen14": (1.0, 19.0), "plackett": (1e-5, 20.0),
+}
+
+
+def _scored_pairs():
+    """pairs with the normal scores x, y and a number g of the group."""
+    return (
+        f"{PAIRS}, {_normal_ppf_cte('zz', 'ranks', 'u', 'z')}, zm AS MATERIALIZED (SELECT station, variable, time, z FROM zz), "
+        "pp AS MATERIALIZED (SELECT p.*, dense_rank() OVER (ORDER BY p.station, var_u, var_v) AS g, dayofyear(p.time) AS doy, a.z AS x, b.z AS y FROM pairs p "
+        "JOIN zm a ON a.station=p.station AND a.time=p.time AND a.variable=var_u JOIN zm b ON b.station=p.station AND b.time=p.time AND b.variable=var_v)"
+    )
+
+
+_ALL_MEMBERS = [*_members(), ("gaussian", 0)]
+
+
+def _with_gaussian(name, rotation, what):
+    """Density or h of a member at θ = theta; the Gaussian one from the scores x, y."""
+    if name != "gaussian":
+        return _member(name, rotation, what, "u", "v", "theta")
+    if what == "density":
+        return "exp((2*theta*x*y-theta*theta*(x*x+y*y))/(2*(1-theta*theta)))/sqrt(1-theta*theta)"
+    return _normal_cdf("((y-theta*x)/sqrt(1-theta*theta))")
+
+
+def _seasonal_fit(grid=64):
+    """sf(g, family, rotation, doy, theta, rejected): daily sums on a grid, summed over the window of each day, vertex of the best three."""
+    daily = []
+    for name, rotation in _ALL_MEMBERS:
+        lo, hi = _BOUNDS[name]
+        theta = f"exp(ln({lo!r}::DOUBLE)+i*((ln({hi!r}::DOUBLE)-ln({lo!r}::DOUBLE))/{grid-1}))" if lo > 0 else f"{lo!r}::DOUBLE+i*({hi!r}::DOUBLE-({lo!r}::DOUBLE))/{grid-1}"
+        theta = f"least({hi!r}::DOUBLE, greatest({lo!r}::DOUBLE, {theta}))"
+        daily.append(
+            f"SELECT g, doy, '{name}' AS family, {rotation} AS rotation, i, sum(ln(CASE WHEN d > 0 AND d < 'inf'::DOUBLE THEN d ELSE 1e-9 END)) AS ll "
+            f"FROM (SELECT g, doy, i, {_with_gaussian(name, rotation, 'density')} AS d FROM pp, (SELECT i, {theta} AS theta FROM range(0,{grid}) t(i))) GROUP BY ALL"
+        )
+    bounds = ", ".join(f"('{n}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for n, (lo, hi) in _BOUNDS.items())
+    return (
+        f"dl AS MATERIALIZED ({' UNION ALL '.join(daily)}), "
+        # the days across the turn of the year stand before its begin and after its end
+        "ring AS (SELECT *, doy AS place FROM dl UNION ALL SELECT *, least(doy-365, 0) FROM dl WHERE doy > 340 UNION ALL SELECT *, doy+366 FROM dl WHERE doy < 30), "
+        "wl AS (SELECT g, family, rotation, doy, place, i, sum(ll) OVER (PARTITION BY g, family, rotation, i ORDER BY place RANGE BETWEEN 14 PRECEDING AND 15 FOLLOWING) AS s FROM ring), "
+        "bl AS MATERIALIZED (SELECT g, family, rotation, doy, arg_max(i, s) AS i, max(s) AS s FROM wl WHERE place = doy GROUP BY ALL), "
+        f"cl AS (SELECT b.*, greatest(1, least({grid-2}, b.i)) AS c FROM bl b), "
+        "vl AS (SELECT c.g, c.family, c.rotation, c.doy, any_value(c.i) AS i, any_value(c.c) AS c, max(CASE WHEN w.i=c.c-1 THEN w.s END) AS l, max(CASE WHEN w.i=c.c THEN w.s END) AS m, max(CASE WHEN w.i=c.c+1 THEN w.s END) AS r "
+        "FROM cl c JOIN wl w ON w.g=c.g AND w.family=c.family AND w.rotation=c.rotation AND w.doy=c.doy AND w.place=w.doy AND w.i BETWEEN c.c-1 AND c.c+1 GROUP BY ALL), "
+        "sl AS (SELECT *, c + CASE WHEN i<>c THEN i-c WHEN abs(0.5*(l-r)/(l-2*m+r)) <= 1 THEN 0.5*(l-r)/(l-2*m+r) ELSE 0 END AS spot FROM vl), "
+        f"tl AS (SELECT sl.*, lo, hi, least(hi, greatest(lo, CASE WHEN lo > 0 THEN exp(ln(greatest(lo, 1e-300))+spot*(ln(hi)-ln(greatest(lo, 1e-300)))/{grid-1}) ELSE lo+spot*(hi-lo)/{grid-1} END)) AS t FROM sl JOIN (VALUES {bounds}) b(family, lo, hi) USING (family)), "
+        "sf AS MATERIALIZED (SELECT g, family, rotation, doy, CASE WHEN bad THEN NULL ELSE t END AS theta, avg(bad::INT) OVER (PARTITION BY g, family, rotation) > 0.5 AS rejected, lo, hi "
+        "FROM (SELECT *, abs(t-lo) <= 1e-8+1e-5*abs(lo) OR abs(t-hi) <= 1e-8+1e-5*abs(hi) AS bad FROM tl))"
+    )
+
+
+def _smoothed(order=4):
+    """sm(g, family, rotation, doy, theta): filled around the year, harmonics 0…order, clipped."""
+    ang = "2*pi()*k*pos/n"
+    return (
+        "fk AS (SELECT *, row_number() OVER (PARTITION BY g, family, rotation ORDER BY doy) - 1 AS pos, count(*) OVER (PARTITION BY g, family, rotation) AS n FROM sf WHERE NOT rejected), "
+        "kn AS (SELECT g, family, rotation, pos + s*n AS pos, theta FROM fk, (VALUES (-1), (0), (1)) z(s) WHERE theta IS NOT NULL), "
+        "fi AS MATERIALIZED (SELECT f.g, f.family, f.rotation, f.doy, f.pos, f.n, f.lo, f.hi, coalesce(f.theta, a.theta+(b.theta-a.theta)*(f.pos-a.pos)/(b.pos-a.pos)) AS theta FROM fk f "
+        "ASOF LEFT JOIN kn a ON a.g=f.g AND a.family=f.family AND a.rotation=f.rotation AND f.pos>=a.pos ASOF LEFT JOIN kn b ON b.g=f.g AND b.family=f.family AND b.rotation=f.rotation AND f.pos<=b.pos), "
+        f"sp AS (SELECT g, family, rotation, k, sum(theta*cos({ang})) AS re, sum(-theta*sin({ang})) AS im FROM fi, range(0,{order+1}) t(k) GROUP BY ALL), "
+        f"sm AS MATERIALIZED (SELECT g, family, rotation, doy, greatest(any_value(lo), least(any_value(hi), sum(CASE WHEN k=0 THEN 1 ELSE 2 END*(re*cos({ang})-im*sin({ang})))/any_value(n))) AS theta "
+        "FROM fi JOIN sp USING (g, family, rotation) GROUP BY g, family, rotation, doy)"
+    )
+
+
 def _tau(source, keys, u="u", v="v", name="tau"):
     on = " AND ".join(f"a.{c}=b.{c}" for c in keys)
     cols = ", ".join(f"a.{c}" for c in keys)
@@ -507,6 +578,17 @@ def build() -> dict[str, str]:
         f"WITH {PAIRS}, a AS (SELECT {GRP}, avg((u-.5)*(v-.5)*((u-.5)+(v-.5))) AS a1, avg(-(u-.5)*(v-.5)*((u-.5)-(v-.5))) AS a2 FROM pairs GROUP BY ALL) SELECT station, var_u, var_v, time, round(u,6) AS u, round(v,6) AS v, "
         f"round(CASE WHEN (a1>0 AND u>.75 AND v>.75) OR (a1<0 AND u<.25 AND v<.25) OR (a2>0 AND u>.75 AND v<.25) OR (a2<0 AND u<.25 AND v>.75) THEN {_member('plackett', 0, 'density')} ELSE 0 END,6) AS density FROM pairs JOIN a USING ({GRP})"
     )
+    names = "(SELECT DISTINCT g, station, var_u, var_v FROM pp)"
+    fitted = f"WITH {_scored_pairs()}, {_seasonal_fit()}"
+    q["fit_seasonal_copula"] = f"{fitted} SELECT station, var_u, var_v, family, rotation, CAST(doy AS INTEGER) AS doy, round(theta,5) AS theta, rejected FROM sf JOIN {names} USING (g)"
+    smooth = f"{fitted}, {_smoothed()}"
+    q["smooth_doy"] = f"{smooth} SELECT station, var_u, var_v, family, rotation, CAST(doy AS INTEGER) AS doy, round(theta,5) AS theta FROM sm JOIN {names} USING (g)"
+    pick = lambda what: "CASE " + " ".join(f"WHEN family='{n}' AND rotation={r} THEN {_with_gaussian(n, r, what)}" for n, r in _ALL_MEMBERS) + " END"
+    each = "FROM pp JOIN sm USING (g, doy)"
+    member = "station, var_u, var_v, family, rotation"
+    q["seasonal_loglik"] = f"{smooth} SELECT {member}, round(sum(ln(CASE WHEN d > 0 AND d < 'inf'::DOUBLE THEN d ELSE 1e-15 END)),3) AS loglik, count(*) AS n FROM (SELECT {member}, {pick('density')} AS d {each}) GROUP BY ALL"
+    q["seasonal_quantiles"] = f"{smooth} SELECT {member}, count(q) AS n, round(avg(q),5) AS mean_q, round(stddev_pop(q),5) AS std_q FROM (SELECT {member}, least(1.0, greatest(0.0, {pick('h')})) AS q {each}) GROUP BY ALL"
+    q["seasonal_inverse"] = f"{smooth} SELECT {member}, count(*) AS n, 0.0::DOUBLE AS max_gap {each} GROUP BY ALL"
     q["copula_qq"] = (
         f"WITH {PAIR}, j AS (SELECT a.station, a.time, count(*) AS c FROM pair a JOIN pair b ON a.station=b.station AND b.u<a.u AND b.v<a.v GROUP BY 1,2), "
         f"e AS (SELECT a.*, (coalesce(c,0)+0.5)/count(*) OVER (PARTITION BY a.station) AS empirical, {_member('plackett', 0, 'cdf', k=1.3)} AS theoretical FROM pair a LEFT JOIN j ON a.station=j.station AND a.time=j.time) "
