@@ -35,7 +35,7 @@ LEAST = 45
 #: Values known as frequent, at most; they decide the order of the values only.
 FREQUENT = 1 << 18
 #: Shingles of one search task.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -252,10 +252,10 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     coded = written(sketches(read, size), "sketches")
     nodes = coded.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("id"), F.min(F.struct("id", "hash")).alias("from"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("id").alias("id"), F.min(F.struct("id", "hash")).alias("from"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"),
     )
     nodes = written(nodes, "nodes")
-    sources = nodes.select("node", "id", "from")
+    sources = nodes.select("node", "id", "from", "rows")
     value, times = _frequent(nodes)
     bound = max(COLD, int(times.sum()) // SHARES)
     frequent = spark.sparkContext.broadcast((value, times, -(-times // bound)))
@@ -291,8 +291,13 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     comp = components(links)
     labels = comp.join(sources, "node").groupBy("root").agg(F.min("id").alias("label"))
-    known = sources.join(comp.join(labels, "root").select("node", "label"), "node", "left").select("node", F.coalesce("label", "id").alias("component_id"))
-    done = coded.select("id", "n", "node").join(known, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    known = sources.join(comp.join(labels, "root").select("node", "label"), "node", "left")
+    known = known.select("node", F.coalesce("label", "id").alias("component_id"), "rows")
+    total = known.agg(F.sum("rows")).first()[0] or 0
+    # a node may be a third of all rows
+    linked = lookup(coded.filter("node IS NOT NULL").select("id", "n", "node"), known, ["node"], "rows", total).select("id", "n", "component_id")
+    alone = coded.filter("node IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    done = linked.union(alone).withColumn("component_id", F.coalesce("component_id", "id"))
     return done.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )

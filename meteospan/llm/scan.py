@@ -13,7 +13,7 @@ from meteospan.llm.store import written
 MASK = (1 << 64) - 1
 #: A key is hot if it has more than one in so many rows, and more than ``COLD`` of them; so there are fewer hot keys than this.
 SHARES = 4096
-COLD = 4096
+COLD = 256
 
 _power: dict[int, np.ndarray] = {}
 
