@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame, functions as F
 from meteospan.llm.components import components
 from meteospan.llm.ngram_join import _node_keys, shingle_sets
 from meteospan.llm.pieces import gather
-from meteospan.llm.scan import COLD, SHARES, lookup
+from meteospan.llm.scan import SHARES, lookup
 from meteospan.llm.store import written
 
 SKETCH = 64
 LEAST = 45
 #: Values known as frequent, at most; they decide the order of the values only.
 FREQUENT = 1 << 18
+#: Nodes of one list at least, before a value's list is dealt out by blocks.
+HELD = 4096
 #: Shingles of one search task.
-BLOCK = 1 << 17
+BLOCK = 1 << 19
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -257,7 +259,7 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     nodes = written(nodes, "nodes")
     sources = nodes.select("node", "id", "from", "rows")
     value, times = _frequent(nodes)
-    bound = max(COLD, int(times.sum()) // SHARES)
+    bound = max(HELD, int(times.sum()) // SHARES)
     frequent = spark.sparkContext.broadcast((value, times, -(-times // bound)))
     groups = written(candidate_groups(_entries(nodes, percent, frequent), percent), "groups")
     sized = groups.groupBy("hub").agg(F.sum("n").alias("total"), F.count("*").alias("times"))

@@ -43,7 +43,7 @@ def families():
 def test_families_in_blocks(spark, monkeypatch, block, frequent):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     monkeypatch.setattr(minhash_dedup, "FREQUENT", frequent)
-    monkeypatch.setattr(minhash_dedup, "COLD", 5 if block == 400 else 4096)  # values of more nodes are dealt out by blocks
+    monkeypatch.setattr(minhash_dedup, "HELD", 5 if block == 400 else 4096)  # values of more nodes are dealt out by blocks
     rows = families()
     df = spark.createDataFrame([(*x, "x", "x") for x in rows], "doc_id long, text string, node string, kept string").repartition(3)
     assert found_rows(minhash_dedup.minhash_components(df, 4, 80)) == wanted(rows, 4, 80)
