@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from meteospan.functions.copula import (
@@ -27,7 +28,7 @@ from meteospan.functions.copula import (
     symmetry_flags,
     turned,
 )
-from meteospan.operators.pairs import asymmetry1, asymmetry2, tau_min
+from meteospan.operators.pairs import asymmetry1, asymmetry2, asymmetry_means, tau_min
 from meteospan.operators.ranks import bipit
 from meteospan.operators.timeops import lag_pairs
 from meteospan.schema import finite, pair_keys
@@ -186,6 +187,11 @@ def _brackets(sums: DataFrame, keys) -> DataFrame:
     return per_member.groupBy(*keys).agg(by_member("lo"), by_member("hi"), by_member("theta"))
 
 
+def _attach_by(df: DataFrame, table: DataFrame, keys) -> DataFrame:
+    """``table``, a row per group, joined to ``df``; without keys it is a single row."""
+    return _attach(df, table, keys, [c for c in table.columns if c not in keys])
+
+
 def _attach(packed: DataFrame, table: DataFrame, keys, columns) -> DataFrame:
     table = table.select(*keys, *columns)
     if keys:
@@ -289,20 +295,21 @@ def select_copula(
 ) -> DataFrame:
     """Family with the highest likelihood per group; likelihood 0 means independence.
 
-    With ``seasonal`` the families with a θ that varies over the year compete as well
-    (column ``seasonal``); ``pairs`` needs a time column then.
+    With ``seasonal`` the families with a θ that varies over the year compete as well; ``pairs`` needs a time column then.
+    A seasonal winner has ``seasonal`` set, its θ of the days 1…366 in ``thetas``, and a null ``theta``. With ``asymmetry``
+    only the families that can have the asymmetry of the group compete, seasonal or not, and the seasonal
+    density counts in the corners that carry it.
     """
     keys = pair_keys(pairs) if keys is None else list(keys)
     fits = fit_copula(pairs, families, keys, wet_col, **options)
-    if asymmetry:
-        allowed = asymmetry_filter(pairs, keys=keys).select(*keys, "family", "rotation")
-        fits = fits.join(allowed, [*keys, "family", "rotation"], "left_semi")
+    allowed = asymmetry_filter(pairs, keys=keys).select(*keys, "family", "rotation") if asymmetry else None
+    only = lambda df: df if allowed is None else df.join(allowed, [*keys, "family", "rotation"], "left_semi")
+    fits = only(fits)
     if not seasonal:
         best = _best_member(fits, keys)
     else:
-        doys = fit_seasonal_copula(pairs, families, w, keys, wet_col)
-        smooth = smooth_doy(doys, order, keys)
-        scores = seasonal_loglik(pairs, smooth, keys)
+        smooth = cut_lineage(only(smooth_doy(fit_seasonal_copula(pairs, families, w, keys, wet_col), order, keys)))
+        scores = seasonal_loglik(pairs, smooth, keys, asymmetry)
         both = fits.withColumn("seasonal", F.lit(False)).unionByName(
             scores.withColumns({"seasonal": F.lit(True), "theta": F.lit(None).cast("double")})
         )
@@ -311,6 +318,8 @@ def select_copula(
             F.struct("loglik", ~F.col("seasonal"), "family", "rotation"),
         )
         best = both.groupBy(*keys).agg(top.alias("_b")).select(*keys, "_b.*")
+        best = best.join(every_day(smooth, keys).withColumn("seasonal", F.lit(True)), [*keys, "family", "rotation", "seasonal"], "left")
+        best = best.withColumn("thetas", F.when(F.col("seasonal") & (F.col("loglik") != 0), F.col("thetas")))
     flat = F.col("loglik") == 0
     return best.withColumns(
         {
@@ -327,6 +336,8 @@ def independence_test(edges: DataFrame, minimum: Column | float | None = None) -
     bound = bound if isinstance(bound, Column) else F.lit(float(bound))
     weak = ~(F.abs("tau") > bound)
     values = {"family": F.lit("independence"), "rotation": F.lit(0), "theta": F.lit(0.0), "loglik": F.lit(0.0)}
+    if "thetas" in edges.columns:
+        values |= {"seasonal": F.lit(False), "thetas": F.lit(None).cast("array<double>")}
     return edges.withColumns(
         {c: F.when(weak, x).otherwise(F.col(c)) if c in edges.columns else F.when(weak, x) for c, x in values.items()}
     )
@@ -355,11 +366,28 @@ def window_table(w: int) -> np.ndarray:
     return ((x > d - w) & (x <= d + w)) | early | late
 
 
+def _even_scale(name: str):
+    """(scale, back): the grid of a year is even in θ, in log θ where the lower bound is positive, and in
+    asinh(θ / s) where it is positive but so small that most of a log grid would lie next to it."""
+    f = FAMILIES[name]
+    if f.lo <= 0:
+        return lambda x: x, lambda x: x
+    if f.lo >= 1e-6:
+        return np.log, np.exp
+    s = f.hi * 1e-4
+    return lambda x: np.arcsinh(x / s), lambda x: s * np.sinh(x)
+
+
+def _year_grid(name: str, grid: int) -> np.ndarray:
+    f, (scale, back) = FAMILIES[name], _even_scale(name)
+    return back(np.linspace(scale(f.lo), scale(f.hi), grid)).clip(f.lo, f.hi)
+
+
 def _daily_curves(packed: DataFrame, keys, chosen, grid: int, masked: bool) -> DataFrame:
-    """(keys, _x, m, lls): log densities of each member on its first grid, summed for each day of year.
+    """(keys, _x, m, lls): log densities of each member on its grid, summed for each day of year.
 
     A row is an array of sums; the blocks of a large day are added as arrays."""
-    start = np.stack([_first_grid(name, grid) for name, _ in chosen])
+    start = np.stack([_year_grid(name, grid) for name, _ in chosen])
 
     def evaluate(batches):
         for frame in batches:
@@ -395,7 +423,7 @@ def _around_the_year(chosen, keys, grid: int, w: int, masked: bool):
     def fit(frame):
         m = int(frame["m"].iloc[0])
         name, rotation = chosen[m]
-        f, theta = FAMILIES[name], _first_grid(name, grid)
+        f, theta = FAMILIES[name], _year_grid(name, grid)
         day = frame["_x"].to_numpy() - 1
         order = np.argsort(day)
         day, frame = day[order], frame.iloc[order]
@@ -415,11 +443,11 @@ def _around_the_year(chosen, keys, grid: int, w: int, masked: bool):
         around = np.clip(best, 1, grid - 2)
         each = np.arange(len(day))
         low, mid, high = (sums[each, around + i] for i in (-1, 0, 1))
+        bend = low - 2.0 * mid + high
         with np.errstate(all="ignore"):
-            shift = np.where(best == around, 0.5 * (low - high) / (low - 2.0 * mid + high), best - around)
-        shift = np.where(np.abs(shift) <= 1.0, shift, 0.0)
-        # the grid is even in θ, or in log θ where the lower bound is positive
-        scale, back = (np.log, np.exp) if f.lo > 0 else (lambda x: x, lambda x: x)
+            vertex = 0.5 * (low - high) / bend
+        shift = np.where((bend < 0) & (np.abs(vertex) <= 1.0), vertex, best - around)
+        scale, back = _even_scale(name)
         step = (scale(f.hi) - scale(f.lo)) / (grid - 1)
         found = np.clip(back(scale(f.lo) + step * (around + shift)), f.lo, f.hi)
         near = lambda bound: np.abs(found - bound) <= 1e-8 + 1e-5 * abs(bound)
@@ -548,12 +576,53 @@ def seasonal_density(pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str]
     return _by_member(rows, {"density": _density_array})
 
 
-def seasonal_loglik(pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def _corner(u, v, a1: float, a2: float, lower: float = 0.25, upper: float = 0.75):
+    """Where the corners lie that carry the asymmetries a1 and a2."""
+    return (
+        ((a1 > 0) & (u > upper) & (v > upper)) | ((a1 < 0) & (u < lower) & (v < lower))
+        | ((a2 > 0) & (u > upper) & (v < lower)) | ((a2 < 0) & (u < lower) & (v > upper))
+    )
+
+
+def seasonal_loglik(
+    pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None, asymmetry: bool = False
+) -> DataFrame:
+    """Log-likelihood of every seasonal member of a group, (keys, family, rotation, loglik, n).
+
+    Pairs are packed by day of year; a block meets the θ of its day for all members at once, so no pair is copied.
+    With ``asymmetry`` the density counts only in the corners that carry the asymmetry of the group.
+    """
     keys = pair_keys(pairs) if keys is None else list(keys)
-    rows = seasonal_density(pairs, fits_doy, keys)
-    return rows.groupBy(*keys, "family", "rotation").agg(
-        F.sum(log_density(F.col("density"), SEASONAL_FLOOR)).alias("loglik"), F.count("*").alias("n")
+    used = pairs.filter(finite("u") & finite("v"))
+    packed = _packed(used.withColumn("_x", F.dayofyear("time")), [*keys, "_x"], None).select(*keys, "_x", "u", "v", "w")
+    if asymmetry:
+        sums = used.groupBy(*keys).agg(asymmetry_means(F.col("u"), F.col("v"))[0].alias("_a1"), asymmetry_means(F.col("u"), F.col("v"))[1].alias("_a2"))
+        packed = _attach_by(packed, sums, keys)
+    else:
+        packed = packed.withColumns({"_a1": F.lit(0.0), "_a2": F.lit(0.0)})
+    thetas = every_day(fits_doy, keys).select(*keys, "family", "rotation", F.posexplode("thetas").alias("_x", "theta"))
+    by_day = thetas.withColumn("_x", F.col("_x") + 1).groupBy(*keys, "_x").agg(*[F.collect_list(c).alias(c) for c in ("family", "rotation", "theta")])
+
+    def evaluate(batches):
+        for frame in batches:
+            out = {c: [] for c in (*keys, "family", "rotation", "loglik", "n")}
+            for row in frame.to_dict("records"):
+                u, v, w = (np.asarray(row[c], float) for c in ("u", "v", "w"))
+                for name, rotation, theta in zip(row["family"], row["rotation"], row["theta"]):
+                    d = _density_array(name, int(rotation), {"u": u, "v": v, "theta": theta})
+                    if asymmetry:
+                        d = np.where(_corner(u, v, row["_a1"], row["_a2"]), d, 0.0)
+                    d = np.where((d > 0) & np.isfinite(d), d, SEASONAL_FLOOR)
+                    for c, x in zip(out, (*[row[k] for k in keys], name, int(rotation), float(w @ np.log(d)), int(w.sum()))):
+                        out[c].append(x)
+            yield pd.DataFrame(out)
+
+    fields = [f for f in packed.schema.fields if f.name in keys]
+    schema = T.StructType(
+        [*fields, T.StructField("family", T.StringType()), T.StructField("rotation", T.IntegerType()), T.StructField("loglik", T.DoubleType()), T.StructField("n", T.LongType())]
     )
+    parts = packed.join(by_day, [*keys, "_x"]).mapInPandas(evaluate, schema)
+    return parts.groupBy(*keys, "family", "rotation").agg(F.sum("loglik").alias("loglik"), F.sum("n").alias("n"))
 
 
 def seasonal_quantiles(pairs: DataFrame, fits_doy: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -584,12 +653,7 @@ def asymmetry_weighted_density(
     else:
         joined = rows.withColumns({"asymmetry1": a.scalar(), "asymmetry2": b.scalar()})
     u, v, a1, a2 = F.col("u"), F.col("v"), F.col("asymmetry1"), F.col("asymmetry2")
-    corner = (
-        ((a1 > 0) & (u > upper) & (v > upper))
-        | ((a1 < 0) & (u < lower) & (v < lower))
-        | ((a2 > 0) & (u > upper) & (v < lower))
-        | ((a2 < 0) & (u < lower) & (v > upper))
-    )
+    corner = _corner(u, v, a1, a2, lower, upper)
     return joined.withColumn("density", F.when(corner, F.col("density")).otherwise(0.0)).drop(
         "asymmetry1", "asymmetry2"
     )

@@ -219,6 +219,11 @@ def _asym2(u: Column, v: Column) -> Column:
     return F.avg(-x * y * (x - y))
 
 
+def asymmetry_means(u: Column, v: Column) -> tuple[Column, Column]:
+    """Aggregates of both asymmetries."""
+    return _asym1(u, v), _asym2(u, v)
+
+
 def _per_group(pairs, keys, **aggregates):
     keys = pair_keys(pairs) if keys is None else list(keys)
     return pairs.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])

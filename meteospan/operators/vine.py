@@ -1,21 +1,27 @@
 """Pair-copula (vine) decomposition.
 
-State is one row per observation time with a map from "variable|given" to its conditional
-rank, so going down a tree, up again, or into the next tree is a narrow projection; only
-likelihoods and rank correlations are shuffled. Trees are tables of edges that name the
-conditioned pair and the conditioning set; a group (all stations pooled, or one station) has
-at most d² edges, so per-group edge lists are small by definition.
+While a vine is fitted, state is one row per observation time with a map from "variable|given" to its
+conditional rank, so going into the next tree is a narrow projection; only likelihoods and rank
+correlations are shuffled. Trees are tables of edges that name the conditioned pair and the conditioning
+set; a group (all stations pooled, or one station) has at most d² edges, so per-group edge lists are
+small by definition. An edge may have a θ for each day of year (``thetas``, 366 entries).
+
+A finished vine is a program: ``vine_quantiles`` and ``vine_inverse`` deal the long table out by series
+and year once, and run all edges on the arrays of a block (``_replay_block``, ``_invert_block``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from meteospan.functions.copula import by_family, h_inverse, h_u_given_v, h_v_given_u
+from meteospan.functions.copula import h_array, h_inverse_array, h_u_given_v, h_v_given_u
 from meteospan.functions.normal import with_norm_ppf
 from meteospan.operators.fit import independence_test, select_copula, used_members
+from meteospan.operators.ordering import with_halo, with_position
 from meteospan.operators.pairs import kendall_tau, nan_corr, tau_min
 from meteospan.operators.ranks import rel_ranks
 from meteospan.session import cut_lineage
@@ -29,23 +35,38 @@ def label(node: Column, cond: Column) -> Column:
     return F.concat(node, F.lit("|"), F.array_join(F.sort_array(cond), ","))
 
 
-def vine_rows(ranks: DataFrame, variables: Sequence[str], column: str = "u") -> DataFrame:
-    """One row per time with all variables in the map ``us``; incomplete rows are dropped."""
+def vine_rows(ranks: DataFrame, variables: Sequence[str], column: str = "u", lag: int = 0) -> DataFrame:
+    """One row per time with all variables in the map ``us``; incomplete rows are dropped. With ``lag`` the map
+    ``later`` holds the ranks so many steps on in the same series, and the last rows of a series fall away."""
     rest = [c for c in ranks.columns if c not in ("variable", column)]
     chosen = ranks.filter(F.col("variable").isin(list(variables)) & F.col(column).isNotNull())
     entry = F.struct(F.concat("variable", F.lit("|")).alias("k"), F.col(column).alias("u"))
     rows = chosen.groupBy(*rest).agg(F.map_from_entries(F.collect_list(entry)).alias("us"))
-    return rows.filter(F.size("us") == len(variables))
+    rows = rows.filter(F.size("us") == len(variables))
+    if not lag:
+        return rows
+    keys = [c for c in rest if c != "time"]
+    ahead = {"later": lambda w: F.lead("us", lag).over(w)}
+    return with_halo(with_position(rows, keys), keys, 0, lag, ahead).filter("later IS NOT NULL").drop("pos", "pos_total")
+
+
+def _end(rows: DataFrame, node: Column, other: Column, cond: Column) -> Column:
+    """Rank at an end of an edge: in a lagged first tree the end whose name comes last stands ``lag`` steps later."""
+    now = F.element_at("us", label(node, cond))
+    if "later" not in rows.columns:
+        return now
+    return F.when((F.size(cond) == 0) & (node > other), F.element_at("later", label(node, cond))).otherwise(now)
 
 
 def _edge_pairs(rows: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows × edges of their group: (by, edge, u, v, other columns of rows)."""
     packed = edges.groupBy(*by).agg(F.collect_list(F.struct(*EDGE_COLUMNS)).alias("_edges"))
     joined = _bring(rows, packed, by, "_edges")
-    rest = [c for c in rows.columns if c != "us"]
-    out = joined.select(*rest, "us", F.inline("_edges"))
-    at = lambda node: F.element_at("us", label(F.col(node), F.col("cond")))
-    return out.select(*rest, *EDGE_COLUMNS, at("node_u").alias("u"), at("node_v").alias("v"))
+    rest = [c for c in rows.columns if c not in ("us", "later")]
+    maps = [c for c in rows.columns if c not in rest]
+    out = joined.select(*rest, *maps, F.inline("_edges"))
+    at = lambda node, other: _end(rows, F.col(node), F.col(other), F.col("cond"))
+    return out.select(*rest, *EDGE_COLUMNS, at("node_u", "node_v").alias("u"), at("node_v", "node_u").alias("v"))
 
 
 def _bring(rows: DataFrame, packed: DataFrame, by: Sequence[str], column: str) -> DataFrame:
@@ -78,10 +99,11 @@ def _weighted(rows, edges, by, weights, families, options) -> DataFrame:
 
 def pair_edges(
     ranks: DataFrame, variables: Sequence[str], weights: str = "tau", by: Sequence[str] = (),
-    families=None, **options,
+    families=None, lag: int = 0, **options,
 ) -> DataFrame:
-    """Complete graph of the variables with τ and weight per edge."""
-    rows = vine_rows(ranks, variables)
+    """Complete graph of the variables with τ and weight per edge. With ``lag`` the first variable of an edge
+    (by name) stands against the second one so many steps later, so ``n`` is the length less the lag."""
+    rows = vine_rows(ranks, variables, lag=lag)
     edges = _first_edges(rows, variables, by)
     return _weighted(rows, edges, list(by), weights, families, options)
 
@@ -163,18 +185,19 @@ def pseudo_observations(
 ) -> DataFrame:
     """Add u given v and v given u of every edge to the map, one projection per tree."""
     used = used_members(edges) if used is None else used
-    entry = F.struct(*EDGE_COLUMNS, "family", "rotation", "theta")
+    entry = F.struct(*EDGE_COLUMNS, "family", "rotation", "theta", *[c for c in ("thetas",) if c in edges.columns])
     packed = edges.groupBy(*by).agg(F.collect_list(entry).alias("_edges"))
     joined = _bring(rows, packed, by, "_edges")
+    at_day = lambda e: F.coalesce(F.get(e["thetas"], F.dayofyear("time") - 1), e["theta"]) if "thetas" in edges.columns else e["theta"]
 
     def conditional(e):
-        at = lambda node: F.element_at("us", label(e[node], e["cond"]))
+        at = lambda node, other: _end(rows, e[node], e[other], e["cond"])
 
         def build(which):
             out = None
             for name, r in used:
                 test = (e["family"] == name) & (e["rotation"] == r)
-                value = which(name, at("node_u"), at("node_v"), e["theta"], r)
+                value = which(name, at("node_u", "node_v"), at("node_v", "node_u"), at_day(e), r)
                 out = F.when(test, value) if out is None else out.when(test, value)
             return out
 
@@ -202,16 +225,21 @@ def fit_vine(
     rain: str = "R",
     weights: str = "tau",
     families=None,
+    seasonal: bool = False,
+    lag: int = 0,
     **options,
 ) -> DataFrame:
     """Fit a C- or R-vine, pooled or one per ``by``; returns the table of edges.
 
     The wet mask applies in the first tree to pairs with rain only, later to all pairs.
-    ``minimum`` is the |τ| up to which a pair counts as independent (None: 5 % bound).
+    ``minimum`` is the |τ| up to which a pair counts as independent (None: 5 % bound). With ``seasonal`` every edge may take a
+    θ for each day of year (``thetas``) where that is likelier. ``lag`` sets the first tree between the variables of one
+    time and those so many steps later (see ``pair_edges``).
     """
     group = [by] if by else []
     keys = [*group, *EDGE_COLUMNS]
-    rows = cut_lineage(vine_rows(ranks, variables))
+    options = {**options, "seasonal": seasonal}
+    rows = cut_lineage(vine_rows(ranks, variables, lag=lag))
     candidates = _first_edges(rows, variables, group)
     trees = []
     for level in range(len(variables) - 1):
@@ -238,7 +266,8 @@ def fit_vine(
     out = trees[0]
     for tree in trees[1:]:
         out = out.unionByName(tree)
-    return out.select(*group, "tree", *EDGE_COLUMNS, "tau", "family", "rotation", "theta", "loglik", "n")
+    year = ["seasonal", "thetas"] if seasonal else []
+    return out.select(*group, "tree", *EDGE_COLUMNS, "tau", "family", "rotation", "theta", "loglik", "n", *year)
 
 
 def vine_order(vine_edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -277,13 +306,6 @@ def vine_order(vine_edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return listed.select(*by, F.posexplode(final).alias("pos", "variable"))
 
 
-def _replay(rows: DataFrame, vine: DataFrame, by: Sequence[str], depth: int) -> DataFrame:
-    used = used_members(vine)
-    for level in range(depth):
-        rows = pseudo_observations(rows, vine.filter(F.col("tree") == level), by, used)
-    return rows
-
-
 def _order_list(vine: DataFrame, by: Sequence[str]) -> DataFrame:
     order = vine_order(vine, by)
     return order.groupBy(*by).agg(
@@ -291,103 +313,141 @@ def _order_list(vine: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def _name(node: str, cond) -> str:
+    return f"{node}|{','.join(sorted(cond))}"
+
+
+def _keep(x):
+    return np.clip(x, TINY, 1.0 - TINY)
+
+
+def _thetas_of(edge: dict, doy):
+    """θ of an edge: one number, or that of each row's day of year."""
+    if edge.get("thetas") is None:
+        return edge["theta"]
+    return np.asarray(edge["thetas"], float)[doy - 1]
+
+
+def _replay_block(us: dict, edges: list[dict], doy) -> dict:
+    """Conditional ranks of all edges, tree by tree, from the ranks ``us`` of the variables."""
+    us = {_name(x, ()): u for x, u in us.items()}
+    for e in sorted(edges, key=lambda e: e["tree"]):
+        u, v = us[_name(e["node_u"], e["cond"])], us[_name(e["node_v"], e["cond"])]
+        at = (u, v, _thetas_of(e, doy), int(e["rotation"]))
+        us[_name(e["node_u"], [*e["cond"], e["node_v"]])] = _keep(h_array(e["family"], *at, given="v"))
+        us[_name(e["node_v"], [*e["cond"], e["node_u"]])] = _keep(h_array(e["family"], *at))
+    return us
+
+
+def _invert_block(q: dict, names: list[str], edges: list[dict], doy, stop: int) -> dict:
+    """Ranks from uniforms: the k-th variable is taken back through its edges from the deepest tree up."""
+    ranks = {names[0]: q[names[0]]}
+    us = {_name(names[0], ()): q[names[0]]}
+    for k in range(1, stop):
+        x, now, before = names[k], q[names[k]], set(names[:k])
+        for level in range(k - 1, -1, -1):
+            # the edge of this tree that joins the k-th variable to earlier ones only
+            (e,) = (
+                e for e in edges
+                if e["tree"] == level and x in (e["node_u"], e["node_v"]) and {e["node_u"], e["node_v"], *e["cond"]} - {x} <= before
+            )
+            first = e["node_u"] == x
+            y = e["node_v"] if first else e["node_u"]
+            other, theta, turn = us[_name(y, e["cond"])], _thetas_of(e, doy), int(e["rotation"])
+            us[_name(x, [*e["cond"], y])] = now
+            now = _keep(h_inverse_array(e["family"], other, now, theta, turn, "v" if first else "u"))
+            # what later variables need: the partner given x
+            pair, given = ((now, other), "u") if first else ((other, now), "v")
+            us[_name(y, [*e["cond"], x])] = _keep(h_array(e["family"], *pair, theta, turn, given=given))
+        us[_name(x, ())] = ranks[x] = now
+    return ranks
+
+
+def _by_blocks(long: DataFrame, column: str, vine: DataFrame, by: Sequence[str], out: list[tuple[str, T.DataType]], run) -> DataFrame:
+    """``run(values by variable, names, edges, doy)`` on blocks of one series and year (or a hash of the row without a time).
+
+    The long table is shuffled once; a block carries the edges of its group, whose table has a row for each group.
+    """
+    rest = [c for c in long.columns if c not in ("variable", column)]
+    timed = "time" in rest
+    outer = [c for c in rest if c != "time"] if timed else []
+    inner = ["time"] if timed else rest
+    block = F.year("time") if timed else F.pmod(F.xxhash64(*rest), F.lit(4096)) if rest else F.lit(0)
+    outer += [] if timed else list(by)
+    inner = [c for c in inner if c not in outer]
+    stamp = F.struct(*inner) if inner else F.struct(F.lit(0).alias("_none"))
+    entry = F.struct("variable", F.col(column).alias("_value"))
+    # one entry per row of the wide table, with the values of its variables; dealt out once, by what both groupings have
+    dealt = long.filter(F.col(column).isNotNull()).withColumn("_block", block).repartition(*outer, "_block")
+    wide = dealt.groupBy(*outer, "_block", *inner).agg(F.collect_list(entry).alias("_values"))
+    doy = F.dayofyear("time") if timed else F.lit(1)
+    item = F.struct(stamp.alias("stamp"), doy.alias("doy"), F.map_from_entries("_values").alias("values"))
+    packed = wide.groupBy(*outer, "_block").agg(F.collect_list(item).alias("_rows"))
+    parts = ["tree", *EDGE_COLUMNS, "family", "rotation", "theta", *[c for c in ("thetas",) if c in vine.columns]]
+    edges = vine.groupBy(*by).agg(F.collect_list(F.struct(*parts)).alias("_edges"))
+    packed = _bring(_bring(packed, edges, by, "_edges"), _order_list(vine, by), by, "_names")
+
+    def evaluate(batches):
+        for frame in batches:
+            for row in frame.to_dict("records"):
+                items, names = row["_rows"], list(row["_names"])
+                table = [dict(x["values"]) for x in items]
+                values = {x: np.array([t.get(x, np.nan) for t in table], float) for x in names}
+                edges = [dict(e, cond=list(e["cond"])) for e in row["_edges"]]
+                found = run(values, names, edges, np.array([x["doy"] for x in items]))
+                for i, x in enumerate(names):
+                    if x in found:
+                        done = pd.DataFrame([dict(y["stamp"]) for y in items])[inner] if inner else pd.DataFrame(index=range(len(items)))
+                        for c in outer:
+                            done[c] = row[c]
+                        done["variable"], done[out[-1][0]] = x, found[x]
+                        if len(out) > 1:
+                            done["pos"] = i
+                        kept = done[np.isfinite(found[x])] if column == "u" else done
+                        yield kept[[*outer, *inner, *([] if len(out) == 1 else ["pos"]), "variable", out[-1][0]]]
+
+    fields = [long.schema[c] for c in [*outer, *inner]]
+    more = [T.StructField(c, t) for c, t in out[:-1]]
+    schema = T.StructType([*fields, *more, T.StructField("variable", T.StringType()), T.StructField(*out[-1])])
+    done = packed.mapInPandas(evaluate, schema)
+    value = out[-1][0]
+    return done.withColumn(value, F.nanvl(value, F.lit(None).cast("double"))).select(*[c for c in rest], *[c for c, _ in out[:-1]], "variable", value)
+
+
 def vine_quantiles(
     ranks: DataFrame, vine: DataFrame, variables: Sequence[str], by: str | None = None
 ) -> DataFrame:
     """Independent uniforms from ranks: every variable given all earlier ones (Rosenblatt).
 
-    Works for C- and R-vines; returns the long table with column ``q`` and ``pos``.
+    Works for C- and R-vines, with θ by day of year where an edge has ``thetas``; returns the long table with column
+    ``q`` and ``pos``. Times with a missing variable are left out.
     """
     group = [by] if by else []
-    rows = _replay(vine_rows(ranks, variables), vine, group, len(variables) - 1)
-    rows = _bring(rows, _order_list(vine, group), group, "_names")
-    entry = F.transform(
-        "_names",
-        lambda x, i: F.struct(
-            i.alias("pos"), x.alias("variable"),
-            F.element_at("us", label(x, F.slice("_names", 1, i))).alias("q"),
-        ),
-    )
-    rest = [c for c in rows.columns if c not in ("us", "_names")]
-    return rows.select(*rest, F.inline(entry))
+
+    def run(values, names, edges, doy):
+        us = _replay_block(values, edges, doy)
+        whole = np.all([np.isfinite(values[x]) for x in names], axis=0)
+        return {x: np.where(whole, us[_name(x, names[:i])], np.nan) for i, x in enumerate(names)}
+
+    chosen = ranks.filter(F.col("variable").isin(list(variables)))
+    return _by_blocks(chosen, "u", vine, group, [("pos", T.IntegerType()), ("q", T.DoubleType())], run)
 
 
 def vine_inverse(
-    quantiles: DataFrame, vine: DataFrame, variables: Sequence[str], by: str | None = None,
-    stop_at: int | None = None, steps: int = 45,
+    quantiles: DataFrame, vine: DataFrame, variables: Sequence[str], by: str | None = None, stop_at: int | None = None,
 ) -> DataFrame:
     """Ranks from a given table of independent uniforms ``q`` (inverse Rosenblatt).
 
-    The k-th variable is taken back through its edges from the deepest tree up; with
-    ``stop_at`` variables from that position on stay null.
+    With ``stop_at`` variables from that position on stay null, and so does what lacks an earlier variable.
     """
     group = [by] if by else []
-    used = used_members(vine)
-    d = len(variables)
-    entry = F.struct(
-        "tree", *EDGE_COLUMNS, "family", "rotation", "theta",
-        F.array_union(F.array("node_u", "node_v"), "cond").alias("full"),
-    )
-    packed = vine.groupBy(*group).agg(F.collect_list(entry).alias("_edges"))
-    names = _order_list(vine, group)
-    rest = [c for c in quantiles.columns if c not in ("variable", "q", "pos", "u")]
-    pairs = F.struct(F.col("variable").alias("k"), F.col("q").alias("q"))
-    rows = quantiles.groupBy(*rest).agg(F.map_from_entries(F.collect_list(pairs)).alias("_q"))
-    rows = _bring(_bring(rows, packed, group, "_edges"), names, group, "_names")
-    us = F.map_from_arrays(
-        F.array(F.concat(F.col("_names")[0], F.lit("|"))), F.array(F.element_at("_q", F.col("_names")[0]))
-    )
-    rows = rows.withColumn("us", us)
-    safe = lambda x: F.greatest(F.lit(TINY), F.least(F.lit(1.0 - TINY), x))
-    for k in range(1, d if stop_at is None else min(stop_at, d)):
-        rows = rows.withColumns(
-            {"_x": F.col("_names")[k], "_q_now": F.element_at("_q", F.col("_names")[k])}
-        )
-        for level in range(k - 1, -1, -1):
-            # the edge of this tree that joins the k-th variable to earlier ones only
-            allowed = F.slice("_names", 1, k + 1)
-            joins = lambda e: (e["tree"] == level) & (
-                (e["node_u"] == F.col("_x")) | (e["node_v"] == F.col("_x"))
-            ) & (F.size(F.array_except(e["full"], allowed)) == 0)
-            rows = rows.withColumn("_e", F.filter("_edges", joins)[0])
-            first = F.col("_e.node_u") == F.col("_x")
-            rows = rows.withColumn("_y", F.when(first, F.col("_e.node_v")).otherwise(F.col("_e.node_u")))
-            rows = rows.withColumn("_uy", F.element_at("us", label(F.col("_y"), F.col("_e.cond"))))
-            uy, q, theta = F.col("_uy"), F.col("_q_now"), F.col("_e.theta")
-
-            def choose(make_u, make_v):
-                x_first = by_family(make_u, used, "_e.family", "_e.rotation")
-                x_second = by_family(make_v, used, "_e.family", "_e.rotation")
-                return F.when(first, x_first).otherwise(x_second)
-
-            back = choose(
-                lambda n, r: h_inverse(n, uy, q, theta, r, steps, given="v"),
-                lambda n, r: h_inverse(n, uy, q, theta, r, steps),
-            )
-            rows = rows.withColumn("_u_now", safe(back))
-            x = F.col("_u_now")
-            forward = choose(
-                lambda n, r: h_v_given_u(n, x, uy, theta, r),
-                lambda n, r: h_u_given_v(n, uy, x, theta, r),
-            )
-            # what later variables need: x and its partner, each given the other
-            new = F.map_from_arrays(
-                F.array(
-                    label(F.col("_x"), F.array_append("_e.cond", F.col("_y"))),
-                    label(F.col("_y"), F.array_append("_e.cond", F.col("_x"))),
-                ),
-                F.array(q, safe(forward)),
-            )
-            rows = rows.withColumn("us", F.map_concat("us", new)).withColumn("_q_now", x)
-        rows = rows.withColumn(
-            "us", F.map_concat("us", F.map_from_arrays(
-                F.array(F.concat("_x", F.lit("|"))), F.array(F.col("_q_now"))
-            ))
-        )
-    entry = F.transform(
-        "_names", lambda x: F.struct(x.alias("variable"), F.element_at("us", F.concat(x, F.lit("|"))).alias("u"))
-    )
-    return rows.select(*rest, F.inline(entry))
+    given = quantiles.drop(*[c for c in ("pos", "u") if c in quantiles.columns])
+
+    def run(values, names, edges, doy):
+        ranks = _invert_block(values, names, edges, doy, len(names) if stop_at is None else min(stop_at, len(names)))
+        return {x: ranks.get(x, np.full(len(doy), np.nan)) for x in names}
+
+    return _by_blocks(given, "q", vine, group, [("u", T.DoubleType())], run)
 
 
 def cvine_quantiles(ranks, vine, variables, by=None) -> DataFrame:
@@ -432,9 +492,11 @@ def vine_debias(
     """Shift per variable in normal space: score of the vine at constant 0.5 minus the mean
     score of the ranks. Returns (by, variable, shift)."""
     group = [by] if by else []
-    centre = ranks.select(*group, "variable").distinct().filter(F.col("variable").isin(list(variables)))
-    middle = vine_inverse(centre.withColumn("q", F.lit(0.5)), vine, variables, by)
-    at_half = with_norm_ppf(middle, "z_half", F.col("u")).select(*group, "variable", "z_half")
+    chosen = ranks.filter(F.col("variable").isin(list(variables)))
+    # without θ by day of year the vine at 0.5 is the same at all times
+    times = chosen.drop("u") if "thetas" in vine.columns else chosen.select(*group, "variable").distinct()
+    middle = vine_inverse(times.withColumn("q", F.lit(0.5)), vine, variables, by)
+    at_half = with_norm_ppf(middle, "z_half", F.col("u")).groupBy(*group, "variable").agg(F.avg("z_half").alias("z_half"))
     scores = with_norm_ppf(ranks.filter(F.col("variable").isin(list(variables))), "z", F.col("u"))
     means = scores.groupBy(*group, "variable").agg(F.avg("z").alias("z_mean"))
     return at_half.join(means, [*group, "variable"]).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from meteospan.functions import copula as cop
@@ -90,17 +92,61 @@ def seasonal_fits(s, d):
     return pairs, fit.smooth_doy(fit.fit_seasonal_copula(pairs))
 
 
+def line_ranks_long(s, d):
+    return ranks(s, d).select("station", "variable", "time", "u")
+
+
 def line_vine(s, d, kind="C", by=None, **options):
-    table = ranks(s, d).select("station", "variable", "time", "u")
-    return table, vn.fit_vine(
-        table, VARIABLES, kind, by, families=["gaussian", ("gumbel", 0), ("gumbel", 180), "gumbelbarnett"], **options
-    )
+    table = line_ranks_long(s, d)
+    return table, vn.fit_vine(table, VARIABLES, kind, by, **options)
+
+
+#: Edges of two given vines: tree, ends, condition, family, rotation, θ and the swing of θ over the year.
+GIVEN = {
+    "C": [
+        (0, "price", "discount", [], "plackett", 0, 2.0, 0.5), (0, "price", "quantity", [], "clayton", 180, 0.09, 0.0),
+        (0, "price", "tax", [], "plackett", 90, 1.4, 0.0), (1, "discount", "quantity", ["price"], "clayton", 90, 0.05, 0.0),
+        (1, "discount", "tax", ["price"], "plackett", 0, 0.6, 0.2), (2, "quantity", "tax", ["price", "discount"], "clayton", 270, 0.08, 0.0),
+    ],
+    "R": [
+        (0, "discount", "price", [], "clayton", 0, 0.09, 0.0), (0, "price", "quantity", [], "plackett", 0, 3.0, 1.5),
+        (0, "quantity", "tax", [], "plackett", 180, 0.5, 0.0), (1, "discount", "quantity", ["price"], "plackett", 270, 1.8, 0.3),
+        (1, "price", "tax", ["quantity"], "clayton", 180, 0.07, 0.0), (2, "discount", "tax", ["price", "quantity"], "plackett", 0, 1.2, 0.0),
+    ],
+}
+
+
+def given_vine(s, d, kind, by_station=False):
+    """A vine with known parameters, the same for every station of the table, some of them with a θ by day of year."""
+    rows = [(*e[:6], float(e[6]), float(e[7])) for e in GIVEN[kind]]
+    edges = s.createDataFrame(rows, "tree int, node_u string, node_v string, cond array<string>, family string, rotation int, theta double, swing double")
+    year = F.transform(F.sequence(F.lit(1), F.lit(366)), lambda day: F.col("theta") + F.col("swing") * F.sin(2 * math.pi * day / 366))
+    edges = edges.withColumn("thetas", F.when(F.col("swing") != 0, year)).withColumn("tau", F.lit(0.25)).drop("swing")
+    return edges.crossJoin(daily(s, d).select("station").distinct()) if by_station else edges
+
+
+def given_quantiles(s, d, kind, by=None):
+    return vn.vine_quantiles(line_ranks_long(s, d), given_vine(s, d, kind, bool(by)), VARIABLES, by)
+
+
+def given_inverse(s, d, kind, by=None, **options):
+    """The ranks themselves, taken as given uniforms, back through the vine."""
+    return vn.vine_inverse(line_ranks_long(s, d).withColumnRenamed("u", "q"), given_vine(s, d, kind, bool(by)), VARIABLES, by, **options)
+
+
+def first_tree(s, d):
+    rows = vn.pseudo_observations(vn.vine_rows(line_ranks_long(s, d), VARIABLES), given_vine(s, d, "C").filter("tree = 0"))
+    names = ["price|discount", "discount|price", "price|quantity", "quantity|price", "price|tax", "tax|price"]
+    return rows.select("station", "time", *[F.element_at("us", n).alias(n.replace("|", "_given_")) for n in names])
 
 
-def round_trip(s, d, kind, by=None):
-    table, vine = line_vine(s, d, kind, by)
-    back = vn.vine_inverse(vn.vine_quantiles(table, vine, VARIABLES, by), vine, VARIABLES, by)
-    return r6(back.groupBy("station", "variable").agg(F.count("u").alias("n"), F.avg("u").alias("mean_u")), 4)
+def round_trip(s, d, kind, by=None, **options):
+    """Largest gap between the ranks and what comes back from their quantiles under a fitted vine."""
+    table, vine = line_vine(s, d, kind, by, **options)
+    back = vn.vine_inverse(vn.vine_quantiles(table, vine, VARIABLES, by), vine, VARIABLES, by).withColumnRenamed("u", "back")
+    both = back.join(table, ["station", "variable", "time"])
+    gap = F.max(F.abs(F.col("back") - F.col("u"))).alias("max_gap")
+    return r6(both.groupBy("station", "variable").agg(F.count("back").alias("n"), gap), 5)
 
 
 def conditions(s, d):
@@ -249,13 +295,23 @@ def build() -> dict:
     q["next_tree_edges"] = lambda s, d: vn.next_tree_edges(vn.rvine_tree(vine_candidates(s, d), ["station"]), ["station"]).select("station", "node_u", "node_v", F.array_join("cond", ",").alias("cond"))
     q["fit_cvine"] = lambda s, d: r6(_flat_vine(line_vine(s, d, "C")[1]), 4)
     q["fit_rvine_by_station"] = lambda s, d: r6(_flat_vine(line_vine(s, d, "R", "station")[1]), 4)
-    q["vine_order"] = lambda s, d: vn.vine_order(line_vine(s, d, "C")[1])
-    q["vine_report"] = lambda s, d: vn.vine_report(line_vine(s, d, "C")[1]).select("tree", "line")
-    q["cvine_quantiles"] = lambda s, d: r6(_with_vine(line_vine(s, d, "C"), vn.cvine_quantiles), 4)
+    q["fit_cvine_seasonal"] = lambda s, d: r6(_flat_vine(line_vine(s, d, "C", seasonal=True)[1]).withColumn("thetas", F.size("thetas")), 4)
+    q["pair_edges_lagged"] = lambda s, d: r6(vn.pair_edges(line_ranks_long(s, d), VARIABLES, by=["station"], lag=1).select("station", "node_u", "node_v", "n", "tau", "weight"))
+    q["cvine_root_lagged"] = lambda s, d: vn.cvine_root(vn.pair_edges(line_ranks_long(s, d), VARIABLES, by=["station"], lag=1), ["station"])
+    q["vine_order"] = lambda s, d: vn.vine_order(given_vine(s, d, "C", True), ["station"])
+    q["vine_order_rvine"] = lambda s, d: vn.vine_order(given_vine(s, d, "R", True), ["station"])
+    q["vine_report"] = lambda s, d: vn.vine_report(given_vine(s, d, "R", True)).select("station", "tree", "line")
+    q["pseudo_observations"] = lambda s, d: r6(first_tree(s, d))
+    q["cvine_quantiles"] = lambda s, d: r6(given_quantiles(s, d, "C"))
+    q["rvine_quantiles"] = lambda s, d: r6(given_quantiles(s, d, "R", "station"))
+    q["cvine_inverse"] = lambda s, d: r6(given_inverse(s, d, "C"))
+    q["cvine_inverse_stopped"] = lambda s, d: r6(given_inverse(s, d, "C", stop_at=2))
+    q["rvine_inverse"] = lambda s, d: r6(given_inverse(s, d, "R", "station"))
     q["cvine_round_trip"] = lambda s, d: round_trip(s, d, "C")
+    q["cvine_round_trip_seasonal"] = lambda s, d: round_trip(s, d, "C", seasonal=True)
     q["rvine_round_trip_by_station"] = lambda s, d: round_trip(s, d, "R", "station")
-    q["vine_debias"] = lambda s, d: r6(_with_vine(line_vine(s, d, "C"), vn.vine_debias), 4)
-    q["independence_check"] = lambda s, d: r6(vn.independence_check(_with_vine(line_vine(s, d, "C"), vn.cvine_quantiles)), 4)
+    q["vine_debias"] = lambda s, d: r6(vn.vine_debias(line_ranks_long(s, d), given_vine(s, d, "C", True), VARIABLES, "station"), 5)
+    q["independence_check"] = lambda s, d: r6(vn.independence_check(given_quantiles(s, d, "C")), 5)
     # scenarios
     q["apply_scenario"] = lambda s, d: r6(sc.apply_scenario(daily(s, d), "price", 100.0, 50.0, 1000.0))
     q["site_increments"] = lambda s, d: r6(sc.site_increments(src.order_obs(s, d), src.stations(s, d).select("station", F.col("latitude").alias("increment"))))

@@ -232,16 +232,23 @@ def _with_gaussian(name, rotation, what):
 
 def _seasonal_fit(grid=64):
     """sf(g, family, rotation, doy, theta, rejected): daily sums on a grid, summed over the window of each day, vertex of the best three."""
+    def even(name, spot):
+        """θ at a place of the grid: even in θ, log θ or asinh(θ / s)."""
+        lo, hi = _BOUNDS[name]
+        s = hi * 1e-4
+        to = (lambda t: t) if lo <= 0 else math.log if lo >= 1e-6 else (lambda t: math.asinh(t / s))
+        x = f"({to(lo)!r}::DOUBLE+{spot}*({(to(hi) - to(lo)) / (grid - 1)!r}::DOUBLE))"
+        theta = x if lo <= 0 else f"exp({x})" if lo >= 1e-6 else f"({s!r}::DOUBLE*(exp({x})-exp(-{x}))/2)"
+        return f"least({hi!r}::DOUBLE, greatest({lo!r}::DOUBLE, {theta}))"
+
     daily = []
     for name, rotation in _ALL_MEMBERS:
-        lo, hi = _BOUNDS[name]
-        theta = f"exp(ln({lo!r}::DOUBLE)+i*((ln({hi!r}::DOUBLE)-ln({lo!r}::DOUBLE))/{grid-1}))" if lo > 0 else f"{lo!r}::DOUBLE+i*({hi!r}::DOUBLE-({lo!r}::DOUBLE))/{grid-1}"
-        theta = f"least({hi!r}::DOUBLE, greatest({lo!r}::DOUBLE, {theta}))"
         daily.append(
             f"SELECT g, doy, '{name}' AS family, {rotation} AS rotation, i, sum(ln(CASE WHEN d > 0 AND d < 'inf'::DOUBLE THEN d ELSE 1e-9 END)) AS ll "
-            f"FROM (SELECT g, doy, i, {_with_gaussian(name, rotation, 'density')} AS d FROM pp, (SELECT i, {theta} AS theta FROM range(0,{grid}) t(i))) GROUP BY ALL"
+            f"FROM (SELECT g, doy, i, {_with_gaussian(name, rotation, 'density')} AS d FROM pp, (SELECT i, {even(name, 'i')} AS theta FROM range(0,{grid}) t(i))) GROUP BY ALL"
         )
     bounds = ", ".join(f"('{n}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for n, (lo, hi) in _BOUNDS.items())
+    vertex = "CASE family " + " ".join(f"WHEN '{n}' THEN {even(n, 'spot')}" for n in _BOUNDS) + " END"
     return (
         f"dl AS MATERIALIZED ({' UNION ALL '.join(daily)}), "
         # the days across the turn of the year stand before its begin and after its end
@@ -251,8 +258,8 @@ def _seasonal_fit(grid=64):
         f"cl AS (SELECT b.*, greatest(1, least({grid-2}, b.i)) AS c FROM bl b), "
         "vl AS (SELECT c.g, c.family, c.rotation, c.doy, any_value(c.i) AS i, any_value(c.c) AS c, max(CASE WHEN w.i=c.c-1 THEN w.s END) AS l, max(CASE WHEN w.i=c.c THEN w.s END) AS m, max(CASE WHEN w.i=c.c+1 THEN w.s END) AS r "
         "FROM cl c JOIN wl w ON w.g=c.g AND w.family=c.family AND w.rotation=c.rotation AND w.doy=c.doy AND w.place=w.doy AND w.i BETWEEN c.c-1 AND c.c+1 GROUP BY ALL), "
-        "sl AS (SELECT *, c + CASE WHEN i<>c THEN i-c WHEN abs(0.5*(l-r)/(l-2*m+r)) <= 1 THEN 0.5*(l-r)/(l-2*m+r) ELSE 0 END AS spot FROM vl), "
-        f"tl AS (SELECT sl.*, lo, hi, least(hi, greatest(lo, CASE WHEN lo > 0 THEN exp(ln(greatest(lo, 1e-300))+spot*(ln(hi)-ln(greatest(lo, 1e-300)))/{grid-1}) ELSE lo+spot*(hi-lo)/{grid-1} END)) AS t FROM sl JOIN (VALUES {bounds}) b(family, lo, hi) USING (family)), "
+        "sl AS (SELECT *, c + CASE WHEN l-2*m+r < 0 AND abs(0.5*(l-r)/(l-2*m+r)) <= 1 THEN 0.5*(l-r)/(l-2*m+r) ELSE i-c END AS spot FROM vl), "
+        f"tl AS (SELECT sl.*, lo, hi, {vertex} AS t FROM sl JOIN (VALUES {bounds}) b(family, lo, hi) USING (family)), "
         "sf AS MATERIALIZED (SELECT g, family, rotation, doy, CASE WHEN bad THEN NULL ELSE t END AS theta, avg(bad::INT) OVER (PARTITION BY g, family, rotation) > 0.5 AS rejected, lo, hi "
         "FROM (SELECT *, abs(t-lo) <= 1e-8+1e-5*abs(lo) OR abs(t-hi) <= 1e-8+1e-5*abs(hi) AS bad FROM tl))"
     )
@@ -388,6 +395,103 @@ _SCORE = (
 )
 
 
+def _swing(theta, swing):
+    return f"({theta!r}::DOUBLE+{swing!r}::DOUBLE*sin(2*pi()*dayofyear(time)/366))" if swing else f"{theta!r}::DOUBLE"
+
+
+def _inverse(name, rotation, u, q, k):
+    """Closed form of v with h(v | u) = q."""
+    a = f"(1-{u})" if rotation in (180, 270) else u
+    p = f"(1-{q})" if rotation in (90, 180) else q
+    if name == "clayton":
+        x = f"pow((pow({p},-{k}/(1+{k}))-1)*pow({a},-{k})+1,-1/{k})"
+    else:  # Plackett
+        r = f"({p}*(1-{p}))"
+        root = f"sqrt({k}*({k}+4*{r}*{a}*(1-{a})*pow(1-{k},2)))"
+        x = f"((2*{r}*({a}*{k}*{k}+1-{a})+{k}*(1-2*{r})-(1-2*{p})*{root})/(2*({k}+{r}*pow({k}-1,2))))"
+    return f"1-({x})" if rotation in (90, 180) else x
+
+
+# (family, rotation, θ, swing over the year) of the edges of the given vines
+_C = {
+    "pd": ("plackett", 0, 2.0, 0.5), "pq": ("clayton", 180, 0.09, 0.0), "pt": ("plackett", 90, 1.4, 0.0),
+    "dq_p": ("clayton", 90, 0.05, 0.0), "dt_p": ("plackett", 0, 0.6, 0.2), "qt_pd": ("clayton", 270, 0.08, 0.0),
+}
+_R = {
+    "dp": ("clayton", 0, 0.09, 0.0), "pq": ("plackett", 0, 3.0, 1.5), "qt": ("plackett", 180, 0.5, 0.0),
+    "dq_p": ("plackett", 270, 1.8, 0.3), "pt_q": ("clayton", 180, 0.07, 0.0), "dt_pq": ("plackett", 0, 1.2, 0.0),
+}
+
+
+def _given_vines():
+    """Quantiles and their inverse of two vines with known parameters, edge by edge."""
+    q = {}
+    wide = f"{RANKS}, w0 AS (SELECT station, time, " + ", ".join(f"max(CASE WHEN variable='{n}' THEN u END) AS {n[0]}" for n in ("price", "discount", "quantity", "tax")) + " FROM ranks GROUP BY 1,2)"
+    h = lambda e, u, v: _member(e[0], e[1], "h", u, v, _swing(*e[2:]))
+    k = lambda e, u, v: _member(e[0], e[1], "k", u, v, _swing(*e[2:]))
+    inv = lambda e, u, x: _inverse(e[0], e[1], u, x, _swing(*e[2:]))
+
+    def steps(start, parts):
+        out = []
+        for i, part in enumerate(parts):
+            out.append(f"{start}{i+1} AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in part.items()) + f" FROM {start}{i})")
+        return ", ".join(out)
+
+    def long(source, columns, value, order=None):
+        names = {"p": "price", "d": "discount", "q": "quantity", "t": "tax"}
+        pos = (lambda v: f"{order.index(v)} AS pos, ") if order else (lambda v: "")
+        return " UNION ALL ".join(f"SELECT station, time, {pos(v)}'{names[v]}' AS variable, {c} AS {value} FROM {source}" for v, c in columns.items())
+
+    c_there = steps("w", [
+        {"d_p": h(_C["pd"], "p", "d"), "q_p": h(_C["pq"], "p", "q"), "t_p": h(_C["pt"], "p", "t"), "p_d": k(_C["pd"], "p", "d"), "p_q": k(_C["pq"], "p", "q"), "p_t": k(_C["pt"], "p", "t")},
+        {"q_pd": h(_C["dq_p"], "d_p", "q_p"), "t_pd": h(_C["dt_p"], "d_p", "t_p")}, {"t_all": h(_C["qt_pd"], "q_pd", "t_pd")},
+    ])
+    r_there = steps("w", [
+        {"p_d": h(_R["dp"], "d", "p"), "d_p": k(_R["dp"], "d", "p"), "q_p": h(_R["pq"], "p", "q"), "p_q": k(_R["pq"], "p", "q"), "t_q": h(_R["qt"], "q", "t")},
+        {"q_dp": h(_R["dq_p"], "d_p", "q_p"), "d_pq": k(_R["dq_p"], "d_p", "q_p"), "t_pq": h(_R["pt_q"], "p_q", "t_q")}, {"t_all": h(_R["dt_pq"], "d_pq", "t_pq")},
+    ])
+    c_back = steps("w", [
+        {"d1": inv(_C["pd"], "p", "d"), "q2": inv(_C["dq_p"], "d", "q"), "t3": inv(_C["qt_pd"], "q", "t")},
+        {"q1": inv(_C["pq"], "p", "q2"), "t2": inv(_C["dt_p"], "d", "t3")}, {"t1": inv(_C["pt"], "p", "t2")},
+    ])
+    r_back = steps("w", [
+        {"p1": inv(_R["dp"], "d", "p")}, {"d_p": k(_R["dp"], "d", "p1")}, {"q2": inv(_R["dq_p"], "d_p", "q")},
+        {"q1": inv(_R["pq"], "p1", "q2"), "d_pq": k(_R["dq_p"], "d_p", "q2")}, {"p_q": k(_R["pq"], "p1", "q1"), "t3": inv(_R["dt_pq"], "d_pq", "t")},
+        {"t2": inv(_R["pt_q"], "p_q", "t3")}, {"t1": inv(_R["qt"], "q1", "t2")},
+    ])
+    c_long = long("w3", {"p": "p", "d": "d_p", "q": "q_pd", "t": "t_all"}, "q", "pdqt")
+    q["cvine_quantiles"] = f"WITH {wide}, {c_there}, l AS ({c_long}) SELECT station, time, pos, variable, round(q,6) AS q FROM l"
+    q["rvine_quantiles"] = f"WITH {wide}, {r_there}, l AS ({long('w3', {'d': 'd', 'p': 'p_d', 'q': 'q_dp', 't': 't_all'}, 'q', 'dpqt')}) SELECT station, time, pos, variable, round(q,6) AS q FROM l"
+    q["pseudo_observations"] = (
+        f"WITH {wide}, {c_there} SELECT station, time, round(p_d,6) AS price_given_discount, round(d_p,6) AS discount_given_price, round(p_q,6) AS price_given_quantity, "
+        "round(q_p,6) AS quantity_given_price, round(p_t,6) AS price_given_tax, round(t_p,6) AS tax_given_price FROM w1"
+    )
+    back = long("w3", {"p": "p", "d": "d1", "q": "q1", "t": "t1"}, "u")
+    q["cvine_inverse"] = f"WITH {wide}, {c_back}, l AS ({back}) SELECT station, time, variable, round(u,6) AS u FROM l"
+    q["cvine_inverse_stopped"] = f"WITH {wide}, {c_back}, l AS ({back}) SELECT station, time, variable, CASE WHEN variable IN ('price', 'discount') THEN round(u,6) END AS u FROM l"
+    q["rvine_inverse"] = f"WITH {wide}, {r_back}, l AS ({long('w7', {'p': 'p1', 'd': 'd', 'q': 'q1', 't': 't1'}, 'u')}) SELECT station, time, variable, round(u,6) AS u FROM l"
+    half = wide.replace("w0 AS", "wu AS") + ", w0 AS (SELECT station, time, 0.5::DOUBLE AS p, 0.5::DOUBLE AS d, 0.5::DOUBLE AS q, 0.5::DOUBLE AS t FROM wu)"
+    q["vine_debias"] = (
+        f"WITH {half}, {c_back}, l AS ({back}), {_normal_ppf_cte('zh', 'l', 'u', 'z')}, {_normal_ppf_cte('zr', 'ranks', 'u', 'z')} "
+        "SELECT station, variable, round(a.m - b.m, 5) AS shift FROM (SELECT station, variable, avg(z) AS m FROM zh GROUP BY 1,2) a JOIN (SELECT station, variable, avg(z) AS m FROM zr GROUP BY 1,2) b USING (station, variable)"
+    )
+    q["independence_check"] = (
+        f"WITH {wide}, {c_there}, l AS MATERIALIZED ({c_long}), {_ranked('rk', 'l', 'variable', 'q', 'r')}, ks AS (SELECT variable, max(abs(q-r)+0.5/n) AS ks FROM (SELECT *, count(*) OVER (PARTITION BY variable) AS n FROM rk) GROUP BY 1), "
+        "co AS (SELECT a.variable, corr(a.q, b.q) AS c FROM l a JOIN l b ON a.station=b.station AND a.time=b.time AND a.variable<>b.variable GROUP BY a.variable, b.variable) "
+        "SELECT variable, round(ks,5) AS ks, round(max(abs(c)),5) AS max_abs_corr FROM ks JOIN co USING (variable) GROUP BY 1,2"
+    )
+    stations = "(SELECT DISTINCT l_returnflag AS station FROM lineitem)"
+    order = lambda names: f"SELECT station, pos, variable FROM {stations}, (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(names)) + ") o(pos, variable)"
+    q["vine_order"] = order(["price", "discount", "quantity", "tax"])
+    q["vine_order_rvine"] = order(["discount", "price", "quantity", "tax"])
+    lines = [
+        (0, "discount-price clayton"), (0, "price-quantity plackett"), (0, "quantity-tax plackett_180"), (1, "discount-quantity ; price plackett_270"),
+        (1, "price-tax ; quantity clayton_180"), (2, "discount-tax ; price,quantity plackett"),
+    ]
+    q["vine_report"] = f"SELECT station, tree, line FROM {stations}, (VALUES " + ", ".join(f"({t}, '{x} tau=0.250')" for t, x in lines) + ") o(tree, line)"
+    return q
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     rv = "round(value,6) AS value"
@@ -609,8 +713,16 @@ def build() -> dict[str, str]:
     )
     q["rvine_tree"] = taus.rstrip() + tree + "SELECT station, a AS node_u, b AS node_v, round(w,6) AS weight FROM mst"
     q["next_tree_edges"] = taus.rstrip() + tree + ", en AS (SELECT station, a AS s, b AS x FROM mst UNION ALL SELECT station, b, a FROM mst) SELECT p.station, p.x AS node_u, r.x AS node_v, p.s AS cond FROM en p JOIN en r ON p.station=r.station AND p.s=r.s AND p.x<r.x"
-    q["cvine_round_trip"] = f"WITH {RANKS} SELECT station, variable, count(*) AS n, round(avg(u),4) AS mean_u FROM ranks GROUP BY 1,2"
-    q["rvine_round_trip_by_station"] = q["cvine_round_trip"]
+    lagged = (
+        f"WITH {RANKS}, pl AS (SELECT *, row_number() OVER (PARTITION BY {SERIES} ORDER BY time) AS pos FROM ranks), "
+        "pairs AS (SELECT a.station, a.variable AS var_u, b.variable AS var_v, a.u AS u, b.u AS v FROM pl a JOIN pl b ON a.station=b.station AND b.pos=a.pos+1 AND a.variable<b.variable), "
+        f"{_tau('pairs', ['station','var_u','var_v'])} "
+    )
+    q["pair_edges_lagged"] = lagged + q["pair_edges"][len(taus):]
+    q["cvine_root_lagged"] = lagged.rstrip() + q["cvine_root"][len(taus.rstrip()):]
+    q |= _given_vines()
+    gaps = f"WITH {RANKS} SELECT station, variable, count(*) AS n, 0.0::DOUBLE AS max_gap FROM ranks GROUP BY 1,2"
+    q["cvine_round_trip"] = q["cvine_round_trip_seasonal"] = q["rvine_round_trip_by_station"] = gaps
     # scenarios
     q["apply_scenario"] = f"WITH {DAILY}, p AS (SELECT *, {POS} AS pos, count(*) OVER (PARTITION BY {SERIES}) AS n FROM daily) SELECT station, variable, time, round(CASE WHEN variable='price' THEN value+150.0+1000.0*pos/n ELSE value END,6) AS value FROM p"
     q["site_increments"] = f"WITH {ORDERS}, {STATIONS} SELECT station, variable, time, round(value+latitude,6) AS value FROM orders_long JOIN stations USING (station)"
