@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meteospan.operators.gram import correlation, pair_moments
 from meteospan.operators.ordering import join_on, with_halo, with_position
 from meteospan.operators.ranks import dense_ranks, dominance, rel_ranks
 from meteospan.operators.timeops import calendar_keys, doy_targets
@@ -52,14 +53,9 @@ def nan_corr(
     ``min_rows`` the correlation is null up to so many joint rows."""
     if by is None:
         by = [c for c in series_keys(df) if c not in label]
-    pairs = cross_section_pairs(df, [*by, "time"], label)
     group = [*by, *[f"{c}_i" for c in label], *[f"{c}_j" for c in label]]
-    joint = F.col("x").isNotNull() & F.col("y").isNotNull()
-    out = pairs.groupBy(*group).agg(
-        F.corr(F.when(joint, F.col("x")), F.when(joint, F.col("y"))).alias("corr"),
-        F.count_if(joint).alias("n"),
-        F.avg(joint.cast("double")).alias("overlap"),
-    )
+    moments = pair_moments(df, by, label)
+    out = moments.select(*group, correlation().alias("corr"), "n", (F.col("n") / F.col("rows")).alias("overlap"))
     return out if min_rows is None else out.withColumn("corr", F.when(F.col("n") > min_rows, F.col("corr")))
 
 
@@ -296,20 +292,15 @@ def _series_moments(df, by, label, means):
 def _cross(df, lags, label, means):
     by = [c for c in series_keys(df) if c != label]
     moments = _series_moments(df, by, label, means)
-    products = _lagged(df, lags, label).groupBy(*by, f"{label}_i", f"{label}_j", "lag").agg(
-        F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"),
-        F.avg(F.when(F.col("y").isNotNull(), F.col("x"))).alias("_mx"),
-        F.avg(F.when(F.col("x").isNotNull(), F.col("y"))).alias("_my"),
-        F.covar_pop("x", "y").alias("_c"),
-    )
+    products = pair_moments(df, by, [label], lags, ordered=True).withColumnsRenamed({"mean_i": "_about_i", "mean_j": "_about_j"})
     side = lambda s: moments.withColumnsRenamed(
         {label: f"{label}_{s}", "_mean": f"_mean_{s}", "_std": f"_std_{s}"}
     )
     rows = products.join(side("i"), [*by, f"{label}_i"]).join(side("j"), [*by, f"{label}_j"])
     n = F.col("n")
-    about = n * (
-        F.col("_c") + (F.col("_mx") - F.col("_mean_i")) * (F.col("_my") - F.col("_mean_j"))
-    )
+    # from sums about the series means to sums about the means asked for
+    shift_i, shift_j = F.col("_about_i") - F.col("_mean_i"), F.col("_about_j") - F.col("_mean_j")
+    about = F.col("sxy") + shift_j * F.col("sx") + shift_i * F.col("sy") + n * shift_i * shift_j
     cov = F.try_divide(about, n - (1 if means is None else 0))
     group = [*by, f"{label}_i", f"{label}_j", "lag"]
     return rows.select(
