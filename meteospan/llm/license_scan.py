@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meteospan.llm.columns import fresh, row_keys, whole
+from meteospan.llm.store import written
 
 # Spellings that count as the same, after lower-casing and removal of punctuation.
 SPELLINGS = (
@@ -150,10 +151,11 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, text_col: str
         *[v.alias(n) for n, v in keys.items()], F.struct(*out).alias(row) if out else F.lit(True).alias(row),
         canonical_lines(F.col(text_col)).alias(lines),
     )
-    coded = read.select(
+    # written, as both lookups read it: the canonical form is worked out once
+    coded = written(read.select(
         *k, row, digest(F.array_join(lines, " ")).alias("text_digest"),
         F.transform(F.array_distinct(lines), digest).alias(lines),
-    )
+    ), "licence-digests")
     found = (
         coded.select(*k, F.explode(lines).alias("digest")).join(known, "digest").groupBy(*k)
         .agg(F.sort_array(F.collect_set("license_id")).alias("line_licenses"))
