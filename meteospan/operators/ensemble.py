@@ -223,13 +223,14 @@ def hyd_year_cdf_bands(
     obs: DataFrame, ens: DataFrame, lower_q: float = 0.01, upper_q: float = 0.99,
     n: int = 200, full_years: bool = True, start_month: int = 10,
 ) -> DataFrame:
-    """Distribution of yearly sums: quantiles of each realization at n levels, then their
-    spread over realizations."""
+    """Distribution of yearly sums: the observed quantiles at n levels (``obs``, null without a whole observed year)
+    beside the spread over realizations of theirs."""
     sums = hyd_year_sums(ens, full_years, start_month)
     sim = regular_quantiles(sums, ["realization", *SITE], "total", **_even(n))
-    return _bands(sim, [*SITE, "level_id"], lower_q, upper_q).withColumn(
-        "level", F.col("level_id") / (n - 1)
-    )
+    seen = regular_quantiles(hyd_year_sums(obs, full_years, start_month), SITE, "total", **_even(n))
+    seen = seen.select(*SITE, "level_id", F.col("quantile").alias("obs"))
+    bands = _bands(sim, [*SITE, "level_id"], lower_q, upper_q)
+    return bands.join(seen, [*SITE, "level_id"], "left").withColumn("level", F.col("level_id") / (n - 1))
 
 
 def hyd_year_cdf(obs: DataFrame, full_years: bool = True, start_month: int = 10) -> DataFrame:

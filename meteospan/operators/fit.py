@@ -200,6 +200,15 @@ def _attach(packed: DataFrame, table: DataFrame, keys, columns) -> DataFrame:
     return packed.withColumn("_r", row).select(*packed.columns, "_r.*")
 
 
+def _zoomed(packed: DataFrame, keys, chosen, zooms: int, grid: int, masked: bool) -> DataFrame:
+    """One row per group: arrays lo, hi, theta (by member) after the last zoom."""
+    rows = packed
+    for _ in range(zooms):
+        around = _brackets(_grid_sums(rows, keys, chosen, grid, FIT_FLOOR, masked), keys)
+        rows = _attach(packed, around, keys, ["lo", "hi"])
+    return around
+
+
 def fit_copula(
     pairs: DataFrame,
     families=None,
@@ -211,18 +220,26 @@ def fit_copula(
     """Maximum-likelihood θ of every family and rotation per group.
 
     With ``wet_col`` the density is taken over wet rows only and the dry ones enter as the
-    probability of their corner. ``loglik`` is the likelihood of all rows at the fitted θ.
-    Returns (keys, family, rotation, theta, loglik, n).
+    probability of their corner. A masked search that ends at a bound of θ, or has no wet row, has not converged: the member is
+    fitted to all rows of that group instead, and ``masked`` tells which of both θ comes from.
+    ``loglik`` is the likelihood of all rows at the fitted θ.
+    Returns (keys, family, rotation, theta, loglik, n[, masked]).
     """
     keys = pair_keys(pairs) if keys is None else list(keys)
     chosen = [m for m in members(families) if m[0] != "independence"]
     packed = _packed(pairs, keys, wet_col)
-    masked = wet_col is not None
-    rows = packed
-    for _ in range(zooms):
-        sums = _grid_sums(rows, keys, chosen, grid, FIT_FLOOR, masked)
-        around = _brackets(sums, keys)
-        rows = _attach(packed, around, keys, ["lo", "hi"])
+    around = _zoomed(packed, keys, chosen, zooms, grid, wet_col is not None)
+    if wet_col is not None:
+        ends = lambda side: F.array(*[F.lit(float(getattr(FAMILIES[n], side))) for n, _ in chosen])
+        near = lambda x, bound: F.abs(x - bound) <= 1e-8 + 1e-5 * F.abs(bound)
+        wet = packed.groupBy(*keys).agg((F.max("n_all") > F.max("n_dry")).alias("_wet"))
+        inside = F.transform("theta", lambda x, i: F.col("_wet") & ~near(x, F.get(ends("lo"), i)) & ~near(x, F.get(ends("hi"), i)))
+        around = cut_lineage(_attach_by(around, wet, keys).withColumn("ok", inside).drop("_wet"))
+        failed = around.filter(F.exists("ok", lambda x: ~x))
+        again = packed.join(failed.select(*keys), list(keys), "left_semi") if keys else packed.crossJoin(failed.select(F.lit(1).alias("_f"))).drop("_f")
+        plain = _zoomed(again, keys, chosen, zooms, grid, False).select(*keys, F.col("theta").alias("plain"))
+        around = around.join(plain, list(keys), "left") if keys else around.crossJoin(plain) if not failed.isEmpty() else around.withColumn("plain", F.col("theta"))
+        around = around.withColumn("theta", F.transform("theta", lambda x, i: F.when(F.get("ok", i), x).otherwise(F.get("plain", i))))
     at_best = _attach(
         packed, around.select(*keys, F.col("theta").alias("lo"), F.col("theta").alias("hi")),
         keys, ["lo", "hi"],
@@ -230,14 +247,18 @@ def fit_copula(
     scored = _grid_sums(at_best, keys, chosen, 1, SCORE_FLOOR, False)
     names = F.array(*[F.lit(n) for n, _ in chosen])
     turns = F.array(*[F.lit(r) for _, r in chosen])
+    which = []
+    if wet_col is not None:
+        scored = _attach_by(scored, around.select(*keys, "ok"), keys)
+        which = [F.get("ok", F.col("m")).alias("masked")]
     out = scored.select(
         *keys, names[F.col("m")].alias("family"), turns[F.col("m")].alias("rotation"),
-        "theta", F.col("ll").alias("loglik"), "n",
+        "theta", F.col("ll").alias("loglik"), "n", *which,
     )
     if any(n == "independence" for n, _ in members(families)):
         flat = packed.groupBy(*keys).agg(F.max("n_all").alias("n")).select(
             *keys, F.lit("independence").alias("family"), F.lit(0).alias("rotation"),
-            F.lit(0.0).alias("theta"), F.lit(0.0).alias("loglik"), "n",
+            F.lit(0.0).alias("theta"), F.lit(0.0).alias("loglik"), "n", *[F.lit(True).alias("masked") for _ in which],
         )
         out = out.unionByName(flat)
     return out
@@ -304,7 +325,7 @@ def select_copula(
     fits = fit_copula(pairs, families, keys, wet_col, **options)
     allowed = asymmetry_filter(pairs, keys=keys).select(*keys, "family", "rotation") if asymmetry else None
     only = lambda df: df if allowed is None else df.join(allowed, [*keys, "family", "rotation"], "left_semi")
-    fits = only(fits)
+    fits = only(fits).drop("masked")
     if not seasonal:
         best = _best_member(fits, keys)
     else:

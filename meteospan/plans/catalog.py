@@ -54,10 +54,6 @@ def rank_pairs(s, d):
     )
 
 
-def one_pair(s, d):
-    return rank_pairs(s, d).filter("var_u = 'price' AND var_v = 'quantity'")
-
-
 def line_ranks(s, d):
     """Ranks of quantity and price of every order line."""
     rows = src.line_pairs(s, d, "l_quantity", "l_extendedprice")
@@ -236,7 +232,7 @@ def build() -> dict:
     q["seasonal_empirical_pit"] = lambda s, d: r6(rk.seasonal_empirical_pit(daily(s, d), 10))
     q["dry_probability_by_doy"] = lambda s, d: r6(rk.dry_probability_by_doy(daily(s, d).filter("variable = 'discount'"), 15, 0.05))
     q["wet_mask"] = lambda s, d: r6(rk.wet_mask(daily(s, d), 0.05))
-    q["bipit"] = lambda s, d: r6(rk.bipit(one_pair(s, d), ["station"]))
+    q["bipit"] = lambda s, d: r6(rk.bipit(rank_pairs(s, d), ["station", "var_u", "var_v"]))
     q["bipit_lines"] = lambda s, d: r6(rk.bipit(src.line_pairs(s, d, "l_quantity", "l_extendedprice"), ["station"], "x", "y"))
     q["nonexceedance"] = lambda s, d: r6(rk.nonexceedance(rs.to_wide(daily(s, d), VARIABLES), ["discount", "quantity", "tax"], ["station"]))
     # dependence
@@ -266,19 +262,20 @@ def build() -> dict:
     q["copula_density"] = lambda s, d: r6(member_rows(rank_pairs(s, d), cop.copula_density, CLOSED), 5)
     q["copula_h"] = lambda s, d: r6(member_rows(rank_pairs(s, d), cop.h_v_given_u, CLOSED))
     q["copula_h_given_v"] = lambda s, d: r6(member_rows(rank_pairs(s, d), cop.h_u_given_v, CLOSED))
-    q["gaussian_copula"] = lambda s, d: r6(one_pair(s, d).groupBy("station").agg(
+    q["gaussian_copula"] = lambda s, d: r6(rank_pairs(s, d).groupBy("station", "var_u", "var_v").agg(
+        F.avg(cop.copula_cdf("gaussian", F.col("u"), F.col("v"), 0.4)).alias("cdf"),
         F.avg(cop.copula_density("gaussian", F.col("u"), F.col("v"), 0.4)).alias("density"),
         F.avg(cop.h_v_given_u("gaussian", F.col("u"), F.col("v"), 0.4)).alias("h")), 5)
     q["h_inverse"] = lambda s, d: r6(_inverse_round_trip(rank_pairs(s, d)), 4)
     q["log_likelihood"] = lambda s, d: r6(fit.log_likelihood(rank_pairs(s, d), "plackett", 1.3), 4)
     q["fit_copula"] = lambda s, d: r6(fit.fit_copula(rank_pairs(s, d), [("plackett", 0), ("gumbelbarnett", 0)]), 5)
     q["fit_copula_lines"] = lambda s, d: r6(fit.fit_copula(line_ranks(s, d), [("plackett", 0)], ["station"]), 4)
-    q["fit_copula_wet"] = lambda s, d: r6(fit.fit_copula(one_pair(s, d).withColumn("wet", F.col("u") > 0.3), ["plackett", "clayton"], wet_col="wet"), 5)
+    q["fit_copula_wet"] = lambda s, d: r6(fit.fit_copula(rank_pairs(s, d).withColumn("wet", F.col("u") > 0.3), wet_col="wet"), 5)
     q["select_copula"] = lambda s, d: r6(fit.select_copula(rank_pairs(s, d)), 5)
-    q["select_copula_seasonal"] = lambda s, d: r6(fit.select_copula(one_pair(s, d), families=["gaussian", "plackett"], seasonal=True), 5)
+    q["select_copula_seasonal"] = lambda s, d: r6(fit.select_copula(rank_pairs(s, d), seasonal=True).withColumn("thetas", F.size("thetas")), 5)
     q["asymmetry_filter"] = lambda s, d: r6(fit.asymmetry_filter(rank_pairs(s, d)))
     q["independence_test"] = lambda s, d: r6(fit.independence_test(pr.kendall_tau(rank_pairs(s, d))))
-    q["lagged_pair_fits"] = lambda s, d: r6(fit.lagged_pair_fits(ranks(s, d).select("station", "variable", "time", "u"), 1, ["gaussian", "plackett"]), 5)
+    q["lagged_pair_fits"] = lambda s, d: r6(fit.lagged_pair_fits(line_ranks_long(s, d), 1), 5)
     q["fit_seasonal_copula"] = lambda s, d: r6(fit.fit_seasonal_copula(rank_pairs(s, d)), 5)
     q["smooth_doy"] = lambda s, d: r6(seasonal_fits(s, d)[1], 5)
     q["seasonal_quantiles"] = lambda s, d: r6(_with(seasonal_fits(s, d), fit.seasonal_quantiles).groupBy("station", "var_u", "var_v", "family", "rotation").agg(
@@ -287,7 +284,7 @@ def build() -> dict:
     q["seasonal_inverse"] = lambda s, d: r6(_seasonal_round_trip(s, d), 4)
     q["asymmetry_weighted_density"] = lambda s, d: r6(fit.asymmetry_weighted_density(
         rank_pairs(s, d).withColumn("density", cop.copula_density("plackett", F.col("u"), F.col("v"), 3.0))))
-    q["copula_qq"] = lambda s, d: r6(fit.copula_qq(one_pair(s, d), one_pair(s, d).select("station", "var_u", "var_v").distinct().select("*", F.lit("plackett").alias("family"), F.lit(0).alias("rotation"), F.lit(1.3).alias("theta")), used=[("plackett", 0)]))
+    q["copula_qq"] = lambda s, d: r6(fit.copula_qq(rank_pairs(s, d), fit.fit_copula(rank_pairs(s, d), [("plackett", 0)]), used=[("plackett", 0)]))
     # vines
     q["pair_edges"] = lambda s, d: r6(vine_candidates(s, d).select("station", "node_u", "node_v", "n", "tau", "weight"))
     q["cvine_root"] = lambda s, d: vn.cvine_root(vine_candidates(s, d), ["station"])

@@ -48,7 +48,6 @@ PAIRS = RANKS + (
     ", pairs AS (SELECT a.station, a.variable AS var_u, b.variable AS var_v, a.time, a.u AS u, b.u AS v "
     "FROM ranks a JOIN ranks b ON a.station=b.station AND a.time=b.time AND a.variable<b.variable)"
 )
-PAIR = PAIRS + ", pair AS (SELECT * FROM pairs WHERE var_u='price' AND var_v='quantity')"
 LINES = "lines AS (SELECT l_returnflag AS station, l_orderkey AS \"order\", l_linenumber AS line, l_quantity AS x, l_extendedprice AS y FROM lineitem)"
 LINE_RANKS = LINES + ", " + _ranked("lx", "lines", "station", "x", "u") + ", " + _ranked("lr", "lx", "station", "y", "v")
 SERIES = "station, variable"
@@ -365,6 +364,13 @@ _STATS = (
 )
 
 
+# em: pairs with their empirical copula
+_EMPIRICAL = (
+    "j AS (SELECT a.station, a.var_u, a.var_v, a.time, count(*) AS c FROM pairs a JOIN pairs b ON a.station=b.station AND a.var_u=b.var_u AND a.var_v=b.var_v AND b.u<a.u AND b.v<a.v GROUP BY 1,2,3,4), "
+    f"em AS (SELECT p.*, (coalesce(c,0)+0.5)/count(*) OVER (PARTITION BY {GRP}) AS empirical FROM pairs p LEFT JOIN j USING ({GRP}, time))"
+)
+
+
 def _report(pairs, keys, bins):
     return (
         f", pm AS (SELECT *, count(*) OVER (PARTITION BY {keys}) AS m, min(u) OVER (PARTITION BY {keys}) AS u0, max(u) OVER (PARTITION BY {keys}) AS u1, "
@@ -596,8 +602,7 @@ def build() -> dict[str, str]:
     q["wet_mask"] = f"WITH {DAILY} SELECT station, variable, time, {rv}, value>=0.05 AS wet FROM daily"
     below = lambda src, on: f"(SELECT count(*) FROM {src} b WHERE {on})"
     q["bipit"] = (
-        f"WITH {PAIR}, j AS (SELECT a.station, a.time, count(*) AS c FROM pair a JOIN pair b ON a.station=b.station AND b.u<a.u AND b.v<a.v GROUP BY 1,2) "
-        "SELECT a.station, var_u, var_v, a.time, round(u,6) AS u, round(v,6) AS v, round((coalesce(c,0)+0.5)/count(*) OVER (PARTITION BY a.station),6) AS bipit FROM pair a LEFT JOIN j ON a.station=j.station AND a.time=j.time"
+        f"WITH {PAIRS}, {_EMPIRICAL} SELECT {GRP}, time, round(u,6) AS u, round(v,6) AS v, round(empirical,6) AS bipit FROM em"
     )
     q["bipit_lines"] = (
         f"WITH {LINES}, g AS (SELECT station, x, y, count(*) AS w FROM lines GROUP BY ALL), f AS (SELECT station, y, x0, sum(w) AS w FROM g, (SELECT DISTINCT x AS x0 FROM g) WHERE x < x0 GROUP BY ALL), "
@@ -655,11 +660,12 @@ def build() -> dict[str, str]:
     q["copula_density"] = _member_query("density", 5)
     q["copula_h"] = _member_query("h")
     q["copula_h_given_v"] = _member_query("k")
-    scores = (
-        f"WITH {RANKS}, {_normal_ppf_cte('zz', 'ranks', 'u', 'z')}, zm AS MATERIALIZED (SELECT station, variable, time, z FROM zz), "
-        "zy AS (SELECT a.station, a.z AS x, b.z AS y FROM zm a JOIN zm b ON a.station=b.station AND a.time=b.time AND a.variable='price' AND b.variable='quantity') "
+    # the Gaussian CDF by Simpson's rule over the correlation
+    simpson = "(SELECT i, 0.4*i/200 AS r, CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 0.4/600 AS w FROM range(0, 201) t(i))"
+    q["gaussian_copula"] = (
+        f"WITH {_scored_pairs()}, ci AS (SELECT {GRP}, time, any_value(u*v) + sum(w*exp(-(x*x+y*y-2*r*x*y)/(2*(1-r*r)))/(2*pi()*sqrt(1-r*r))) AS c FROM pp, {simpson} GROUP BY {GRP}, time), cm AS (SELECT {GRP}, avg(c) AS cdf FROM ci GROUP BY {GRP}) "
+        f"SELECT {GRP}, round(any_value(cdf),5) AS cdf, round(avg(exp((2*0.4*x*y-0.16*(x*x+y*y))/(2*0.84))/sqrt(0.84)),5) AS density, round(avg({_normal_cdf('((y-0.4*x)/sqrt(0.84))')}),5) AS h FROM pp JOIN cm USING ({GRP}) GROUP BY {GRP}"
     )
-    q["gaussian_copula"] = scores + f"SELECT station, round(avg(exp((2*0.4*x*y-0.16*(x*x+y*y))/(2*0.84))/sqrt(0.84)),5) AS density, round(avg({_normal_cdf('((y-0.4*x)/sqrt(0.84))')}),5) AS h FROM zy GROUP BY station"
     q["h_inverse"] = f"WITH {PAIRS} SELECT station, var_u, var_v, count(v) AS n, 0.0::DOUBLE AS max_gap, member FROM pairs, (VALUES ('clayton_0'),('plackett_90'),('gumbel_180'),('joe_0'),('gaussian_0'),('nelsen13_270')) t(member) GROUP BY ALL"
     q["log_likelihood"] = f"WITH {PAIRS} SELECT {GRP}, round(sum(ln({_member('plackett', 0, 'density', k=1.3)})),4) AS loglik, count(*) AS n FROM pairs GROUP BY ALL"
     q["fit_copula"] = (
@@ -694,9 +700,9 @@ def build() -> dict[str, str]:
     q["seasonal_quantiles"] = f"{smooth} SELECT {member}, count(q) AS n, round(avg(q),5) AS mean_q, round(stddev_pop(q),5) AS std_q FROM (SELECT {member}, least(1.0, greatest(0.0, {pick('h')})) AS q {each}) GROUP BY ALL"
     q["seasonal_inverse"] = f"{smooth} SELECT {member}, count(*) AS n, 0.0::DOUBLE AS max_gap {each} GROUP BY ALL"
     q["copula_qq"] = (
-        f"WITH {PAIR}, j AS (SELECT a.station, a.time, count(*) AS c FROM pair a JOIN pair b ON a.station=b.station AND b.u<a.u AND b.v<a.v GROUP BY 1,2), "
-        f"e AS (SELECT a.*, (coalesce(c,0)+0.5)/count(*) OVER (PARTITION BY a.station) AS empirical, {_member('plackett', 0, 'cdf', k=1.3)} AS theoretical FROM pair a LEFT JOIN j ON a.station=j.station AND a.time=j.time) "
-        f"SELECT {GRP}, time, round(u,6) AS u, round(v,6) AS v, round(empirical,6) AS empirical, 'plackett' AS family, 0 AS rotation, 1.3::DOUBLE AS theta, round(theoretical,6) AS theoretical, round(theoretical-empirical,6) AS difference FROM e"
+        f"WITH {PAIRS}, {_EMPIRICAL}, {_grid_fit('pairs', ['station','var_u','var_v'], 'plackett', 1e-5, 20.0, True, tag='p')}, "
+        f"e AS (SELECT em.*, theta, {_member('plackett', 0, 'cdf', k='theta')} AS theoretical FROM em JOIN fitp USING ({GRP})) "
+        f"SELECT {GRP}, time, round(u,6) AS u, round(v,6) AS v, round(empirical,6) AS empirical, 'plackett' AS family, 0 AS rotation, round(theta,6) AS theta, round(theoretical,6) AS theoretical, round(theoretical-empirical,6) AS difference FROM e"
     )
     # vines
     q["pair_edges"] = taus + "SELECT station, var_u AS node_u, var_v AS node_v, n, round(tau,6) AS tau, round(1-abs(tau),6) AS weight FROM tau"
@@ -770,7 +776,7 @@ def build() -> dict[str, str]:
         "SELECT station, variable, wet, level_id, round(level,6) AS level, round(quantile,6) AS obs, round(sim_median,6) AS sim_median, CAST(round(sim_min,6) AS DOUBLE) AS sim_min, CAST(round(sim_max,6) AS DOUBLE) AS sim_max FROM ob JOIN bd USING (station, variable, wet, level_id)"
     )
     q["monthly_means"] = f"WITH {DAILY}, {ENS}, o AS (SELECT station, variable, CAST(month(time) AS INTEGER) AS month, avg(value) AS obs FROM daily GROUP BY ALL), s AS (SELECT realization, station, variable, CAST(month(time) AS INTEGER) AS month, avg(value) AS sim FROM ens GROUP BY ALL) SELECT station, variable, month, realization, round(sim+3e-8,6) AS sim, round(obs+3e-8,6) AS obs FROM s JOIN o USING (station, variable, month)"
-    q["hyd_year_cdf_bands"] = f"WITH {ENS}, {_hyd('ens', 'realization, station, variable')}, {_quantiles('sums', 'realization, station, variable', even, 'total', 'sim')}, bd AS ({_bands('sim', SERIES, .01, .99)}) SELECT station, variable, level_id, round(sim_median+3e-6,4) AS sim_median, round(sim_lower+3e-6,4) AS sim_lower, round(sim_upper+3e-6,4) AS sim_upper, round(sim_min+3e-6,4) AS sim_min, round(sim_max+3e-6,4) AS sim_max, round(level_id/199.0+3e-6,4) AS level FROM bd"
+    q["hyd_year_cdf_bands"] = f"WITH {DAILY}, {ENS}, {_hyd('ens', 'realization, station, variable')}, {_hyd('daily', SERIES, 'seen')}, {_quantiles('sums', 'realization, station, variable', even, 'total', 'sim')}, {_quantiles('seen', SERIES, even, 'total', 'ob')}, bd AS ({_bands('sim', SERIES, .01, .99)}) SELECT station, variable, level_id, round(sim_median+3e-6,4) AS sim_median, round(sim_lower+3e-6,4) AS sim_lower, round(sim_upper+3e-6,4) AS sim_upper, round(sim_min+3e-6,4) AS sim_min, round(sim_max+3e-6,4) AS sim_max, round(level_id/199.0+3e-6,4) AS level, round(quantile+3e-6,4) AS obs FROM bd LEFT JOIN (SELECT station, variable, level_id, quantile FROM ob) USING (station, variable, level_id)"
     q["hyd_year_cdf"] = f"WITH {DAILY}, {_hyd('daily', SERIES)} SELECT station, variable, hyd_year, round(total,3) AS total, days, round((row_number() OVER (PARTITION BY {SERIES} ORDER BY total)-0.5)/count(*) OVER (PARTITION BY {SERIES}),3) AS p FROM sums"
     q["annual_error"] = (
         f"WITH {DAILY}, {ENS}, dd AS (SELECT * FROM daily WHERE variable='discount'), ee AS (SELECT * FROM ens WHERE variable='discount'), {_hyd('dd', SERIES, 'so')}, {_hyd('ee', 'realization, station, variable', 'se')}, "

@@ -88,3 +88,66 @@ def test_blocks_do_not_change_the_fit(spark, monkeypatch):
     parts = fit.fit_copula(pairs, ["clayton", "joe"], [], "wet").toPandas().sort_values(["family", "rotation"])
     np.testing.assert_allclose(whole.theta, parts.theta, rtol=1e-6)
     np.testing.assert_allclose(whole.loglik, parts.loglik, rtol=1e-6, atol=1e-6)
+
+
+def test_member_that_does_not_converge_on_wet_rows_is_fitted_to_all(spark):
+    """Group a: the wet rows drive Gumbel to its bound, all rows do not. Group b: both converge. Group c: no wet row."""
+    rng = np.random.default_rng(8)
+    u, q = rng.random(900), rng.random(900)
+    v = C.h_inverse_array("gumbel", u, q, 2.0)
+    dry = u < 0.3
+    rows = []
+    for group in "abc":
+        y = np.where(dry | (group != "a"), v, (1.3 - u).clip(1e-3, 1 - 1e-3) * 0.99 if group == "a" else v)
+        rows.append(pd.DataFrame({"station": group, "u": u, "v": y, "wet": ~dry if group != "c" else False}))
+    frame = pd.concat(rows)
+    got = fit.fit_copula(spark.createDataFrame(frame), ["gumbel", "joe"], ["station"], "wet").toPandas().set_index(["station", "family", "rotation"])
+    plain = fit.fit_copula(spark.createDataFrame(frame), ["gumbel", "joe"], ["station"]).toPandas().set_index(["station", "family", "rotation"])
+    assert not got.loc["c"].masked.any()
+    np.testing.assert_allclose(got.loc["c"].theta, plain.loc["c"].theta.reindex(got.loc["c"].index), rtol=1e-6)
+    assert got.loc[("b", "gumbel", 0)].masked and abs(got.loc[("b", "gumbel", 0)].theta - 2.0) < 0.25
+    failed = got.loc[("a", "gumbel", 0)]
+    assert not failed.masked and failed.theta == pytest.approx(plain.loc[("a", "gumbel", 0)].theta, rel=1e-6)
+    # the masked maximum of group b against a fine grid, corner of the dry rows included
+    part = frame[frame.station == "b"]
+    wet = part.wet.to_numpy()
+    f, x, y = C.FAMILIES["gumbel"], part.u.to_numpy(), part.v.to_numpy()
+    u_max, v_max = x[~wet].max(), y[~wet].max()
+    corner = (fit.ONEISH, v_max) if u_max > v_max else (u_max, fit.ONEISH)
+    ll = lambda t: np.log(f.density(x[wet], y[wet], t)).sum() + (~wet).sum() * math.log(f.cdf(np.float64(corner[0]), np.float64(corner[1]), t))
+    grid = np.linspace(1.2, 4, 3000)
+    best = grid[np.argmax([ll(t) for t in grid])]
+    assert got.loc[("b", "gumbel", 0)].theta == pytest.approx(best, abs=0.01)
+
+
+@pytest.mark.parametrize("name, rotation", [m for m in C.members() if m[0] != "independence"])
+def test_fit_recovers_theta_of_every_member(spark, name, rotation):
+    """Own rows of each member, made once for all of them: the fit is likelier than the θ the rows were made with, and no further
+    from it than chance allows."""
+    found, true, u, v = recovered(spark)[name, rotation]
+    a, b = C.turned(C.clamp(u), C.clamp(v), rotation)
+    ll = lambda theta: np.log(C.FAMILIES[name].density(a, b, theta)).sum()
+    assert -1e-3 < ll(found) - ll(true) < 8.0
+
+
+_FITTED: dict = {}
+
+
+def recovered(spark):
+    if not _FITTED:
+        rng = np.random.default_rng(9)
+        parts, want = [], {}
+        for name, rotation in C.members():
+            if name == "independence":
+                continue
+            f = C.FAMILIES[name]
+            theta = {"joe": 2.5, "gaussian": 0.6, "plackett": 5.0, "nelsen13": 3.0, "gumbel": 2.0, "nelsen14": 2.0, "nelsen12": 2.0}.get(name, 0.5 * (f.lo + f.hi))
+            u, q = rng.random((2, 4000))
+            v = C.h_inverse_array(name, u, q, theta, rotation)
+            parts.append(pd.DataFrame({"station": f"{name}_{rotation}", "u": u, "v": v}))
+            want[name, rotation] = (theta, u, v)
+        df = spark.createDataFrame(pd.concat(parts)).cache()
+        found = fit.fit_copula(df, None, ["station"]).filter(F.concat_ws("_", "family", "rotation") == F.col("station"))
+        for r in found.collect():
+            _FITTED[r.family, r.rotation] = (r.theta, *want[r.family, r.rotation])
+    return _FITTED
