@@ -1,9 +1,9 @@
 """WARC archives by way of a table of chunks.
 
-A payload travels as rows (record, chunk number, bytes), never as one value: the writer gets the
-chunks of a record in order and streams them into a gzip member, the reader gives chunks back as
-it unpacks them, both with a running SHA-256. Equal payloads are found by digest; only the digests
-are grouped, so a page that thousands repeat does not gather its copies.
+The source row is cut where it is read; from there a payload travels as rows (record, chunk number, bytes): the writer gets
+the chunks of a record in order and streams them into a gzip member, the reader gives chunks back as it unpacks them, both with a
+running SHA-256. Equal payloads are found by digest; only digests are grouped, so a page that thousands repeat does not
+gather its copies. Chunks are shuffled once, by page, and meet there what they revisit.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meteospan.llm.files import filesystem, whole_file
 from meteospan.llm.store import new_folder, written
@@ -25,33 +25,47 @@ VERSION = b"WARC/1.1\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def chunk_table(pages: DataFrame, least: int = 100, chunk: int = CHUNK) -> DataFrame:
-    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, chunk_no, last, data``.
+def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``page_id, url, payload_bytes, payload_digest, copy, chunk_no, last, data``, made row by row from the scan.
 
-    Of records with equal payloads of at least ``least`` bytes the one of the smallest page_id is a
-    response and the others revisit it; a revisit has one chunk without bytes, as has an empty
-    payload (a null html is empty). Rows that repeat page_id and payload are all of the same type;
-    a null page_id is never the one revisited. An empty table gives an empty result.
+    A null html is empty, and an empty payload has one chunk without bytes. ``copy`` is a number of the source row, so rows that
+    repeat page_id and payload stay records of their own. An empty table gives an empty result.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    read = pages.select("page_id", "url", payload.alias("payload"))
+    read = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("copy"))
     read = read.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    keyed = read.select("page_id", "payload_bytes", "payload_digest").filter(F.col("payload_bytes") >= least)
+    count = F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring("payload", i * chunk + 1, F.lit(chunk)))
+    rows = read.select(
+        "page_id", "url", "payload_bytes", "payload_digest", "copy", count.alias("n_chunks"), F.posexplode(parts).alias("chunk_no", "data")
+    )
+    return rows.withColumn("last", F.col("chunk_no") == F.col("n_chunks") - 1).drop("n_chunks")
+
+
+def revisits(chunks: DataFrame, least: int = 100) -> DataFrame:
+    """``page_id, payload_digest, refers_to`` of the records that revisit an equal payload of at least ``least`` bytes: all but that of
+    the smallest page_id. A null page_id is never the one revisited. Only ids and digests are grouped."""
+    keyed = chunks.filter(F.col("chunk_no") == 0).select("page_id", "payload_bytes", "payload_digest").filter(F.col("payload_bytes") >= least)
     first = keyed.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
     again = keyed.join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    again = again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "refers_to").distinct()
-    typed = read.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_page", "_digest")
-    is_new = F.col("refers_to").isNull()
-    count = F.when(is_new, F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1))).otherwise(1).cast("int")
-    parts = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.when(is_new, F.substring("payload", i * chunk + 1, F.lit(chunk))).otherwise(F.lit(b"")),
+    return again.select("page_id", "payload_digest", "refers_to").distinct()
+
+
+def _typed(chunks: DataFrame, least: int) -> DataFrame:
+    """Chunk rows with ``record_type`` and ``refers_to``, dealt out by page; what they revisit is joined in that one exchange.
+    Of a revisit one chunk without bytes stays."""
+    key = F.struct(F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)))
+    named = revisits(chunks, least).groupBy(F.xxhash64(key).alias("_key")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "payload_digest"), "refers_to"))).alias("_again")
     )
-    rows = typed.select(
-        "page_id", "url", "payload_bytes", "payload_digest", F.when(is_new, "response").otherwise("revisit").alias("record_type"), "refers_to",
-        count.alias("n_chunks"), F.posexplode(parts).alias("chunk_no", "data"),
+    dealt = chunks.withColumn("_key", F.xxhash64(key)).repartition("_key")
+    own = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "payload_digest")
+    rows = dealt.hint("merge").join(named, "_key", "left").withColumn("refers_to", F.try_element_at("_again", own)).drop("_again")
+    new = F.col("refers_to").isNull()
+    kept = rows.filter(new | (F.col("chunk_no") == 0)).withColumns(
+        {"record_type": F.when(new, "response").otherwise("revisit"), "data": F.when(new, F.col("data")).otherwise(F.lit(b"")), "last": F.col("last") | ~new}
     )
-    return rows.withColumn("last", F.col("chunk_no") == F.col("n_chunks") - 1).drop("n_chunks")
+    return kept.sortWithinPartitions("_key", "page_id", "copy", "chunk_no").drop("_key", "copy")
 
 
 def _line(name: str, value) -> bytes:
@@ -80,9 +94,14 @@ def head_of(row: dict, date: str) -> bytes:
     return head + _line("Content-Length", len(http) + (row["payload_bytes"] if new else 0)) + b"\r\n" + http
 
 
-def write_warc(chunks: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_warc(chunks: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", least: int = 100) -> DataFrame:
     """Writes the chunk table to gzipped archives, one for each partition of page_id, and returns the
-    written table ``path, n_records``. A lost task writes the same archive again."""
+    written table ``path, n_records``. A lost task writes the same archive again.
+
+    Of records with equal payloads of at least ``least`` bytes the one of the smallest page_id is a response and the others
+    revisit it. Rows that repeat page_id and payload are all of the same type. A null page_id or url is written as such; an empty table
+    gives no archive.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -109,10 +128,7 @@ def write_warc(chunks: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z
             context.__exit__(None, None, None)
             yield pa.RecordBatch.from_pylist([{"path": name, "n_records": n}])
 
-    # equal rows: the chunks of one copy follow those of the other
-    copy = F.row_number().over(Window.partitionBy("page_id", "payload_digest", "chunk_no").orderBy(F.lit(1)))
-    dealt = chunks.withColumn("copy", copy).repartition("page_id").sortWithinPartitions("page_id", "payload_digest", "copy", "chunk_no")
-    return written(dealt.mapInArrow(write, "path string, n_records long"), "archives")
+    return written(_typed(chunks, least).mapInArrow(write, "path string, n_records long"), "archives")
 
 
 class Unpacker:
