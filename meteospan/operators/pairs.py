@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meteospan.operators.gram import correlation, pair_moments
 from meteospan.operators.ordering import join_on, with_halo, with_position
-from meteospan.operators.ranks import dense_ranks, dominance, rel_ranks
+from meteospan.operators.inversions import tie_and_pair_counts
+from meteospan.operators.ranks import rel_ranks
 from meteospan.operators.timeops import calendar_keys, doy_targets
 from meteospan.schema import finite, pair_keys, series_keys
-from meteospan.session import cut_lineage
 
 
 def cross_section_pairs(
@@ -155,40 +155,16 @@ def corr_by_doy_window(pairs: DataFrame, w: int = 15, keys: Sequence[str] | None
 def kendall_tau(
     pairs: DataFrame, keys: Sequence[str] | None = None, u: str = "u", v: str = "v"
 ) -> DataFrame:
-    """Kendall's τ-b on rows finite in both, by counting inversions with prefix sums."""
+    """Kendall's τ-b on rows finite in both, from discordant pairs counted block by block."""
     keys = pair_keys(pairs) if keys is None else list(keys)
     cells = (
         pairs.filter(finite(u) & finite(v)).groupBy(*keys, u, v).agg(F.count("*").alias("_w"))
     )
-    # several prefix sums follow: write the ranked cells once instead of deriving them anew
-    cells = cut_lineage(dense_ranks(dense_ranks(cells, keys, u, "_r0"), keys, v, "_r1"))
-    # discordant = smaller in u and larger in v: turn the second rank round
-    ranked = cells.withColumn("_r1", F.col("_r1_n") - 1 - F.col("_r1"))
-    _, running, _ = dominance(ranked, keys, ["_r0", "_r1"], "_w")
-    exact = lambda name: F.col(name).cast("decimal(19,0)")
-    discordant = running.groupBy(*keys).agg(
-        F.sum((exact("query") * exact("dominated")).cast("decimal(38,0)")).cast("double").alias("_d")
-    )
-    pairs_of = lambda name: F.sum(F.col(name).cast("double") * (F.col(name) - 1) / 2)
-
-    def ties(*columns):
-        return cells.groupBy(*keys, *columns).agg(F.sum("_w").alias("_t")).groupBy(*keys).agg(
-            pairs_of("_t").alias("_ties")
-        )
-
-    totals = cells.groupBy(*keys).agg(F.sum("_w").alias("n"), pairs_of("_w").alias("_n3"))
-    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
-    n1, n2, n3 = F.col("_n1"), F.col("_n2"), F.col("_n3")
-    out = (
-        totals.transform(join_on, ties(u).withColumnRenamed("_ties", "_n1"), keys)
-        .transform(join_on, ties(v).withColumnRenamed("_ties", "_n2"), keys)
-        .transform(join_on, discordant, keys, "left")
-    )
-    tau = F.try_divide(
-        n0 - n1 - n2 + n3 - 2.0 * F.coalesce(F.col("_d"), F.lit(0.0)),
-        F.sqrt((n0 - n1) * (n0 - n2)),
-    )
-    return out.select(*keys, "n", tau.alias("tau"))
+    counts = tie_and_pair_counts(cells, keys, u, v, "_w")
+    n0 = F.col("n") * (F.col("n") - 1) / 2
+    n1, n2, n3 = F.col("n1"), F.col("n2"), F.col("n3")
+    tau = F.try_divide(n0 - n1 - n2 + n3 - 2.0 * F.col("d"), F.sqrt((n0 - n1) * (n0 - n2)))
+    return counts.select(*keys, F.col("n").cast("long").alias("n"), tau.alias("tau"))
 
 
 def tau_min(n: Column) -> Column:
