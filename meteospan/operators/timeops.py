@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from meteospan.operators.ordering import calendar_block, carry, join_on, with_halo, with_position
 from meteospan.schema import finite, require, series_keys
@@ -280,10 +282,50 @@ def period_band(
     )
 
 
-def _against_band(df: DataFrame, band: DataFrame) -> DataFrame:
-    """Every row with every harmonic; the chosen band is a short list by construction."""
-    ks = band.agg(F.sort_array(F.collect_list("k")).alias("ks")).scalar()
-    return df.withColumn("k", F.explode(ks))
+def _wave_sums(df: DataFrame, band: DataFrame, column: str, keys: Sequence[str], group: Column | None = None) -> DataFrame:
+    """(keys, [part,] k, length, re, im, c, s): sums over a series (or its parts) of x·cos, −x·sin, cos and sin of every chosen harmonic.
+
+    A task turns its rows into one array of sums for each series and part; rows per harmonic exist only after that. The chosen
+    band is a short list by construction and goes to the tasks as such.
+    """
+    ks = np.array(sorted(r["k"] for r in band.select("k").collect()), np.int64)
+    parts = [] if group is None else ["_part"]
+    rows = with_position(df, keys)
+    rows = rows.select(*keys, *([group.alias("_part")] if parts else []), "pos", "pos_total", F.col(column).cast("double").alias("_x"))
+    by = [*keys, *parts, "pos_total"]
+
+    def evaluate(batches):
+        sums: dict = {}
+
+        def ship():
+            out = pd.DataFrame(list(sums), columns=by)
+            out["k"], out["sums"] = [ks] * len(sums), [x.ravel() for x in sums.values()]
+            return out
+
+        for frame in batches:
+            for key, at in frame.groupby(by, dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                pos, x = frame["pos"].to_numpy()[at], np.nan_to_num(frame["_x"].to_numpy(float)[at])
+                # the angle of k · pos steps, with whole turns taken off in integers
+                turn = 2 * math.pi * ((pos[:, None] * ks[None, :]) % key[-1]) / key[-1]
+                c, s = np.cos(turn), np.sin(turn)
+                table = np.stack([x @ c, -(x @ s), c.sum(0), s.sum(0)])
+                sums[key] = sums[key] + table if key in sums else table
+            if len(sums) * max(len(ks), 1) > 1 << 18:
+                yield ship()
+                sums.clear()
+        if sums:
+            yield ship()
+
+    fields = [f for f in rows.schema.fields if f.name in by]
+    fields = [next(f for f in fields if f.name == c) for c in by]
+    schema = T.StructType([*fields, T.StructField("k", T.ArrayType(T.LongType())), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    n = len(ks)
+    at = lambda i: F.sum(F.get("sums", F.col("_i") + i * n))
+    spread = rows.mapInPandas(evaluate, schema).select(*by, "sums", F.posexplode("k").alias("_i", "k"))
+    return spread.groupBy(*keys, *parts, "k", F.col("pos_total").alias("length")).agg(
+        at(0).alias("re"), at(1).alias("im"), at(2).alias("c"), at(3).alias("s")
+    )
 
 
 def harmonic_amplitudes(
@@ -291,12 +333,7 @@ def harmonic_amplitudes(
 ) -> DataFrame:
     """Fourier coefficients (re, im) of the chosen harmonics of each series."""
     keys = _keys(df, keys)
-    rows = _against_band(with_position(df, keys), band)
-    angle = F.lit(2 * math.pi) * F.col("k") * F.col("pos") / F.col("pos_total")
-    return rows.groupBy(*keys, "k", F.col("pos_total").alias("length")).agg(
-        F.sum(F.col(column) * F.cos(angle)).alias("re"),
-        F.sum(-F.col(column) * F.sin(angle)).alias("im"),
-    )
+    return _wave_sums(df, band, column, keys).drop("c", "s")
 
 
 def harmonic_year_integrals(
@@ -308,20 +345,10 @@ def harmonic_year_integrals(
 ) -> DataFrame:
     """Contribution of every chosen harmonic to every hydrological year."""
     keys = _keys(df, keys)
-    amplitudes = harmonic_amplitudes(df, band, column, keys)
-    angle = F.lit(2 * math.pi) * F.col("k") * F.col("pos") / F.col("length")
-    wave = (
-        F.lit(2.0) / F.col("length")
-        * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))
-    )
-    rows = with_position(df, keys).select(
-        *keys, "pos", hyd_year("time", start_month).alias("hyd_year")
-    )
-    return (
-        join_on(rows, amplitudes, keys)
-        .groupBy(*keys, "k", "hyd_year")
-        .agg(F.sum(wave).alias("integral"))
-    )
+    years = _wave_sums(df, band, column, keys, hyd_year("time", start_month)).withColumnRenamed("_part", "hyd_year")
+    whole = years.groupBy(*keys, "k").agg(F.sum("re").alias("_re"), F.sum("im").alias("_im"))
+    wave = F.lit(2.0) / F.col("length") * (F.col("_re") * F.col("c") - F.col("_im") * F.col("s"))
+    return years.join(whole, [*keys, "k"]).select(*keys, "k", "hyd_year", wave.alias("integral"))
 
 
 def smooth_by_doy(

@@ -12,7 +12,8 @@ from meteospan.operators import (
     conditions as cond, ensemble as ev, fit, heatwaves as hw, pairs as pr, ranks as rk,
     reshape as rs, scenario as sc, timeops as tm, vine as vn,
 )
-from meteospan.sources import adapters as src, ensemble_store as store
+from meteospan.session import shared_path
+from meteospan.sources import adapters as src, ensemble_store as store, observations as obs_io
 
 VARIABLES = ["discount", "price", "quantity", "tax"]
 THETA = {
@@ -195,6 +196,12 @@ def build() -> dict:
         s, src.table(s, d, "lineitem").filter("l_quantity > 49").select((F.col("l_suppkey") % 17 * 2).cast("int").alias("realization")), 40)
     q["derive_ensemble"] = lambda s, d: r6(store.derive_ensemble(
         ens(s, d), ens(s, d).filter("realization < 3").withColumn("value", F.col("value") + 1)))
+    # input and output: written below the shared folder and read back
+    q["write_load_ensemble"] = lambda s, d: r6(_stored_ensemble(s, d))
+    q["save_load_model"] = lambda s, d: r6(_stored_model(s, d))
+    q["read_observations"] = lambda s, d: r6(_stored_observations(s, d))
+    q["write_station_csv"] = lambda s, d: _stored_csv(s, d)
+    q["symmetry_flags"] = lambda s, d: r6(_symmetry(rank_pairs(s, d)))
     # time
     q["resample_mean"] = lambda s, d: r6(tm.resample_mean(gappy(s, d), "month"))
     q["resample_day_night"] = lambda s, d: r6(tm.resample_day_night(hourly(s, d)))
@@ -212,8 +219,8 @@ def build() -> dict:
     q["hyd_year_sums_full"] = lambda s, d: r6(tm.hyd_year_sums(src.order_obs(s, d).groupBy(F.lit("all").alias("station"), "variable", "time").agg(F.max("value").alias("value")), True))
     q["annual_extremes"] = lambda s, d: r6(tm.annual_extremes(yearly(daily(s, d))).withColumn("totals", F.concat_ws(";", F.transform("totals", lambda x: F.round(x, 3).cast("decimal(20,3)").cast("string")))), 5)
     q["period_band"] = lambda s, d: r6(_band(s, d))
-    q["harmonic_amplitudes"] = lambda s, d: r6(tm.harmonic_amplitudes(daily(s, d).filter("variable <> 'price'"), _band(s, d)), 4)
-    q["harmonic_year_integrals"] = lambda s, d: r6(tm.harmonic_year_integrals(daily(s, d).filter("variable <> 'price'"), _band(s, d)), 4)
+    q["harmonic_amplitudes"] = lambda s, d: r6(tm.harmonic_amplitudes(daily(s, d), _band(s, d)), 3)
+    q["harmonic_year_integrals"] = lambda s, d: r6(tm.harmonic_year_integrals(daily(s, d), _band(s, d)), 3)
     # ranks
     q["rel_ranks"] = lambda s, d: r6(ranks(s, d))
     q["rel_ranks_lines"] = lambda s, d: r6(line_ranks(s, d))
@@ -357,6 +364,52 @@ def build() -> dict:
     return q
 
 
+def _stored_ensemble(s, d):
+    """Two ensembles written realization by realization, one of them twice; one read back in part."""
+    root = shared_path(s, "ensembles")
+    store.write_ensemble(ens(s, d), root, "base")
+    store.write_ensemble(ens(s, d).withColumn("value", F.col("value") + 1), root, "warm")
+    store.write_ensemble(ens(s, d).filter("realization = 2"), root, "base")
+    return store.load_ensemble(s, root, "base", [0, 2, 5]).select("ensemble", "realization", "station", "variable", "time", "value")
+
+
+def _stored_model(s, d):
+    root, key = shared_path(s, "models"), store.model_key(variables=VARIABLES, weights="tau")
+    edges = given_vine(s, d, "R", True).drop("thetas")
+    store.save_model({"vine_edges": edges, "vine_order": vn.vine_order(edges, ["station"])}, root, key)
+    store.save_model({"vine_edges": edges.limit(0), "vine_order": vn.vine_order(edges, ["station"]).limit(0)}, root, store.model_key(variables=VARIABLES[:2]))
+    found = store.load_model(s, root, key)
+    return _flat_vine(found["vine_edges"]).join(found["vine_order"], "station").filter("node_v = variable")
+
+
+def _stored_observations(s, d):
+    """A wide table, not a number where nothing was measured, read as the long one."""
+    path = shared_path(s, "observations")
+    rs.to_wide(gappy(s, d), VARIABLES).fillna(float("nan"), VARIABLES).write.parquet(path)
+    return obs_io.read_observations(s, path, variables=VARIABLES)
+
+
+def _stored_csv(s, d):
+    path = shared_path(s, "csv")
+    obs_io.write_station_csv(daily(s, d), path, VARIABLES, digits=6)
+    found = s.read.option("header", True).option("inferSchema", True).csv(path)
+    return found.select("station", F.col("time").cast("timestamp").alias("time"), *[F.round(F.col(v).cast("double"), 6).alias(v) for v in VARIABLES])
+
+
+def _symmetry(pairs):
+    """Largest break of both symmetries over the pairs, for each member, beside the flags."""
+    u, v = F.col("u"), F.col("v")
+    wide = []
+    for n, r in CLOSED:
+        c = lambda a, b: cop.copula_cdf(n, a, b, THETA[n], r)
+        wide.append(F.max(F.abs(c(u, v) - (u + v - 1.0 + c(1.0 - u, 1.0 - v)))).alias(f"a_{n}_{r}"))
+        wide.append(F.max(F.abs(c(u, v) - c(v, u))).alias(f"b_{n}_{r}"))
+    one = pairs.agg(*wide)
+    rows = F.array(*[F.struct(F.lit(n).alias("family"), F.lit(r).alias("rotation"), (F.col(f"a_{n}_{r}") < 1e-9).alias("seen1"), (F.col(f"b_{n}_{r}") < 1e-9).alias("seen2")) for n, r in CLOSED])
+    flags = cop.symmetry_flags(pairs.sparkSession).drop("theta_start", "lo", "hi")
+    return one.select(F.inline(rows)).join(flags, ["family", "rotation"])
+
+
 def _length(s, d) -> int:
     return src.table(s, d, "lineitem").select(F.countDistinct("l_shipdate")).first()[0]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,23 +27,28 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder named by ``spark.checkpoint.dir``.
-
-    The folder has to be shared by all executors, so that a lost executor does not lose
-    the table. Only a local master without the setting gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Folder of ``spark.checkpoint.dir``, which all executors share. Only a local master without the
+    setting, as in tests, gets a temporary folder."""
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return str(folder).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint below the shared folder, so that a lost executor does not lose the table."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -520,6 +520,21 @@ def build() -> dict[str, str]:
     q["convert"] = f"WITH {DAILY} SELECT station, CASE variable WHEN 'quantity' THEN 'amount' ELSE variable END AS variable, time, round(CASE variable WHEN 'quantity' THEN value*2+1 ELSE value END,6) AS value FROM daily"
     q["missing_realizations"] = "SELECT CAST(i AS INTEGER) AS realization FROM range(0,40) t(i) WHERE i NOT IN (SELECT l_suppkey % 17 * 2 FROM lineitem WHERE l_quantity > 49)"
     q["derive_ensemble"] = f"WITH {ENS} SELECT realization, station, variable, time, round(value+1,6) AS derived, round(value,6) AS base FROM ens WHERE realization<3"
+    q["write_load_ensemble"] = f"WITH {ENS} SELECT 'base' AS ensemble, realization, station, variable, time, {rv} FROM ens WHERE realization IN (0, 2, 5)"
+    stored = [
+        ("clayton", 0, 0.09, 0, "discount", "price", ""), ("plackett", 0, 3.0, 0, "price", "quantity", ""), ("plackett", 180, 0.5, 0, "quantity", "tax", ""),
+        ("plackett", 270, 1.8, 1, "discount", "quantity", "price"), ("clayton", 180, 0.07, 1, "price", "tax", "quantity"), ("plackett", 0, 1.2, 2, "discount", "tax", "price,quantity"),
+    ]
+    rows = ", ".join(f"('{f}', {r}, {t!r}::DOUBLE, {level}, '{u}', '{v}', '{c}')" for f, r, t, level, u, v, c in stored)
+    q["save_load_model"] = (
+        f"SELECT station, tree, node_u, node_v, cond, family, rotation, theta, 0.25::DOUBLE AS tau, pos, variable FROM (SELECT DISTINCT l_returnflag AS station FROM lineitem), "
+        f"(VALUES {rows}) e(family, rotation, theta, tree, node_u, node_v, cond) JOIN (VALUES (0, 'discount'), (1, 'price'), (2, 'quantity'), (3, 'tax')) o(pos, variable) ON variable = node_v"
+    )
+    q["read_observations"] = f"WITH {GAPPY} SELECT station, variable, time, {rv} FROM gappy"
+    q["write_station_csv"] = f"WITH {WIDE} SELECT station, time, " + ", ".join(f"round({v},6) AS {v}" for v in VARIABLES) + " FROM wide"
+    q["symmetry_flags"] = "SELECT * FROM (VALUES " + ", ".join(
+        f"('{n}', {r}, {str(n == 'plackett').lower()}, {str(r in (0, 180) or n == 'plackett').lower()}, {str(n == 'plackett').lower()}, {str(r in (0, 180) or n == 'plackett').lower()})" for n, r in _members()
+    ) + ") f(family, rotation, seen1, seen2, symmetry1, symmetry2)"
     # time
     q["resample_mean"] = f"WITH {GAPPY} SELECT station, variable, date_trunc('month', time)::TIMESTAMP AS time, round(avg(value),6) AS value FROM gappy GROUP BY 1,2,3"
     q["resample_day_night"] = f"WITH {HOURLY} SELECT station, variable, date_trunc('day', time)::TIMESTAMP AS time, round(max(value),6) AS day, round(min(value),6) AS night FROM hourly GROUP BY 1,2,3"
@@ -562,11 +577,11 @@ def build() -> dict[str, str]:
     band = "tt AS (SELECT count(DISTINCT l_shipdate) AS t FROM lineitem), band AS (SELECT k, t::DOUBLE/k AS period FROM tt, range(1, 100000) r(k) WHERE k <= t//2 AND t::DOUBLE/k >= 300 AND t::DOUBLE/k < 800)"
     q["period_band"] = f"WITH {band} SELECT k, round(period,6) AS period FROM band"
     amp = (
-        f"WITH {DAILY}, {band}, p AS (SELECT *, {POS} AS pos, count(*) OVER (PARTITION BY {SERIES}) AS n FROM daily WHERE variable<>'price'), "
+        f"WITH {DAILY}, {band}, p AS (SELECT *, {POS} AS pos, count(*) OVER (PARTITION BY {SERIES}) AS n FROM daily), "
         "am AS (SELECT station, variable, k, n AS length, sum(value*cos(2*pi()*k*pos/n)) AS re, sum(-value*sin(2*pi()*k*pos/n)) AS im FROM p, band GROUP BY ALL) "
     )
-    q["harmonic_amplitudes"] = amp + "SELECT station, variable, k, length, round(re,4) AS re, round(im,4) AS im FROM am"
-    q["harmonic_year_integrals"] = amp + "SELECT station, variable, k, CAST(year(time+INTERVAL 3 MONTH) AS INTEGER) AS hyd_year, round(sum(2.0/length*(re*cos(2*pi()*k*pos/length)-im*sin(2*pi()*k*pos/length))),4) AS integral FROM p JOIN am USING (station, variable) GROUP BY ALL"
+    q["harmonic_amplitudes"] = amp + "SELECT station, variable, k, length, round(re,3) AS re, round(im,3) AS im FROM am"
+    q["harmonic_year_integrals"] = amp + "SELECT station, variable, k, CAST(year(time+INTERVAL 3 MONTH) AS INTEGER) AS hyd_year, round(sum(2.0/length*(re*cos(2*pi()*k*pos/length)-im*sin(2*pi()*k*pos/length))),3) AS integral FROM p JOIN am USING (station, variable) GROUP BY ALL"
     # ranks
     q["rel_ranks"] = f"WITH {RANKS} SELECT station, variable, time, {rv}, round(u,6) AS u FROM ranks"
     q["rel_ranks_lines"] = f"WITH {LINE_RANKS} SELECT station, \"order\", line, round(u,6) AS u, round(v,6) AS v FROM lr"
