@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meteospan.llm.columns import fresh, let, located, row_keys, whole
+from meteospan.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -33,6 +34,8 @@ TERM = r"(?<=[^\p{L}\p{N}])\p{L}{3,24}(?=[^\p{L}\p{N}])"
 
 #: Terms too frequent to disclose anything that are dropped before a shuffle; the rest of them after it.
 FREQUENT = 1 << 15
+#: Disclosing terms that are broadcast to the texts; if there are more, terms and texts' words are shuffled.
+TOLD = 1 << 17
 
 
 def _digits(value: Column) -> Column:
@@ -137,13 +140,12 @@ def disclosing_spans(
     most = lambda n_entity: F.pow(total, F.lit(1 - power)) * F.pow(n_entity.cast("double"), F.lit(power)) * (1 + 1e-9)
     top = entity.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("top")).scalar()
     frequent = term.filter(F.col("n_term") > most(top)).orderBy(F.desc("n_term"), "term").limit(FREQUENT).select("term")
-    tokens = (
-        read.select(*k, F.explode(terms(outside(F.col(body), F.col(own)))).alias("term"))
-        .join(F.broadcast(frequent), "term", "left_anti").repartition("term")
-    )
+    tokens = lambda rows: rows.select(*k, F.explode(terms(outside(F.col(body), F.col(own)))).alias("term"))
+    # only documents with an entity say anything about terms
+    beside = tokens(read.filter(F.size(own) > 0)).join(F.broadcast(frequent), "term", "left_anti")
     usable = term.filter((F.col("n_term") >= support) & (F.col("n_term") <= most(top)))
     joint = (
-        tokens.join(usable, "term").join(entities.join(entity, "entity").drop("copies"), k)
+        beside.join(usable, "term").join(entities.join(entity, "entity").drop("copies"), k)
         .filter(F.col("n_term") <= most(F.col("n_entity")))
         .groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_joint"))
     )
@@ -154,7 +156,9 @@ def disclosing_spans(
         .groupBy("term").agg(F.max("told").alias("told")).filter(F.col("told") >= least)
         .select("term", F.when(F.col("told") >= remove, "remove").otherwise("generalise").alias("action"))
     )
-    hits = tokens.join(told, "term").groupBy(*k).agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias(marks))
+    told = written(told, "told")
+    few = F.broadcast(told) if told.count() <= TOLD else told
+    hits = tokens(read).join(few, "term").groupBy(*k).agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias(marks))
     base = F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("base").alias("action")))
     found = F.filter(located(outside(F.col(body), F.col(own)), TERM), lambda t: F.map_contains_key(marks, F.lower(t["value"])))
     placed = F.transform(
