@@ -171,19 +171,23 @@ def _member_query(what, digits=6):
     )
 
 
-def _grid_fit(source, keys, name, lo, hi, log, zooms=4, grid=16, tag=""):
+def _grid_fit(source, keys, name, lo, hi, log, zooms=4, grid=16, tag="", rotation=0):
     """Zooming grid search as a chain of CTEs; final CTE fit{tag}(keys, theta, loglik, n)."""
     base = ", ".join(keys)
     first = (
-        f"exp(ln({lo!r})+i*((ln({hi!r}::DOUBLE)-ln({lo!r}::DOUBLE))/{grid-1}))" if log else f"{lo!r}+i*({hi!r}-{lo!r})/{grid-1}"
+        f"exp(ln({lo!r})+i*((ln({hi!r}::DOUBLE)-ln({lo!r}::DOUBLE))/{grid-1}))" if log else f"({lo!r}::DOUBLE)+i*({hi!r}::DOUBLE-({lo!r}::DOUBLE))/{grid-1}"
     )
-    dens = _member(name, 0, "density", "p.u", "p.v", "g.theta")
+    dens = "d"
+    formula = (
+        "exp((2*g.theta*p.x*p.y-g.theta*g.theta*(p.x*p.x+p.y*p.y))/(2*(1-g.theta*g.theta)))/sqrt(1-g.theta*g.theta)"
+        if name == "gaussian" else _member(name, rotation, "density", "p.u", "p.v", "g.theta")
+    )
     on = " AND ".join(f"p.{c}=g.{c}" for c in keys)
-    out = [f"g{tag}0 AS (SELECT {base}, i, least({hi!r}, greatest({lo!r}, {first})) AS theta FROM (SELECT DISTINCT {base} FROM {source}), range(0,{grid}) t(i))"]
+    out = [f"g{tag}0 AS (SELECT {base}, i, least({hi!r}::DOUBLE, greatest({lo!r}::DOUBLE, {first})) AS theta FROM (SELECT DISTINCT {base} FROM {source}), range(0,{grid}) t(i))"]
     for z in range(zooms):
         out.append(
-            f"l{tag}{z} AS (SELECT {', '.join('p.'+c for c in keys)}, g.i, g.theta, sum(ln(CASE WHEN {dens} > 0 THEN {dens} ELSE 1e-9 END)) AS ll "
-            f"FROM {source} p JOIN g{tag}{z} g ON {on} GROUP BY ALL)"
+            f"l{tag}{z} AS (SELECT {base}, i, theta, sum(ln(CASE WHEN {dens} > 0 AND {dens} < 'inf'::DOUBLE THEN {dens} ELSE 1e-9 END)) AS ll "
+            f"FROM (SELECT {', '.join('p.'+c for c in keys)}, g.i, g.theta, {formula} AS d FROM {source} p JOIN g{tag}{z} g ON {on}) GROUP BY ALL)"
         )
         out.append(
             f"b{tag}{z} AS (SELECT * FROM (SELECT {base}, i, theta, lag(theta) OVER w AS lo, lead(theta) OVER w AS hi, "
@@ -192,10 +196,9 @@ def _grid_fit(source, keys, name, lo, hi, log, zooms=4, grid=16, tag=""):
         out.append(
             f"g{tag}{z+1} AS (SELECT {base}, t.i, coalesce(lo,theta)+(coalesce(hi,theta)-coalesce(lo,theta))*t.i/{grid-1} AS theta FROM b{tag}{z}, range(0,{grid}) t(i))"
         )
-    dens_b = _member(name, 0, "density", "p.u", "p.v", "g.theta")
     out.append(
-        f"fit{tag} AS (SELECT {', '.join('p.'+c for c in keys)}, any_value(g.theta) AS theta, sum(ln(CASE WHEN {dens_b} > 0 THEN {dens_b} ELSE 1e-12 END)) AS loglik, count(*) AS n "
-        f"FROM {source} p JOIN b{tag}{zooms-1} g ON {on} GROUP BY {', '.join('p.'+c for c in keys)})"
+        f"fit{tag} AS (SELECT {base}, any_value(theta) AS theta, sum(ln(CASE WHEN {dens} > 0 AND {dens} < 'inf'::DOUBLE THEN {dens} ELSE 1e-12 END)) AS loglik, count(*) AS n "
+        f"FROM (SELECT {', '.join('p.'+c for c in keys)}, g.theta, {formula} AS d FROM {source} p JOIN b{tag}{zooms-1} g ON {on}) GROUP BY {base})"
     )
     return ", ".join(out)
 
@@ -220,6 +223,24 @@ def _scored_pairs():
 _ALL_MEMBERS = [*_members(), ("gaussian", 0)]
 
 
+_ORDER = ["alimikailhaq", "clayton", "gaussian", "gumbel", "gumbelbarnett", "independence", "joe", "nelsen10", "nelsen12", "nelsen13", "nelsen14", "plackett"]
+
+
+def _selection(source):
+    """sel(station, var_u, var_v, family, rotation, theta, loglik, n): the likeliest of all members, independence among them."""
+    keys, fits, rows = ["station", "var_u", "var_v"], [], []
+    for name, rotation in _ALL_MEMBERS:
+        lo, hi = _BOUNDS[name]
+        tag = f"_{name}_{rotation}_"
+        fits.append(_grid_fit(source, keys, name, lo, hi, lo > 0, tag=tag, rotation=rotation))
+        rows.append(f"SELECT {GRP}, '{name}' AS family, {rotation} AS rotation, {_ORDER.index(name) * 4 + rotation // 90} AS place, theta, loglik, n FROM fit{tag}")
+    rows.append(f"SELECT {GRP}, 'independence', 0, {_ORDER.index('independence') * 4}, 0.0, 0.0, count(*) FROM {source} GROUP BY {GRP}")
+    return (
+        f"{', '.join(fits)}, every AS ({' UNION ALL '.join(rows)}), "
+        f"sel AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY {GRP} ORDER BY round(loglik,5) DESC, place) = 1)"
+    )
+
+
 def _with_gaussian(name, rotation, what):
     """Density or h of a member at θ = theta; the Gaussian one from the scores x, y."""
     if name != "gaussian":
@@ -599,13 +620,13 @@ def build() -> dict[str, str]:
     q["normal_pit"] = pz + f"z AS (SELECT station, variable, time, value, (value-mean)/sd AS z FROM daily JOIN pa USING (station, variable)) SELECT station, variable, time, {rv}, round({_normal_cdf('z')},6) AS u FROM z"
     q["normal_inverse"] = pz.replace(f"WITH {DAILY}", f"WITH {RANKS}") + f"{_normal_ppf_cte('zz', 'ranks', 'u', 'z')} SELECT station, variable, time, round(u,6) AS u, round(mean+sd*z,6) AS value FROM zz JOIN pa USING (station, variable)"
     q["bound_normal"] = near.replace(f"WITH {GAPPY}", f"WITH {RANKS}, {_normal_ppf_cte('zz', 'ranks', 'u', 'z')}, gappy AS (SELECT station, variable, time, u, CASE WHEN abs(z)<=2 THEN z END AS value FROM zz)").replace("g.value, a.time", "g.value, g.u, a.time") + f"SELECT station, variable, time, round(u,6) AS u, round(coalesce(value, {lin}, 0.0),6) AS z FROM j"
-    mom = f"mo AS (SELECT station, variable, CAST(d AS INTEGER) AS doy, avg(value) AS mean, stddev_pop(value) AS sd FROM {_doy_join('daily', 15)} GROUP BY 1,2,3)"
+    mom = f"mo AS MATERIALIZED (SELECT station, variable, CAST(d AS INTEGER) AS doy, avg(value) AS mean, stddev_pop(value) AS sd FROM {_doy_join('daily', 15)} GROUP BY 1,2,3)"
     q["seasonal_moments"] = f"WITH {DAILY}, {mom} SELECT station, variable, doy, round(mean,6) AS mean, round(sd,6) AS std FROM mo"
     ang = "2*pi()*k*(doy-1)/n"
     q["seasonal_normal_pit"] = (
-        f"WITH {DAILY}, {mom}, mn AS (SELECT *, count(*) OVER (PARTITION BY {SERIES}) AS n FROM mo), "
-        f"sp AS (SELECT station, variable, k, sum(mean*cos({ang})) AS mr, sum(-mean*sin({ang})) AS mi, sum(sd*cos({ang})) AS sr, sum(-sd*sin({ang})) AS si FROM mn, range(0,7) t(k) GROUP BY ALL), "
-        f"sm AS (SELECT station, variable, doy, sum(CASE WHEN k=0 THEN 1 ELSE 2 END*(mr*cos({ang})-mi*sin({ang})))/any_value(n) AS mean, sum(CASE WHEN k=0 THEN 1 ELSE 2 END*(sr*cos({ang})-si*sin({ang})))/any_value(n) AS sd FROM mn JOIN sp USING (station, variable) GROUP BY ALL), "
+        f"WITH {DAILY}, {mom}, mn AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {SERIES}) AS n FROM mo), "
+        f"sp AS MATERIALIZED (SELECT station, variable, k, sum(mean*cos({ang})) AS mr, sum(-mean*sin({ang})) AS mi, sum(sd*cos({ang})) AS sr, sum(-sd*sin({ang})) AS si FROM mn, range(0,7) t(k) GROUP BY ALL), "
+        f"sm AS MATERIALIZED (SELECT station, variable, doy, sum(CASE WHEN k=0 THEN 1 ELSE 2 END*(mr*cos({ang})-mi*sin({ang})))/any_value(n) AS mean, sum(CASE WHEN k=0 THEN 1 ELSE 2 END*(sr*cos({ang})-si*sin({ang})))/any_value(n) AS sd FROM mn JOIN sp USING (station, variable) GROUP BY ALL), "
         f"z AS (SELECT d.*, (value-mean)/sd AS z FROM daily d JOIN sm ON d.station=sm.station AND d.variable=sm.variable AND dayofyear(d.time)=sm.doy) SELECT station, variable, time, round({_normal_cdf('z')},5) AS u FROM z"
     )
     q["seasonal_empirical_pit"] = (
@@ -703,6 +724,12 @@ def build() -> dict[str, str]:
         f"WITH {PAIRS}, a AS (SELECT {GRP}, avg((u-.5)*(v-.5)*((u-.5)+(v-.5))) AS a1, avg(-(u-.5)*(v-.5)*((u-.5)-(v-.5))) AS a2 FROM pairs GROUP BY ALL) SELECT station, var_u, var_v, time, round(u,6) AS u, round(v,6) AS v, "
         f"round(CASE WHEN (a1>0 AND u>.75 AND v>.75) OR (a1<0 AND u<.25 AND v<.25) OR (a2>0 AND u>.75 AND v<.25) OR (a2<0 AND u<.25 AND v>.75) THEN {_member('plackett', 0, 'density')} ELSE 0 END,6) AS density FROM pairs JOIN a USING ({GRP})"
     )
+    q["select_copula"] = f"WITH {_scored_pairs()}, {_selection('pp')} SELECT {GRP}, family, rotation, round(theta,5) AS theta, round(loglik,5) AS loglik, n FROM sel"
+    q["lagged_pair_fits"] = (
+        f"WITH {RANKS}, {_normal_ppf_cte('zz', 'ranks', 'u', 'z')}, pl AS MATERIALIZED (SELECT station, variable, u, z, row_number() OVER (PARTITION BY {SERIES} ORDER BY time) AS pos FROM zz), "
+        "pp AS MATERIALIZED (SELECT a.station, a.variable AS var_u, b.variable AS var_v, a.u AS u, b.u AS v, a.z AS x, b.z AS y FROM pl a JOIN pl b ON a.station=b.station AND b.pos=a.pos+1), "
+        f"{_selection('pp')} SELECT {GRP}, family, rotation, round(theta,5) AS theta, round(loglik,5) AS loglik, n FROM sel"
+    )
     names = "(SELECT DISTINCT g, station, var_u, var_v FROM pp)"
     fitted = f"WITH {_scored_pairs()}, {_seasonal_fit()}"
     q["fit_seasonal_copula"] = f"{fitted} SELECT station, var_u, var_v, family, rotation, CAST(doy AS INTEGER) AS doy, round(theta,5) AS theta, rejected FROM sf JOIN {names} USING (g)"
