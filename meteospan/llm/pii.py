@@ -130,9 +130,11 @@ def disclosing_spans(
     )
 
     values = read.select(*k, F.explode(F.array_distinct(F.transform(own, lambda s: s["value"]))).alias("entity"))
-    entities = values.groupBy(*k, "entity").agg(F.count("*").alias("copies"))
+    # narrow tables that are read more than once: spans and words of the texts are not worked out anew for each use
+    entities = written(values.groupBy(*k, "entity").agg(F.count("*").alias("copies")), "entities")
     entity = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity")).filter(F.col("n_entity") >= support)
     term = docs.select(F.explode(terms(whole(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    term = written(term.filter(F.col("n_term") >= support), "terms")
     total = docs.agg(F.count("*").cast("double").alias("n")).scalar()
     least = min(remove, generalise)
     power = max(least, 0.0)
