@@ -1,6 +1,7 @@
 """Every operator on the table of odd cases, against brute force."""
 
 import hashlib
+import textwrap
 from collections import Counter
 
 import brute
@@ -158,6 +159,32 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.license_scan(df, own).filter("license_id = 'own'").count() == 1
 
 
+def test_licenses_as_published(spark):
+    texts: dict[str, str] = {}
+    for i, t in license_scan.KNOWN:
+        texts.setdefault(i, t)
+    mit, isc = (next(t for i, t in license_scan.KNOWN if i == name) for name in ("MIT", "ISC"))
+    year = "Copyright (c) 2020, A. Person <a@example.org>"
+    at = "copyright notice and this permission notice appear in all copies."
+    wrapped_isc = isc.replace(" " + at, "\n" + at)
+    assert ("\n" + at) in wrapped_isc
+    wrap = lambda t, width=70, lead="": "\n".join(lead + x for x in textwrap.wrap(t, width))
+    rows = [
+        (1, "ISC", "ISC License\n\n" + year + "\n\n" + wrapped_isc),
+        (2, "MIT", "The MIT License (MIT)\n\nCopyright © 2019 B\nCopyright 2020 C. All rights reserved.\n\n" + wrap(mit)),
+        (3, "MIT", "Copyright (c) 2020 X. " + mit),
+        (4, "BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) <year>, <owner>\nAll rights reserved.\n\n" + wrap(texts["BSD-3-Clause"], 79)),
+        (5, "MIT", "Copyright The Project Authors. All rights reserved.\n" + wrap(mit, 60, "// ")),
+        (6, "Apache-2.0", "# (C) 2021 D\n" + wrap(next(t for i, t in license_scan.KNOWN if i == "Apache-2.0"), 75, "# ")),
+        (7, None, "(c) You must retain, in the source form, all notices\n" + wrap(mit)),
+        (8, None, "Copyright law is old.\n" + wrap(mit)),
+        *[(10 + n, i, wrap(t, 50 + n, " * ")) for n, (i, t) in enumerate(license_scan.KNOWN)],
+    ]
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(df).collect()}
+    assert got == {i: want for i, want, _ in rows}
+
+
 def test_bpe(docs, empty, rows):
     from tokenizers import Tokenizer
 
