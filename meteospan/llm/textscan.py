@@ -135,14 +135,6 @@ def words(column: pa.Array, separator: np.ndarray = SPACE, fold: np.ndarray = FO
         yield Words(body, base, start, end, doc, first, rows)
 
 
-def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size`` words in a row, whatever texts they are of; the same as in ``shingles``."""
-    n = len(hashes)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _power("up", n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * _power("down", n - size + 1))
-
-
 def shingles(hashes: np.ndarray, doc: np.ndarray, counts: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and first word of every run of ``size`` words; a text of fewer words, but not
     none, is one run. In text order."""

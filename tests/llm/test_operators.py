@@ -294,36 +294,6 @@ def test_passages(docs, empty, rows, spark):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
-def test_seeds_against_all_windows():
-    rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in (0, 3, 8, 12, 19, 20, 49, 50, 60, 81, 82, 400)] + ["the " * 200]
-    for size, width in ((substring_dedup.K, substring_dedup.W), (substring_dedup.LEAST, substring_dedup.LONG_W)):
-        (w,) = substring_dedup.ts.words(pa.array(texts))
-        code, doc, pos = substring_dedup.minimizers(w, size, width)
-        whole, of, _ = substring_dedup.ts.shingles(w.hashes(), w.doc, w.counts(), w.first, size)
-        want = set()
-        for d, t in enumerate(texts):
-            h = whole[of == d].tolist() if len(t.split()) >= size else []
-            for i in range(max(1, len(h) - width + 1) if h else 0):
-                window = h[i : i + width]
-                want |= {(min(window), d, i + j) for j, x in enumerate(window) if x == min(window)}
-        assert set(zip(code.tolist(), doc.tolist(), pos.tolist())) == want
-
-
-def test_passage_whose_parts_are_quoted_by_others(spark):
-    """Documents 1-3 and 5-7 quote parts of fewer than 50 words of a passage, 4 and 8 hold all of it."""
-    rng = np.random.default_rng(11)
-    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
-    texts, want = {}, set()
-    for group in range(10):
-        passage = fresh(99)
-        for i, (a, b) in enumerate([(0, 45), (27, 72), (54, 99), (0, 99)] * 2):
-            texts[8 * group + i + 1] = " ".join(fresh(30) + passage[a:b] + fresh(30))
-        want.add((8 * group + 8, 8 * group + 4, " ".join(passage)))
-    found = substring_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert {(max(r.doc_id, r.other_id), min(r.doc_id, r.other_id), texts[r.doc_id][r.start : r.end]) for r in found} == want
-
-
 def test_fuzzy_passage(spark):
     from conftest import prose
 
