@@ -38,6 +38,8 @@ FREQUENT = 1 << 18
 HELD = 4096
 #: Shingles of one search task.
 BLOCK = 1 << 19
+#: Texts that are looked up with a broadcast list of their ids; if there are more, all texts are shuffled.
+FEW = 1 << 19
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -220,8 +222,9 @@ def sketch_links(sets: list[np.ndarray], groups: list, percent: int) -> list[tup
     return links
 
 
-def _search(tasks: DataFrame, sources: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links ``a, b`` found inside each task of ``task, node, group``; a node's text is that of the row which ``sources`` names."""
+def _search(tasks: DataFrame, sources: DataFrame, docs: DataFrame, size: int, percent: int, few: bool = False) -> DataFrame:
+    """Links ``a, b`` found inside each task of ``task, node, group``; a node's text is that of the row which ``sources`` names.
+    With ``few`` the texts that no task needs are left out before the shuffle, if up to ``FEW`` are needed."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         found: dict[bytes, tuple[np.ndarray, object]] = {}
@@ -236,6 +239,12 @@ def _search(tasks: DataFrame, sources: DataFrame, docs: DataFrame, size: int, pe
         return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype=object)
 
     placed = tasks.join(sources.select("node", F.col("from.id").alias("_id"), F.col("from.hash").alias("_hash")), "node")
+    if few:
+        placed = written(placed, "placed")
+        needed_ids = written(placed.select("_id", "_hash").distinct(), "needed")
+        if needed_ids.count() <= FEW:
+            held = needed_ids.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
+            docs = docs.join(F.broadcast(held), F.col("_i").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("hash")), "left_semi")
     texts = placed.join(docs, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")))
     return texts.select("task", "node", "group", "text").groupBy("task").applyInPandas(solve, "a binary, b binary")
 
@@ -277,19 +286,21 @@ def minhash_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         # what is outside a long group's largest component is compared with the blocks of the group
         joined = written(components(links), "components").withColumnRenamed("root", "group")
         split = whole.filter("blocks > 1").join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
-        split = written(split.select("hub", "node", "group", "blocks", "times"), "split")
+        split = written(split.select("hub", "node", "n", "group", "blocks", "times"), "split")
         share = split.groupBy("hub", "group").agg(F.count("*").alias("members"), F.max("times").alias("times"))
         main = share.groupBy("hub").agg(F.max_by("group", F.struct("members", "group")).alias("main"), F.count("*").alias("parts"), F.max("times").alias("times"))
         rest = lookup(split.drop("times"), main.filter("parts > 1"), ["hub"], "times", rows or 0).withColumn("block", block)
-        rest = written(rest.select("hub", "node", "group", "main", "block", "blocks"), "rest")
+        rest = written(rest.select("hub", "node", "n", "group", "main", "block", "blocks"), "rest")
         few = rest.filter(F.col("group") != F.col("main"))
+        # these few fill blocks of their own, so that the whole group is not copied to each block that one of them is in
+        parts = written(few.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).alias("parts")), "parts")
+        few = few.join(parts, "hub").withColumn("few_block", F.pmod(F.xxhash64(F.lit(1), "node"), "parts"))
         task = lambda a, b: F.xxhash64("hub", a, b).alias("task")
         others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        left = few.select("hub", "node", "group", "block", others).select(task(F.col("block"), F.col("other")), "node", "group")
-        met = few.groupBy("hub").agg(F.collect_set("block").alias("few_blocks"))
-        right = rest.join(met, "hub").select("hub", "block", "node", "group", F.explode("few_blocks").alias("few_block"))
+        left = few.select("hub", "node", "group", "few_block", others).select(task(F.col("few_block"), F.col("other")), "node", "group")
+        right = rest.join(parts, "hub").select("hub", "block", "node", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("few_block"))
         right = right.select(task(F.col("few_block"), F.col("block")), "node", "group")
-        links = links.union(_search(left.union(right).distinct(), sources, read, size, percent))
+        links = links.union(_search(left.union(right).distinct(), sources, read, size, percent, few=True))
 
     comp = components(links)
     labels = comp.join(sources, "node").groupBy("root").agg(F.min("id").alias("label"))

@@ -91,3 +91,21 @@ def test_union_sketch_estimate_is_a_sample():
         union = np.union1d(x[:64], y[:64])[:64]
         shares.append(np.isin(union, common).mean())
     assert min(shares) > 0.55 and abs(np.mean(shares) - 0.8) < 0.01
+
+
+@pytest.mark.parametrize("few", [1 << 19, 0])
+def test_second_search_reads_few_texts(spark, monkeypatch, few):
+    """What is left of a long group is looked up among the texts that it needs; all texts were shuffled anew."""
+    seen, search = [], minhash_dedup._search
+
+    def spy(tasks, *rest, **options):
+        seen.append(options)
+        return search(tasks, *rest, **options)
+
+    monkeypatch.setattr(minhash_dedup, "_search", spy)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 400)
+    monkeypatch.setattr(minhash_dedup, "FEW", few)
+    rows = families()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_rows(minhash_dedup.minhash_components(df, 4, 80)) == wanted(rows, 4, 80)
+    assert seen == [{}, {"few": True}]
