@@ -310,6 +310,100 @@ def test_fuzzy_passage(spark):
     assert b[row.start : row.end] == " ".join(copy) and a[row.other_start : row.other_end] == " ".join(tokens[100:200])
 
 
+def _unjoined(found, texts):
+    """Windows of 50 words whose documents do not hang together by passages that hold the window."""
+    words = {i: brute.words(t) for i, t in texts.items()}
+    where, out = {}, set()
+    for i, w in words.items():
+        ends = np.cumsum([len(x) + 1 for x in w]).tolist()
+        begins = [0, *ends]
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), []).append((i, begins[k], ends[k + 49] - 1))
+    for window, places in where.items():
+        ids = {i for i, *_ in places}
+        if len(ids) < 2:
+            continue
+        near = {i: {i} for i in ids}
+        holds = lambda i, a, b: any(j == i and a <= p and q <= b for j, p, q in places)
+        for r in found:
+            if holds(r.doc_id, r.start, r.end) and holds(r.other_id, r.other_start, r.other_end):
+                both = near[r.doc_id] | near[r.other_id]
+                near.update(dict.fromkeys(both, both))
+        if near[min(ids)] != ids:
+            out.add(window)
+    return out
+
+
+@pytest.mark.parametrize("quotes", [[(0, 45), (27, 72), (54, 99)], [(0, 49), (1, 50), (50, 99)]])
+def test_passage_whose_seeds_have_other_partners(spark, quotes):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts, pairs = {}, []
+    for group in range(5):
+        passage = fresh(99 if quotes[0][1] == 45 else 50)
+        parts = [passage[a:b] for a, b in quotes if a < len(passage)]
+        for part in [*parts, passage, *parts, passage]:
+            texts[len(texts)] = " ".join(fresh(30) + part + fresh(30))
+            if part is passage:
+                pairs.append(len(texts) - 1)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = substring_dedup.repeated_passages(df).collect()
+    assert {(r.other_id, r.doc_id) for r in found} == set(zip(pairs[::2], pairs[1::2]))
+    assert not _unjoined(found, texts)
+
+
+@pytest.mark.parametrize("contexts, parts, told", [(3, 1, 9), (9, 1, 1 << 20), (40, 1, 0), (9, 4, 0), (40, 4, 1 << 20)])
+def test_windows_of_documents_hang_together(spark, contexts, parts, told, monkeypatch):
+    """Documents that are cut from one long passage at chance, each between words of its own."""
+    monkeypatch.setattr(substring_dedup, "CROWDED", told)
+    rng = np.random.default_rng(contexts)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage, texts = fresh(160), {}
+    for i in range(contexts * 2):
+        a = int(rng.integers(0, 100))
+        texts[i] = " ".join(fresh(20) + passage[a : a + int(rng.integers(45, 61))] + fresh(20))
+    texts[len(texts)] = " ".join(passage)
+    texts[len(texts)] = " ".join(fresh(5) + passage)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(parts)
+    assert not _unjoined(substring_dedup.repeated_passages(df).collect(), texts)
+
+
+def test_needed_passages_hold_all_windows():
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        word, other, size = (rng.integers(0, 40, n) for _ in range(3))
+        exact, size = rng.random(n) < 0.7, size % 20 + 5
+        ends = word + size, other + size
+        kept = substring_dedup._needed(word, ends[0], other, ends[1], exact, 5)
+        for begin, end in ((word, ends[0]), (other, ends[1])):
+            held = lambda rows: {x for i in rows for x in range(begin[i], end[i] - 4)}
+            assert held(kept) == held(range(n))
+
+
+def test_repeating_text_is_linked_with_few_passages(spark):
+    texts = {1: "la " * 300, 2: "x " + "la " * 200, 3: "la la lo " * 120, 4: "y la la lo " + "la la lo " * 70, 5: "la " * 50}
+    found = substring_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert not _unjoined(found, texts) and len(found) < 60
+    assert {x for r in found if r.doc_id == 2 for x in range(r.start, r.end)} == set(range(2, 601))
+
+
+def test_anchors_against_all_windows():
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 3 if i % 2 else 1 << 40, n)) for i, n in enumerate([0, 5, 49, 50, 51, 200, 130])]
+    (w,) = substring_dedup.ts.words(substring_dedup.pa.array(texts))
+    code, doc, at, first, last, context = substring_dedup.anchors(w, 50)
+    hashes = w.hashes().tolist()
+    seen, of = [], {}
+    for c, d, p, a, b, x in zip(code.tolist(), doc.tolist(), at.tolist(), first.tolist(), last.tolist(), context.tolist()):
+        for s in range(a, b + 1):
+            assert w.first[d] <= s <= p <= s + 42 and s + 50 <= w.first[d + 1]
+            assert of.setdefault(tuple(hashes[s : s + 50]), (c, p - s)) == (c, p - s)
+            seen.append(s)
+        assert of.setdefault((x,), hashes[a : b + 50]) == hashes[a : b + 50]
+    assert seen == [s for d in range(7) for s in range(w.first[d], w.first[d + 1] - 49)]
+
+
 @pytest.mark.parametrize("between", [(40, 40), (40, 47), (0, 60), (90, 30)])
 def test_two_passages_with_other_text_between(spark, between):
     rng = np.random.default_rng(6)
