@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from meteospan.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
 from meteospan.llm.store import new_folder
@@ -136,6 +137,19 @@ def test_pii_terms(spark):
     assert {r.t for r in out.collect()} == {"Ask  at [email] for it", "Ask the river for it", ""}
 
 
+def test_pii_marked_terms_against_re(spark):
+    """Offsets of terms from the cut parts, beyond one block of parts and with wide characters."""
+    import re
+
+    known = {"abc": "remove", "zürich": "generalise", "straße": "remove", "\U0001d400bc": "remove", "ab": "remove", "a1b": "remove"}
+    piece = "Abc, abc-abc\U0001f600abc abc1 ab a1b  ZÜRICH Straße! \U0001d400bc xabc é́abc\n"
+    texts = ["", " ", " abc ", " ab ", " " + piece + " ", " " + piece * 70 + " ", " " + "x " * 600 + "abc ", " " + "abc " * 600]
+    df = spark.createDataFrame([(i, t, known) for i, t in enumerate(texts)], "i int, t string, m map<string,string>")
+    for r in df.select("t", pii.marked(F.col("t"), "m").alias("found")).collect():
+        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]+", r.t) if re.fullmatch(r"[^\W\d_]{3,24}", m.group())]
+        assert [tuple(f) for f in r.found] == [w for w in words if w[2] in known]
+
+
 def test_pii_terms_far_from_the_entity(spark):
     far = "and so on " * 20
     texts = [f"Quentin {far} q.t@mail.org, 12 {far} quentin."] * 4 + ["Robin and Quentin"] + [f"nobody {far}"] * 11
