@@ -250,14 +250,8 @@ def small(batch: pa.RecordBatch, column: str, size: int = 1 << 22):
             yield batch.slice(a, b - a)
 
 
-def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` without the text, and ``ids`` (little-endian unsigned 32-bit) and ``n_tokens``.
-
-    A null or empty text has no ids. Equal texts get equal ids, every row stays, an empty table
-    gives an empty result. Special tokens written out in a text are encoded as such. Columns of the
-    input called ``ids`` or ``n_tokens`` are replaced. ``path`` names a vocabulary file that every
-    worker can open.
-    """
+def _encoding(docs: DataFrame, path: str, text_col: str):
+    """Function for mapInArrow and the schema of ``bpe_encode``."""
     keep = [c for c in docs.columns if c != text_col and c.lower() not in ("ids", "n_tokens")]
 
     def encode(batches):
@@ -267,13 +261,12 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 arrays = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, keep + ["ids", "n_tokens"])
 
-    schema = T.StructType([docs.schema[c] for c in keep] + list(T._parse_datatype_string("ids binary, n_tokens long")))
-    return docs.mapInArrow(encode, schema)
+    return encode, T.StructType([docs.schema[c] for c in keep] + list(T._parse_datatype_string("ids binary, n_tokens long")))
 
 
-def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """The columns of ``tokens`` and the text of its ids; null ids give a null text."""
-    keep = [c for c in tokens.columns if c.lower() != text_col.lower()]
+def _decoding(tokens: T.StructType, path: str, ids_col: str, text_col: str):
+    """Function for mapInArrow and the schema of ``bpe_decode``."""
+    keep = [c for c in tokens.names if c.lower() != text_col.lower()]
 
     def decode(batches):
         vocab = vocabulary(path)
@@ -285,8 +278,39 @@ def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str
                     texts.append(None if raw is None else vocab.decode(np.frombuffer(raw, "<u4")).tobytes().decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], keep + [text_col])
 
-    schema = T.StructType([tokens.schema[c] for c in keep] + list(T._parse_datatype_string(f"`{text_col}` string")))
-    return tokens.mapInArrow(decode, schema)
+    return decode, T.StructType([tokens[c] for c in keep] + list(T._parse_datatype_string(f"`{text_col}` string")))
+
+
+def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` without the text, and ``ids`` (little-endian unsigned 32-bit) and ``n_tokens``.
+
+    A null or empty text has no ids. Equal texts get equal ids, every row stays, an empty table
+    gives an empty result. Special tokens written out in a text are encoded as such. Columns of the
+    input called ``ids`` or ``n_tokens`` are replaced. ``path`` names a vocabulary file that every
+    worker can open.
+    """
+    return docs.mapInArrow(*_encoding(docs, path, text_col))
+
+
+def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """The columns of ``tokens`` and the text of its ids; null ids give a null text."""
+    return tokens.mapInArrow(*_decoding(tokens.schema, path, ids_col, text_col))
+
+
+def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``bpe_decode`` of ``bpe_encode``, in one pass.
+
+    Each of two passes would have a Python worker of its own in every task, with a vocabulary of its
+    own; Spark keeps workers for the next stages, so an executor would hold twice as many of them.
+    """
+    encode, coded = _encoding(docs, path, text_col)
+    decode, schema = _decoding(coded, path, "ids", text_col)
+
+    def both(batches):
+        yield from decode(encode(batches))
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(both, schema)
 
 
 def op7_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -295,5 +319,5 @@ def op7_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = bpe_decode(bpe_encode(docs, path), path)
+    both = bpe_round_trip(docs, path)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

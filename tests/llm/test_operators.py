@@ -213,6 +213,18 @@ def test_bpe(docs, empty, rows):
     assert bpe.bpe_decode(bpe.bpe_encode(empty, path), path).count() == 0
 
 
+def test_bpe_round_trip_is_both_in_one_pass(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one, two = bpe.bpe_round_trip(docs, path), bpe.bpe_decode(bpe.bpe_encode(docs, path), path)
+    assert one.schema == two.schema
+    found = [Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in df.collect()) for df in (one, two)]
+    assert found[0] == found[1] and found[0]
+    assert bpe.bpe_round_trip(empty, path).count() == 0
+    shouted = docs.withColumnRenamed("text", "TEXT").selectExpr("doc_id", "TEXT", "1 AS ids")
+    one, two = bpe.bpe_round_trip(shouted, path, "TEXT"), bpe.bpe_decode(bpe.bpe_encode(shouted, path, "TEXT"), path, text_col="TEXT")
+    assert one.columns == two.columns and one.exceptAll(two).isEmpty()
+
+
 def test_bpe_classes_of_characters():
     from tokenizers import Tokenizer
 

@@ -67,3 +67,10 @@ def test_stages_return_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF_DIR).dtypes == docs.dtypes
+
+
+def test_tokens_need_one_python_worker_for_each_task(spark):
+    pytest.importorskip("public_tokenizers")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for df in (corpus_pipeline.tokenise(spark, docs, SF_DIR), catalog.queries()["op7_bpe"](spark, SF_DIR)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
