@@ -136,7 +136,7 @@ def encode_words(column: pa.Array, cache: PieceCache) -> tuple[np.ndarray, np.nd
     the library encodes each distinct word once and a text is the row of its words.
     """
     flat, counts = [], []
-    for w in ts.words(column, fold=ts.SAME):
+    for w in ts.words(column, fold=ts.SAME, size=ts.SLICE):
         ids, size = cache.look_up(w.hashes(), w.body, w.start, w.end)
         total = np.concatenate([[0], np.cumsum(size)])
         flat.append(ids)

@@ -394,6 +394,57 @@ def test_windows_of_documents_hang_together(spark, contexts, parts, told, monkey
     assert not _unjoined(substring_dedup.repeated_passages(df).collect(), texts)
 
 
+def test_fuzzy_passage_whose_seeds_have_other_partners(spark):
+    """No 50 words in a row are equal, and the documents before have parts of the passage only."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts, pairs = {}, []
+    for group in range(5):
+        passage = fresh(99)
+        parts = [passage[a:b] for a, b in ((0, 45), (27, 72), (54, 99))] * 4
+        for part in [*parts, passage, *parts, passage]:
+            if part is passage:
+                pairs.append(len(texts))
+                part = [w if i % 33 != 10 + len(pairs) % 2 else f"edit{len(texts)}" for i, w in enumerate(part)]
+            texts[len(texts)] = " ".join(fresh(30) + part + fresh(30))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = substring_dedup.repeated_passages(df).collect()
+    assert {(r.other_id, r.doc_id) for r in found} == set(zip(pairs[::2], pairs[1::2]))
+    assert all(r.n_matched >= 80 for r in found)
+
+
+@pytest.mark.parametrize("told", [0, 1 << 20])
+def test_copied_texts_are_linked_as_wholes(spark, told, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "COPIED", told)
+    rng = np.random.default_rng(11)
+    fresh = lambda n: " ".join(f"vé{x}" for x in rng.integers(0, 1 << 40, n))
+    text, short = f" {fresh(70)}\n", fresh(49)
+    rows = [(3, text), (1, text), (None, text), (3, text), (7, text + fresh(5)), (2, short), (4, short), (5, None), (6, None), (8, ""), (9, "")]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id, r.n_words, r.n_matched) for r in found} == {(1, None, 70, 70), (3, None, 70, 70), (7, None, 70, 70)}
+    assert len(found) == 3 and all((r.start, r.end) == (r.other_start, r.other_end) == (1, len(text) - 1) for r in found if r.doc_id != 7)
+
+
+def test_links_of_seeds_against_all_pairs():
+    """Of seeds that occur in up to PAIRED places all pairs in different documents; of others each place that has an earlier document."""
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        n = int(rng.integers(0, 400))
+        code, doc, pos = (rng.integers(0, high, n) for high in (8, 30, 1000))
+        order = np.lexsort((pos, doc, code))
+        code, doc, pos = code[order], doc[order], pos[order]
+        far, near, *_ = substring_dedup.link(code, doc, pos, code == 3)
+        got = list(zip(far.tolist(), near.tolist()))
+        assert len(got) == len(set(got)) and (code[far] == code[near]).all() and (doc[far] > doc[near]).all()
+        for c in np.unique(code):
+            at = np.flatnonzero(code == c).tolist()
+            want = {(i, j) for i in at for j in at if doc[i] > doc[j]}
+            if len(at) <= substring_dedup.PAIRED and c != 3:
+                assert want == {(i, j) for i, j in got if code[i] == c}
+            else:
+                assert {i for i, _ in want} == {i for i, _ in got if code[i] == c}
+
+
 def test_needed_passages_hold_all_windows():
     rng = np.random.default_rng(10)
     for _ in range(200):
