@@ -150,6 +150,27 @@ def test_pii_marked_terms_against_re(spark):
         assert [tuple(f) for f in r.found] == [w for w in words if w[2] in known]
 
 
+def test_pii_works_out_spans_and_terms_once(spark, tmp_path):
+    """One scan of the texts looks for spans and terms; the last plan looks for places of known terms only."""
+    text = "Quentin at q.t@mail.org or 10.0.0.1 or 4111 1111 1111 1111"
+    spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = pii.op5_pii(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(pattern in plan for pattern in pii.PATTERNS.values())
+    assert {r.spans for r in found.collect()} == {"email:11:23,ip:27:35,card:39:58"}
+
+
+def test_pii_numbers_against_re(spark):
+    """Numbers and addresses next to more digits, points, blanks and signs."""
+    rng = np.random.default_rng(13)
+    texts = ["".join(rng.choice(list("0123456789.- +"), 60, p=[0.05] * 4 + [0.08] * 6 + [0.14, 0.06, 0.1, 0.02])) for _ in range(300)]
+    texts += [f"{a}4111 1111 1111 1111{b}" for a in ("", "1", "1 ", "x", "-") for b in ("", "1", " 1", "  1", "-")]
+    texts += [f"{a}1.2.3.4{b}" for a in ("", "0", ".", "9.", "x") for b in ("", ".", ".5", "5", "a")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", pii.base_spans(F.col("t")).alias("s")).collect():
+        assert [(x.start, x.kind, x.end) for x in r.s] == brute.pii_spans(r.t)
+
+
 def test_pii_terms_far_from_the_entity(spark):
     far = "and so on " * 20
     texts = [f"Quentin {far} q.t@mail.org, 12 {far} quentin."] * 4 + ["Robin and Quentin"] + [f"nobody {far}"] * 11
