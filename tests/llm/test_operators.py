@@ -466,6 +466,36 @@ def test_links_of_seeds_against_all_pairs():
                 assert {i for i, _ in want} == {i for i, _ in got if code[i] == c}
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 40])
+def test_contamination_without_texts(docs, benchmark, at_once):
+    _, table = benchmark
+    whole = decontaminate.contamination(docs, table, at_once=at_once)
+    narrow = decontaminate.contamination(docs, table, at_once=at_once, keep_text=False)
+    assert narrow.columns == [c for c in whole.columns if c != "text"]
+    assert Counter(map(str, narrow.collect())) == Counter(map(str, whole.drop("text").collect()))
+
+
+def test_only_stretches_of_benchmark_words_are_scanned():
+    rng = np.random.default_rng(14)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 6, n))) for i, n in enumerate((5, 4, 3, 9, 4))]
+    matcher = decontaminate.Matcher(items, 4)
+    known = {w.encode() for _, t in items for w in t.split()}
+    for _ in range(300):
+        words = [f"w{x}".encode() for x in rng.integers(0, 8, int(rng.integers(0, 120)))]
+        spans = list(matcher.stretches(words))
+        inside = [known.issuperset(words[a:b]) and b - a >= 3 for a, b in spans]
+        assert all(inside) and sum(b - a for a, b in spans) <= sum(w in known for w in words)
+        hit, found = set(), set()
+        for item, text in items:
+            for window in decontaminate.windows_of([w.encode() for w in text.split()], 4):
+                for i in range(len(words) - len(window) + 1):
+                    if tuple(words[i : i + len(window)]) == window:
+                        hit.update(range(i, i + len(window)))
+                        found.add(item)
+        ranges, got = matcher.scan(words)
+        assert got == found and [i for a, b in ranges for i in range(a, b)] == sorted(hit)
+
+
 def test_needed_passages_hold_all_windows():
     rng = np.random.default_rng(10)
     for _ in range(200):
