@@ -42,11 +42,17 @@ COUNT_AT_ONCE = 1 << 22
 BLOCK = 1 << 19
 
 
+def _in_groups(number: np.ndarray, n: int) -> np.ndarray:
+    """Order of rows by numbers below ``n``, rows of equal number as they are; small integers are sorted by digits."""
+    return np.argsort(number.astype(np.min_scalar_type(n)), kind="stable")
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[ts.Words, np.ndarray, np.ndarray]]:
     """For slices of the texts: distinct shingles, sorted per text, and where each text begins."""
     for w in ts.words(column):
         code, doc, _ = ts.shingles(w.hashes(), w.doc, w.counts(), w.first, size)
-        order = np.lexsort((code, doc))
+        order = np.argsort(code)
+        order = order[_in_groups(doc[order], w.n_docs)]
         code, doc = code[order], doc[order]
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
@@ -110,7 +116,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, heavy) -> DataFrame:
                     late[maybe] = top[found] == code[maybe]
                 n = np.diff(cut)
                 doc = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((code, late, doc))
+                order = _in_groups(2 * doc + late, 2 * len(n))
                 ranked = code[order]
                 length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 rank = np.arange(len(code)) - np.repeat(cut[:-1], n)
@@ -139,15 +145,23 @@ def candidate_lists(nodes: DataFrame, percent: int) -> DataFrame:
     def runs(batches):
         rest = None
         for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            last = frame["token"].to_numpy()
-            cut = int(np.searchsorted(last, last[-1], "left")) if len(last) else 0
-            rest = frame.iloc[cut:]
-            if cut:
-                yield from lists(frame.iloc[:cut])
-        if rest is not None and len(rest):
-            yield from lists(rest)
+            batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            token = batch.column("token").to_numpy()
+            cut = int(np.searchsorted(token, token[-1], "left"))
+            rest = batch.slice(cut)
+            yield from shared(batch.slice(0, cut), token[:cut])
+        if rest is not None:
+            yield from shared(rest, rest.column("token").to_numpy())
+
+    def shared(batch, token):
+        """Most tokens have one node; only the others are looked at."""
+        like = np.zeros(len(token) + 1, bool)
+        like[1:-1] = token[1:] == token[:-1]
+        several = like[:-1] | like[1:]
+        if several.any():
+            yield from lists(batch.filter(pa.array(several)).to_pandas())
 
     def lists(frame):
         token = frame["token"].to_numpy()
@@ -155,7 +169,11 @@ def candidate_lists(nodes: DataFrame, percent: int) -> DataFrame:
         end = np.concatenate([start[1:], [len(token)]])
         n, left, node = frame["n"].to_numpy(), frame["left"].to_numpy(), frame["node"].to_numpy()
         out_list, out_node, out_n = [], [], []
-        for a, b in zip(start[end - start > 1], end[end - start > 1]):
+        fit = end - start > 1
+        two = np.flatnonzero(end - start == 2)  # most groups; all at once
+        a, b = start[two], start[two] + 1
+        fit[two] = _able(np.minimum(n[a], n[b]), np.maximum(n[a], n[b]), percent) & (np.minimum(left[a], left[b]) * (100 + percent) >= percent * (n[a] + n[b]))
+        for a, b in zip(start[fit], end[fit]):
             order = np.argsort(n[a:b], kind="stable") + a
             m, r = n[order], left[order]
             if len(order) <= 1024:
@@ -351,8 +369,12 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     sized = lists.groupBy("list").agg(F.sum("n").alias("total"), F.min("node").alias("hub")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
     whole = lists.join(sized, "list")
     block = F.pmod(F.xxhash64("node"), "blocks")
-    tasks = max(1, -(-(lists.agg(F.sum("n")).first()[0] or 0) // BLOCK))
-    shared = F.pmod(F.xxhash64("list"), F.lit(tasks))
+    # lists of one hub have most of their nodes in common: in one task each text is needed once, if they are not too many
+    load = whole.filter("blocks = 1").select("hub", "node", "n").distinct().groupBy("hub").agg(F.sum("n").alias("load"))
+    load = written(load, "loads")
+    tasks = max(1, -(-(load.agg(F.sum("load")).first()[0] or 0) // BLOCK))
+    whole = whole.join(load, "hub", "left")
+    shared = F.pmod(F.when(F.col("load") <= BLOCK, F.xxhash64("hub")).otherwise(F.xxhash64("list")), F.lit(tasks))
     own = whole.select(F.when(F.col("blocks") > 1, F.xxhash64("list", block)).otherwise(shared).alias("task"), "node")
     hubs = sized.filter("blocks > 1").select("list", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     first = own.union(hubs.select(F.xxhash64("list", F.col("block").cast("bigint")), "hub")).distinct()

@@ -475,6 +475,32 @@ def test_contamination_without_texts(docs, benchmark, at_once):
     assert Counter(map(str, narrow.collect())) == Counter(map(str, whole.drop("text").collect()))
 
 
+def test_lists_of_one_hub_share_a_task(spark, monkeypatch):
+    """Near copies make many lists; a task that has one of them has most of the others too, so that it needs each text once."""
+    rng = np.random.default_rng(15)
+    rows = []
+    for family in range(30):
+        words = [f"v{x}" for x in rng.integers(0, 1 << 40, 150)]
+        for _ in range(6):
+            copy = list(words)
+            copy[int(rng.integers(0, 150))] = f"edit{len(rows)}"
+            rows.append((len(rows), " ".join(copy)))
+    seen, search = [], ngram_join._search
+    monkeypatch.setattr(ngram_join, "BLOCK", 1 << 11)
+    monkeypatch.setattr(ngram_join, "_search", lambda tasks, *a: seen.append(tasks) or search(tasks, *a))
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85)
+    assert {r.component_id == r.doc_id // 6 * 6 for r in found.collect()} == {True}
+    assert seen[0].select("task").distinct().count() > 5
+    assert 180 <= seen[0].count() < 270  # 492, when each list is dealt out for itself
+
+
+def test_order_in_groups():
+    rng = np.random.default_rng(16)
+    for n in (1, 200, 70_000):
+        number = rng.integers(0, n, 5000)
+        assert (ngram_join._in_groups(number, n) == np.lexsort((np.arange(5000), number))).all()
+
+
 def test_only_stretches_of_benchmark_words_are_scanned():
     rng = np.random.default_rng(14)
     items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 6, n))) for i, n in enumerate((5, 4, 3, 9, 4))]
